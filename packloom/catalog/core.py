@@ -198,6 +198,7 @@ class Tables:
 
     def sql(self, text: str, *reads: str) -> DataFrame:
         """Spark SQL text over tables and views named as in the text."""
+        text = text.replace("{", "{{").replace("}", "}}")
         for name in reads:
             text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
         return self.spark.sql(text, **{name: self[name] for name in reads})

@@ -157,11 +157,11 @@ def _(t):
     return ev.duplicate_keys(t["result_stream"])
 
 
-DUCK_UNITS = r"""SELECT *, CASE WHEN at > 0 AND value IS NOT NULL THEN
-    regexp_replace(regexp_replace(cast(cast(value * scale AS decimal(38,10)) AS string), '(\.\d*?)0+$', '\1'), '\.$', '') ELSE cell END AS plain
+DUCK_UNITS = r"""SELECT *, CASE WHEN u_at > 0 AND value IS NOT NULL THEN
+cast(cast(value * scale AS bigint) AS string) ELSE cell END AS plain
 FROM (SELECT *, CASE WHEN trim(head) = '' THEN 0.0::double WHEN regexp_matches(trim(head), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN try_cast(trim(head) AS double) END AS value
-  FROM (SELECT *, substr(cell, 1, at - 1) AS head FROM (
-    SELECT *, CASE WHEN instr(cell, 'M') > 0 THEN instr(cell, 'M') ELSE instr(cell, 'B') END AS at,
+  FROM (SELECT *, substr(cell, 1, u_at - 1) AS head FROM (
+    SELECT *, CASE WHEN instr(cell, 'M') > 0 THEN instr(cell, 'M') ELSE instr(cell, 'B') END AS u_at,
       CASE WHEN instr(cell, 'M') > 0 THEN 1e6::double ELSE 1e9::double END AS scale FROM cells)))"""
 DUCK_SHOWN = r"SELECT *, regexp_replace(plain, '</?[a-z][a-z0-9]*\b[^>]*>', '', 'gi') AS shown FROM units"
 DUCK_KEYS = r"""SELECT page_id, cell, CASE WHEN digits = '' THEN 0.0::double ELSE try_cast(digits AS double) END AS as_number,
