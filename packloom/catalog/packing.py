@@ -1 +1,288 @@
+"""Packing and layout queries."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.geometry import TRAIN_VAE, resized
+from ..operators import layout as ly
+from ..operators import packing as pk
+from ..operators.rank import even_chunks
+from ..operators.segments import sample_lengths
+from ..plans.training import training_records
+from .core import Tables, query
+from .sampling import duck_u, shuffled
+from .segments import resize_sql
+
+ROWS_PER_SHARD = 50
+EXPECTED, MAX_TOTAL, MAX_SAMPLE = 8000, 10000, 9000
+
+
+def n_shards(t: Tables) -> int:
+    """Shards grow with the table, so no shard does."""
+    return max(1, t["documents"].count() // ROWS_PER_SHARD)
+
+
+def sharded(t: Tables, lengths: DataFrame) -> DataFrame:
+    return even_chunks(lengths, "sample_id", n_shards(t), 42, chunk="shard", position="seq")
+
+
+def next_fit(t: Tables) -> DataFrame:
+    return pk.pack_next_fit(sharded(t, sample_lengths(t["segments"])), EXPECTED, MAX_TOTAL, MAX_SAMPLE)
+
+
+def laid_out(t: Tables, seed: int = 17) -> DataFrame:
+    rows = ly.drop_conditions(t["segments"], seed)
+    return ly.segment_offsets(ly.packed_segments(rows, next_fit(t)))
+
+
+LENGTHS = "SELECT sample_id, sum(n_tokens)::bigint + 2 * count(*) AS length FROM segments GROUP BY sample_id"
+SHARDS = f"""SELECT sample_id, length, ntile(k) OVER (ORDER BY r) - 1 AS shard, r FROM (
+  SELECT *, row_number() OVER {shuffled('sample_id', 42)} AS r, (SELECT greatest(1, count(*) // {ROWS_PER_SHARD}) FROM documents) AS k FROM lengths)"""
+LENS = f"SELECT shard, sample_id, length, row_number() OVER (PARTITION BY shard ORDER BY r) AS rn FROM shards WHERE length <= {MAX_SAMPLE}"
+WALK = f"""SELECT shard, rn, sample_id, length, length AS cur, 0::bigint AS pack_no, 0::bigint AS pack_pos FROM lens WHERE rn = 1
+ UNION ALL SELECT l.shard, l.rn, l.sample_id, l.length,
+   CASE WHEN w.cur >= {EXPECTED} OR w.cur + l.length > {MAX_TOTAL} THEN l.length ELSE w.cur + l.length END,
+   CASE WHEN w.cur >= {EXPECTED} OR w.cur + l.length > {MAX_TOTAL} THEN w.pack_no + 1 ELSE w.pack_no END,
+   CASE WHEN w.cur >= {EXPECTED} OR w.cur + l.length > {MAX_TOTAL} THEN 0 ELSE w.pack_pos + 1 END
+ FROM walk w JOIN lens l ON l.shard = w.shard AND l.rn = w.rn + 1"""
+FIT = {"lengths": LENGTHS, "shards": SHARDS, "lens": LENS, "walk": WALK}
+U_DROP = "('0x' || substr(md5('17|' || cast(s.sample_id AS string) || ':' || cast(s.seg_pos AS string) || '|drop'), 1, 12))::bigint / 281474976710656.0"
+LAID = f"""SELECT *, sum(seg_len) OVER (PARTITION BY shard, pack_no ORDER BY pack_pos, seg_pos)::bigint - seg_len AS start FROM (
+  SELECT *, CASE WHEN dropped THEN 0 ELSE n_tokens + 2 END AS seg_len FROM (
+    SELECT s.*, w.shard, w.pack_no, w.pack_pos,
+      s.enable_cfg = 1 AND {U_DROP} < CASE s.kind WHEN 'text' THEN 0.1 WHEN 'vit_image' THEN 0.4 ELSE 0.1 END AS dropped
+    FROM segments s JOIN walk w ON w.sample_id = s.sample_id))"""
+LAYOUT = {**FIT, "laid": LAID}
+
+
+@query("pack_samples")
+def _(t):
+    rule = pk.PackRule(expected=12000, max_total=14000, max_sample=9000, prefer_buffer=6000, buffer=5)
+    return pk.pack(sharded(t, sample_lengths(t["segments"])), rule)
+
+
+@query("pack_samples_dropping")
+def _(t):
+    rows = ly.kept_lengths(ly.drop_conditions(t["segments"], 17))
+    rule = pk.PackRule(expected=12000, max_total=14000, max_sample=9000, prefer_buffer=6000, buffer=2, on_overflow="drop")
+    return pk.pack(sharded(t, rows), rule, kept="kept")
+
+
+@query("pack_mandatory_heads")
+def _(t):
+    lengths = sample_lengths(t["segments"]).join(t["documents"].select(F.col("doc_id").alias("sample_id"), "lang"), "sample_id")
+    rows = sharded(t, lengths)
+    heads = rows.filter("lang = 'en'").withColumn("group_no", F.lit(0))
+    rule = pk.PackRule(expected=12000, max_total=14000, max_sample=6000, prefer_buffer=6000, buffer=5)
+    return pk.pack(rows.filter("lang <> 'en'"), rule, heads=heads)
+
+
+@query(
+    "pack_next_fit",
+    f"""SELECT shard, sample_id, pack_no, pack_pos, 'packed' AS status FROM walk
+UNION ALL SELECT shard, sample_id, NULL, NULL, 'too_long' FROM shards WHERE length > {MAX_SAMPLE}""",
+    "segments",
+    FIT,
+)
+def _(t):
+    return next_fit(t)
+
+
+@query(
+    "pack_report",
+    f"""SELECT count(*) AS n_packs, sum(n)::bigint AS n_samples, round(avg(tokens / {MAX_TOTAL}.0), 6) AS mean_fill, round(min(tokens / {MAX_TOTAL}.0), 6) AS min_fill,
+  max(n)::bigint AS most_samples, (SELECT count(*) FROM shards WHERE length > {MAX_SAMPLE}) AS n_too_long, 0::bigint AS n_lost
+FROM (SELECT shard, pack_no, sum(length)::double AS tokens, count(*) AS n FROM walk GROUP BY shard, pack_no)""",
+    "segments",
+    FIT,
+)
+def _(t):
+    report = pk.pack_report(next_fit(t), sample_lengths(t["segments"]), MAX_TOTAL)
+    return report.withColumns({c: F.round(c, 6) for c in ("mean_fill", "min_fill")})
+
+
+@query("drop_conditions", "SELECT sample_id, seg_pos, dropped FROM laid", "segments", LAYOUT)
+def _(t):
+    rows = ly.drop_conditions(t["segments"], 17)
+    return ly.packed_segments(rows, next_fit(t)).select("sample_id", "seg_pos", "dropped")
+
+
+@query("segment_offsets", "SELECT shard, pack_no, pack_pos, sample_id, seg_pos, seg_len, start FROM laid", "segments", LAYOUT)
+def _(t):
+    return laid_out(t).select("shard", "pack_no", "pack_pos", "sample_id", "seg_pos", "seg_len", "start")
+
+
+ROPE = """SELECT *, sum(step) OVER (PARTITION BY sample_id ORDER BY seg_pos)::bigint - step AS rope FROM (
+  SELECT *, CASE WHEN kind = 'text' THEN seg_len WHEN kind = 'vit_image' OR dropped THEN 1 WHEN loss = 0 THEN 1 ELSE 0 END AS step FROM laid)"""
+
+
+@query("rope_positions", f"SELECT sample_id, seg_pos, rope FROM ({ROPE})", "segments", LAYOUT)
+def _(t):
+    return ly.rope_positions(laid_out(t)).select("sample_id", "seg_pos", "rope")
+
+
+@query(
+    "loss_weights",
+    """SELECT shard, pack_no, pack_pos, sample_id, seg_pos, start AS first, start + n_tokens AS last, round(1 / sqrt(n_tokens + 1), 9) AS weight
+FROM laid WHERE kind = 'text' AND loss = 1 AND NOT dropped""",
+    "segments",
+    LAYOUT,
+)
+def _(t):
+    return ly.loss_weights(laid_out(t)).withColumn("weight", F.round("weight", 9))
+
+
+@query(
+    "loss_tokens",
+    """SELECT shard, pack_no, count(*) AS n, sum(i)::bigint AS index_sum, round(sum(1.0 / m), 6) AS weight_sum
+FROM (SELECT shard, pack_no, (n_tokens + 1)::double AS m, unnest(generate_series(start, start + n_tokens)) AS i FROM laid WHERE kind = 'text' AND loss = 1 AND NOT dropped)
+GROUP BY shard, pack_no""",
+    "segments",
+    LAYOUT,
+)
+def _(t):
+    rows = ly.loss_tokens(ly.loss_weights(laid_out(t), "sample"))
+    return rows.groupBy("shard", "pack_no").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("index").alias("index_sum"), F.round(F.sum("weight"), 6).alias("weight_sum")
+    )
+
+
+KEY = "cast(sample_id AS string) || ':' || cast(split_no AS string)"
+
+
+@query(
+    "timesteps",
+    f"""SELECT sample_id, seg_pos, CASE WHEN loss = 1 THEN round(sqrt(-2 * ln(1 - {duck_u(29, KEY, 't1')})) * cos(2 * pi() * {duck_u(29, KEY, 't2')}), 6)
+  ELSE '-inf'::double END AS timestep, start + 1 AS first, start + n_tokens AS last
+FROM (SELECT *, seg_pos + 1 AS split_no FROM laid) WHERE kind = 'vae_image' AND NOT dropped""",
+    "segments",
+    LAYOUT,
+)
+def _(t):
+    rows = ly.timesteps(laid_out(t), 29)
+    step = F.when(F.col("loss") == 1, F.round("timestep", 6)).otherwise(F.col("timestep"))
+    return rows.select("sample_id", "seg_pos", step.alias("timestep"), "first", "last")
+
+
+SPLITS = """SELECT shard, pack_no, pack_pos, sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY seg_pos) AS split_no, n_tokens + 2 AS split_len,
+  CASE WHEN kind = 'text' THEN 'causal' WHEN kind = 'vae_image' AND loss = 1 THEN 'noise' ELSE 'full' END AS mode FROM laid WHERE NOT dropped"""
+
+
+@query("splits", SPLITS, "segments", LAYOUT)
+def _(t):
+    return ly.splits(laid_out(t))
+
+
+@query(
+    "visible_pairs",
+    """SELECT shard, pack_no, pack_pos, sample_id, (own + coalesce(other, 0))::bigint AS visible, n AS sample_len FROM (
+  SELECT q.shard, q.pack_no, q.pack_pos, q.sample_id, sum(CASE WHEN mode = 'causal' THEN split_len * (split_len + 1) // 2 ELSE split_len * split_len END) AS own,
+    sum(split_len)::bigint AS n FROM splits q GROUP BY ALL) a
+LEFT JOIN (SELECT q.sample_id, sum(q.split_len * k.split_len) AS other FROM splits q JOIN splits k ON k.sample_id = q.sample_id AND k.split_no < q.split_no AND k.mode <> 'noise'
+  GROUP BY q.sample_id) b USING (sample_id)""",
+    "segments",
+    {**LAYOUT, "splits": SPLITS},
+)
+def _(t):
+    return ly.visible_pairs(ly.splits(laid_out(t)))
+
+
+def _positions(at: str) -> str:
+    return f"""SELECT image_id, count(*) AS n, sum({at})::bigint AS total, sum((r * cols + c + 1) * ({at}))::bigint AS ordered
+FROM (SELECT *, unnest(generate_series(0, cols - 1)) AS c FROM (SELECT *, h::bigint // 16 AS rws, w::bigint // 16 AS cols, unnest(generate_series(0, h::bigint // 16 - 1)) AS r FROM sized)) GROUP BY image_id"""
+
+
+def _position_sums(t: Tables, interpolate: bool) -> DataFrame:
+    size = resized(F.col("width"), F.col("height"), TRAIN_VAE)
+    sized = t["images"].select("image_id", size.alias("s"))
+    ids = ly.patch_positions(F.col("s.height"), F.col("s.width"), 16, 64, interpolate)
+    return (
+        sized.select("image_id", F.posexplode(ids).alias("slot", "position"))
+        .groupBy("image_id")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("position").alias("total"),
+            F.sum((F.col("slot") + 1) * F.col("position")).alias("ordered"),
+        )
+    )
+
+
+@query("patch_positions", _positions("r * 64 + c"), "images", {"sized": resize_sql("images", TRAIN_VAE)})
+def _(t):
+    return _position_sums(t, False)
+
+
+@query("patch_positions_stretched", _positions("(r * 64 // rws) * 64 + c * 64 // cols"), "images", {"sized": resize_sql("images", TRAIN_VAE)})
+def _(t):
+    return _position_sums(t, True)
+
+
+@query(
+    "pad_stats",
+    f"""SELECT shard, pack_no, used, {MAX_TOTAL} - used AS tail_pad, n_images, max_height, max_width, real_area, n_images * max_height * max_width AS padded_area FROM (
+  SELECT shard, pack_no, sum(seg_len)::bigint AS used, count(*) FILTER (kind = 'vae_image' AND NOT dropped) AS n_images,
+    max(256::bigint) FILTER (kind = 'vae_image' AND NOT dropped) AS max_height, max(n_tokens) FILTER (kind = 'vae_image' AND NOT dropped) AS max_width,
+    sum(256 * n_tokens) FILTER (kind = 'vae_image' AND NOT dropped)::bigint AS real_area FROM laid GROUP BY shard, pack_no)""",
+    "segments",
+    LAYOUT,
+)
+def _(t):
+    rows = laid_out(t)
+    # 16-pixel patches in 16 rows: the width in pixels equals the token count.
+    images = rows.filter("kind = 'vae_image' AND NOT dropped").select(
+        "shard", "pack_no", F.lit(256).cast("bigint").alias("height"), F.col("n_tokens").alias("width")
+    )
+    used = rows.groupBy("shard", "pack_no").agg(F.sum("seg_len").alias("used"))
+    return ly.pad_stats(images, used, MAX_TOTAL)
+
+
+SPECIAL = ly.SpecialTokens(bos=1, eos=2, start_of_image=3, end_of_image=4)
+
+
+@query(
+    "pack_records",
+    f"""SELECT shard, pack_no, sum(n + 2)::bigint AS sequence_length, count(DISTINCT pack_pos) AS n_samples, count(*) AS n_splits,
+  sum(CASE WHEN kind = 'text' THEN 3 + n * sample_id + n * (n - 1) // 2 ELSE 7 END)::bigint AS text_id_sum,
+  sum(CASE WHEN kind = 'text' THEN (n + 2) * start + (n + 1) * (n + 2) // 2 ELSE 2 * start + n + 1 END)::bigint AS text_index_sum,
+  sum(CASE WHEN kind = 'text' THEN (n + 2) * rope + (n + 1) * (n + 2) // 2 ELSE rope * (n + 2) END)::bigint AS position_sum,
+  sum(CASE WHEN kind = 'text' AND loss = 1 THEN n + 1 ELSE 0 END)::bigint AS n_ce,
+  round(sum(CASE WHEN kind = 'text' AND loss = 1 THEN sqrt(n + 1) ELSE 0 END), 6) AS ce_weight_sum,
+  sum(CASE WHEN kind = 'vae_image' THEN n ELSE 0 END)::bigint AS n_vae, sum(CASE WHEN kind = 'vae_image' AND loss = 1 THEN n ELSE 0 END)::bigint AS n_mse,
+  sum(CASE WHEN kind = 'vit_image' THEN n ELSE 0 END)::bigint AS n_vit
+FROM (SELECT *, n_tokens AS n FROM ({ROPE}) WHERE NOT dropped) GROUP BY shard, pack_no""",
+    "segments",
+    LAYOUT,
+)
+def _(t):
+    rows = ly.rope_positions(laid_out(t))
+    ids = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1), lambda i: i + F.col("sample_id"))
+    rows = rows.withColumn("text_ids", F.when((F.col("kind") == "text") & (F.col("n_tokens") > 0), ids))
+    packs = ly.pack_records(rows, SPECIAL)
+    zero = F.lit(0).cast("bigint")
+    total = lambda c: F.aggregate(c, zero, lambda a, x: a + x)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    return packs.select(
+        "shard",
+        "pack_no",
+        total("sample_lens").alias("sequence_length"),
+        size("sample_lens").alias("n_samples"),
+        size("split_lens").alias("n_splits"),
+        total("packed_text_ids").alias("text_id_sum"),
+        total("packed_text_indexes").alias("text_index_sum"),
+        total("packed_position_ids").alias("position_sum"),
+        size("ce_loss_indexes").alias("n_ce"),
+        F.round(F.aggregate("ce_loss_weights", F.lit(0.0), lambda a, x: a + x), 6).alias("ce_weight_sum"),
+        size("packed_vae_token_indexes").alias("n_vae"),
+        size("mse_loss_indexes").alias("n_mse"),
+        size("packed_vit_token_indexes").alias("n_vit"),
+    )
+
+
+@query("training_records")
+def _(t):
+    segments = t["segments"].withColumn(
+        "text_ids", F.when((F.col("kind") == "text") & (F.col("n_tokens") > 0), F.sequence(F.lit(1).cast("bigint"), "n_tokens"))
+    )
+    rule = pk.PackRule(expected=12000, max_total=14000, max_sample=9000, prefer_buffer=6000, buffer=5)
+    packs = training_records(segments, rule, n_shards(t), SPECIAL, dropout=True)
+    return packs.select("shard", "pack_no", "sequence_length", F.size("split_lens").alias("n_splits"), F.size("mse_loss_indexes").alias("n_mse"))

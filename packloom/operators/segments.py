@@ -64,7 +64,8 @@ def chat_segments(chat: DataFrame, keys: list[str], turn: str = "turn", speaker:
         chat.filter(F.col(speaker).isin("human", "gpt"))
         .withColumn("_marked", marked)
         .withColumn("_n", F.size(pieces))
-        .select("*", F.posexplode(pieces).alias("piece", "_text"))
+        .select("*", F.posexplode(pieces).alias("_at", "_text"))
+        .withColumn("piece", F.col("_at").cast("bigint"))
     )
     stripped = tx.strip(F.col("_text"))
     text = F.when(F.col("_marked"), F.when(stripped != "", stripped)).otherwise(F.col("_text"))
@@ -76,7 +77,7 @@ def chat_segments(chat: DataFrame, keys: list[str], turn: str = "turn", speaker:
     shown = F.filter(
         cells, lambda x: ((x["kind"] == "text") & x["text"].isNotNull()) | ((x["kind"] == "vit_image") & image)
     )
-    return rows.select(*keys, turn, F.col("piece").cast("bigint").alias("piece"), F.inline(shown))
+    return rows.withColumn("_shown", shown).select(*keys, turn, "piece", F.inline("_shown"))
 
 
 def expand_video_marker(chat: DataFrame, sample: str, n_frames: str, is_video: Column, turn: str = "turn", value: str = "value") -> DataFrame:
