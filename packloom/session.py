@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,13 +43,20 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's setting, or a fresh local one if unset."""
-    context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """Shared folder for checkpoints and staged tables.
+
+    The cluster names it in ``spark.checkpoint.dir``; a local folder is made only where
+    that is unset, as in tests.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(configured)
-        return configured
-    fallback = tempfile.mkdtemp(prefix="packloom-checkpoint-")
-    context.setCheckpointDir(fallback)
-    return fallback
+        return configured.rstrip("/")
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="packloom-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new, unused folder name below the shared folder."""
+    return f"{checkpoint_dir(spark)}/packloom-{name}-{uuid.uuid4().hex}"

@@ -50,6 +50,8 @@ def with_input_position(df: DataFrame, out: str = "input_pos") -> DataFrame:
 
 
 _SEPARATOR = {"csv": ",", "tsv": "\t"}
+# Quotes inside a field are doubled, blanks at its ends are part of it.
+_QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _suffix(path: str) -> str:
@@ -60,8 +62,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str | No
     """Table by suffix: json, jsonl, csv or tsv."""
     kind = fmt or _suffix(path)
     if kind in _SEPARATOR:
-        # Quotes inside a field are doubled, and a field may hold line breaks.
-        return spark.read.schema(schema).csv(path, sep=_SEPARATOR[kind], header=True, multiLine=True, quote='"', escape='"')
+        # Fields may hold line breaks, so a file is read by one task; write many files.
+        return spark.read.schema(schema).csv(path, sep=_SEPARATOR[kind], header=True, multiLine=True, **_QUOTING)
     if kind == "jsonl":
         return spark.read.schema(schema).json(path)
     if kind == "json":
@@ -73,7 +75,7 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "e
     """Table by suffix; CSV and TSV quote every field and carry a header."""
     kind = fmt or _suffix(path)
     if kind in _SEPARATOR:
-        df.write.mode(mode).csv(path, sep=_SEPARATOR[kind], header=True, quoteAll=True, quote='"', escape='"', encoding="UTF-8")
+        df.write.mode(mode).csv(path, sep=_SEPARATOR[kind], header=True, quoteAll=True, encoding="UTF-8", **_QUOTING)
     elif kind in ("json", "jsonl"):
         df.write.mode(mode).option("ignoreNullFields", "false").json(path)
     else:
