@@ -271,7 +271,7 @@ def _(t):
         total("packed_text_indexes").alias("text_index_sum"),
         total("packed_position_ids").alias("position_sum"),
         size("ce_loss_indexes").alias("n_ce"),
-        F.round(F.aggregate("ce_loss_weights", F.lit(0.0), lambda a, x: a + x), 6).alias("ce_weight_sum"),
+        F.round(F.coalesce(F.aggregate("ce_loss_weights", F.lit(0.0), lambda a, x: a + x), F.lit(0.0)), 6).alias("ce_weight_sum"),
         size("packed_vae_token_indexes").alias("n_vae"),
         size("mse_loss_indexes").alias("n_mse"),
         size("packed_vit_token_indexes").alias("n_vit"),

@@ -324,10 +324,16 @@ VOCAB = tk.merge_vocabulary(MERGES)
 
 @query("bpe_encode")
 def _(t):
-    return tk.bpe_encode(t["documents"], MERGES, VOCAB, "doc_id", "text").select("doc_id", "n_tokens", F.md5(F.array_join("ids", ",")).alias("digest"))
+    coded = tk.bpe_encode(t["documents"].select("doc_id", "text"), MERGES, VOCAB, "text")
+    return coded.select("doc_id", "n_tokens", F.md5(F.array_join("ids", ",")).alias("digest"))
 
 
 @query("bpe_decode", "SELECT doc_id, text FROM documents")
 def _(t):
-    coded = tk.bpe_encode(t["documents"], MERGES, VOCAB, "doc_id", "text")
+    coded = tk.bpe_encode(t["documents"].select("doc_id", "text"), MERGES, VOCAB, "text").select("doc_id", "ids")
     return tk.bpe_decode(coded, VOCAB).select("doc_id", "text")
+
+
+@query("word_dictionary")
+def _(t):
+    return tk.word_dictionary(t["documents"], MERGES, VOCAB, "text").select("word", "n_uses", F.size("ids").alias("n_tokens"))

@@ -120,7 +120,7 @@ def folder_frames(
     plan itself is a few numbers per folder.
     """
     numbered = files.withColumn("frame_no", frame_number(F.col(path)))
-    ranked = value_rank(numbered, F.col("frame_no"), [F.col(path)], [folder], rank="_at", total="_len")
+    ranked = value_rank(numbered, F.col("frame_no"), [F.col(path)], [folder], rank="_at", total="_len", cells=32)
     wanted = uniform_int(uniform(seed, F.col(folder), "n_frames"), F.lit(min_frames), F.lit(max_frames + 1))
     folders = (
         files.groupBy(folder)

@@ -129,23 +129,27 @@ def with_splits(df: DataFrame) -> DataFrame:
     return df.withColumn("split_no", F.sum(starts).over(w).cast("bigint"))
 
 
-def timesteps(df: DataFrame, seed: int) -> DataFrame:
-    """Noise step per vae image: one normal draw per split with loss, minus infinity otherwise.
-
-    ``first``/``last`` are the image's places without its marks.
-    """
+def with_timesteps(df: DataFrame, seed: int) -> DataFrame:
+    """Add ``timestep``: one normal draw per split for target images, minus infinity for
+    condition images, NULL for other segments."""
     key = F.concat(F.col("sample_id").cast("string"), F.lit(":"), F.col("split_no").cast("string"))
     step = normal(uniform(seed, key, "t1"), uniform(seed, key, "t2"))
+    value = F.when(F.col("loss") == 1, step).otherwise(F.lit(float("-inf")))
+    return with_splits(df).withColumn("timestep", F.when((F.col("kind") == "vae_image") & ~_dropped(df), value))
+
+
+def timesteps(df: DataFrame, seed: int) -> DataFrame:
+    """Noise step per vae image; ``first``/``last`` are its places without its marks."""
     return (
-        with_splits(df)
-        .filter((F.col("kind") == "vae_image") & ~_dropped(df))
+        with_timesteps(df, seed)
+        .filter(F.col("timestep").isNotNull())
         .select(
             *IN_SAMPLE,
             "sample_id",
             "seg_pos",
             "split_no",
             "loss",
-            F.when(F.col("loss") == 1, step).otherwise(F.lit(float("-inf"))).alias("timestep"),
+            "timestep",
             (F.col("start") + 1).alias("first"),
             (F.col("start") + F.col("n_tokens")).alias("last"),
         )
@@ -235,8 +239,9 @@ class SpecialTokens:
 def pack_records(df: DataFrame, special: SpecialTokens, mode: str = "square") -> DataFrame:
     """One nested row per pack, the form trainers read.
 
-    Needs ``start``, ``rope`` and ``text_ids`` (array, NULL for images); ``timestep`` if
-    targets are to be trained. Fields of a kind the pack lacks are NULL.
+    Needs ``start``, ``rope`` and ``text_ids`` (array, NULL for images); ``timestep`` from
+    ``with_timesteps`` if targets are to be trained. Fields of a kind the pack lacks are
+    NULL.
     """
     df = df.filter(~_dropped(df))
     ids = F.coalesce("text_ids", F.array().cast("array<bigint>"))
@@ -284,17 +289,21 @@ def pack_records(df: DataFrame, special: SpecialTokens, mode: str = "square") ->
         if c in df.columns:
             fields[f"vae_{c}s"] = F.when(of("vae_image"), F.array(F.col(c).cast("bigint"))).otherwise(empty)
     always = {"packed_text_ids", "packed_text_indexes", "packed_position_ids"}
-    # Splits and sample lengths first, so the one aggregation per pack sees plain rows.
-    starts = _optional(df, "split_start", F.lit(True))
-    ends = _optional(df, "split_end", F.lit(True))
-    flat = df.select(
+    # Lengths of samples and splits ride on their first segment, so the arrays are read
+    # off in one pass. These windows need no exchange beyond the one on the pack.
+    split = Window.partitionBy(*IN_SAMPLE, "split_no")
+    sample = Window.partitionBy(*IN_SAMPLE)
+    ranked = with_splits(df.withColumn("_len", (n + 2).cast("bigint")))
+    first_in = lambda w: F.row_number().over(w.orderBy("seg_pos")) == 1
+    total = lambda w: F.sum("_len").over(w).cast("bigint")
+    flat = ranked.select(
         *PACK,
         F.struct(
             "pack_pos",
             "seg_pos",
-            (n + 2).cast("bigint").alias("seg_len"),
-            starts.alias("starts"),
-            ends.alias("ends"),
+            F.col("_len").alias("seg_len"),
+            F.when(first_in(sample), total(sample)).alias("sample_len"),
+            F.when(first_in(split), total(split)).alias("split_len"),
             attention_mode(df).alias("mode"),
             *[c.alias(k) for k, c in fields.items()],
         ).alias("_seg"),
@@ -305,30 +314,12 @@ def pack_records(df: DataFrame, special: SpecialTokens, mode: str = "square") ->
         whole = F.flatten(F.transform("_segs", lambda s: s[name]))
         return whole if name in always else F.when(F.size(whole) > 0, whole)
 
-    sample_ids = F.array_distinct(F.transform("_segs", lambda s: s["pack_pos"]))
-    lens = F.transform(
-        sample_ids,
-        lambda p: F.aggregate(
-            F.filter("_segs", lambda s: s["pack_pos"] == p), F.lit(0).cast("bigint"), lambda acc, s: acc + s["seg_len"]
-        ),
-    )
-    modes = F.transform(F.filter("_segs", lambda s: s["starts"]), lambda s: s["mode"])
-    # A split's length is the running length at its end minus that at the previous end.
-    walk = F.aggregate(
-        "_segs",
-        F.struct(F.lit(0).cast("bigint").alias("open"), empty.alias("done")),
-        lambda acc, s: F.struct(
-            F.when(s["ends"], F.lit(0).cast("bigint")).otherwise(acc["open"] + s["seg_len"]).alias("open"),
-            F.when(s["ends"], F.concat(acc["done"], F.array(acc["open"] + s["seg_len"])))
-            .otherwise(acc["done"])
-            .alias("done"),
-        ),
-    )
+    heads = lambda name: F.filter("_segs", lambda s: s[name].isNotNull())
     return packed.select(
         *PACK,
         F.aggregate("_segs", F.lit(0).cast("bigint"), lambda acc, s: acc + s["seg_len"]).alias("sequence_length"),
-        lens.alias("sample_lens"),
-        walk["done"].alias("split_lens"),
-        modes.alias("attn_modes"),
+        F.transform(heads("sample_len"), lambda s: s["sample_len"]).alias("sample_lens"),
+        F.transform(heads("split_len"), lambda s: s["split_len"]).alias("split_lens"),
+        F.transform(heads("split_len"), lambda s: s["mode"]).alias("attn_modes"),
         *[gathered(k).alias(k) for k in fields],
     )

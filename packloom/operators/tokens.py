@@ -1,18 +1,22 @@
-"""Byte-pair token ids as a Spark job.
+"""Byte-pair token ids.
 
-Words repeat, so each distinct word is encoded once: words -> distinct -> encode -> join
-back. Only the merge loop on one short word is Python.
+Texts are split into words in the JVM. Encoding is one map-side pass: word arrays cross to
+Python in Arrow batches, and each worker remembers the words it has met, so nearly every
+word is a look-up. Joining single words back to a dictionary instead would shuffle every
+(document, word) pair twice and put the commonest words on a few hot keys.
+``word_dictionary`` is the distinct-word job for vocabulary statistics.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 # Fixed value: the word split pattern of the byte-level tokenizer.
 WORD_PATTERN = (
@@ -20,9 +24,8 @@ WORD_PATTERN = (
     r"|\s*[\r\n]+|\s+(?!\S)|\s+"
 )
 
-# Words seen in more documents than this are spread over SALTS keys before the join.
-HOT_WORD = 100_000
-SALTS = 256
+# Words a worker remembers; older ones are forgotten first.
+WORD_MEMORY = 1 << 20
 
 
 @F.pandas_udf(StringType())
@@ -78,59 +81,53 @@ def _merge_word(symbols: list[str], ranks: Mapping[tuple[str, str], int]) -> lis
     return symbols
 
 
-def encode_words(words: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], unk: int | None = None, word: str = "word") -> DataFrame:
-    """Token ids of each word. The broadcast tables are the tokenizer's, fixed in size."""
-    tables = words.sparkSession.sparkContext.broadcast(
+def _encoder(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], unk: int | None):
+    """Function word -> ids for use inside tasks. The broadcast tables are the tokenizer's, fixed in size."""
+    tables = df.sparkSession.sparkContext.broadcast(
         ({pair: i for i, pair in enumerate(merges)}, dict(vocab), byte_alphabet())
     )
 
-    @F.pandas_udf("array<bigint>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         ranks, codes, alphabet = tables.value
-        for batch in batches:
-            yield batch.map(
-                lambda w: [codes.get(s, unk) for s in _merge_word([alphabet[b] for b in w.encode("utf-8")], ranks)]
-            )
 
-    return words.withColumn("ids", ids(F.col(word)))
+        @lru_cache(WORD_MEMORY)
+        def encode(word: str) -> list[int]:
+            return [codes.get(s, unk) for s in _merge_word([alphabet[b] for b in word.encode("utf-8")], ranks)]
 
+        return encode
 
-def word_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per (document, distinct word) with the word's places in the text."""
-    tokens = df.select(key, pretokens(nfc(F.col(text))).alias("_tokens"))
-    return (
-        tokens.select(key, F.posexplode("_tokens").alias("pos", "word"))
-        .groupBy(key, "word")
-        .agg(F.collect_list("pos").alias("places"))
-    )
+    return make
+
+
+def bpe_encode(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], text: str, unk: int | None = None, out: str = "ids") -> DataFrame:
+    """Add the token ids of a text column and their number ``n_tokens``; NULL text has no ids."""
+    make = _encoder(df, merges, vocab, unk)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make()
+        for batch in batches:
+            yield batch.map(lambda words: [i for w in words for i in encode(w)], na_action="ignore")
 
+    words = F.coalesce(pretokens(nfc(F.col(text))), F.array().cast("array<string>"))
+    return df.withColumn(out, ids(words)).withColumn("n_tokens", F.size(out).cast("bigint"))
 
-def bpe_encode(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], key: str, text: str, unk: int | None = None) -> DataFrame:
-    """Token ids per document: ``key, ids, n_tokens``; a text without words gets no ids.
 
-    Rows that travel are (document, distinct word), not single tokens. Very common words
-    are salted: their dictionary row is copied to every salt, their uses are spread.
+def word_dictionary(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], text: str, unk: int | None = None) -> DataFrame:
+    """Distinct words with their number of uses and their ids, each word encoded once.
+
+    Counting combines before the shuffle, so common words cost one row per task.
     """
-    uses = word_rows(df, key, text)
-    counted = uses.groupBy("word").agg(F.count(F.lit(1)).alias("_docs"))
-    coded = encode_words(counted, merges, vocab, unk)
-    salts = F.when(F.col("_docs") > HOT_WORD, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    coded = coded.select("word", "ids", F.explode(salts).alias("_salt"), (F.col("_docs") > HOT_WORD).alias("_hot"))
-    # Which words are hot must be known on both sides; hot words are few by definition:
-    # at most (rows / HOT_WORD) of them, and Spark broadcasts them only if they fit.
-    hot = counted.filter(F.col("_docs") > HOT_WORD).select("word", F.lit(True).alias("_is_hot"))
-    salted = uses.join(hot, "word", "left").withColumn(
-        "_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    )
-    joined = salted.join(coded, ["word", "_salt"])
-    pieces = F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("pos"), F.col("ids")))))
-    encoded = joined.groupBy(key).agg(F.array_sort(pieces).alias("_pieces")).select(
-        F.col(key).alias("_key"), F.flatten(F.transform("_pieces", lambda s: s["ids"])).alias("_ids")
-    )
-    ids = F.coalesce("_ids", F.array().cast("array<bigint>"))
-    return df.select(key).join(encoded, F.col(key) == F.col("_key"), "left").select(
-        key, ids.alias("ids"), F.size(ids).cast("bigint").alias("n_tokens")
-    )
+    counted = df.select(F.explode(pretokens(nfc(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_uses"))
+    make = _encoder(df, merges, vocab, unk)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make()
+        for batch in batches:
+            yield batch.map(encode)
+
+    return counted.withColumn("ids", ids(F.col("word")))
 
 
 def bpe_decode(df: DataFrame, vocab: Mapping[str, int], ids: str = "ids", out: str = "text") -> DataFrame:
@@ -139,7 +136,7 @@ def bpe_decode(df: DataFrame, vocab: Mapping[str, int], ids: str = "ids", out: s
     known = {i: bytes(back[c] for c in s if c in back) for s, i in vocab.items()}
     table = df.sparkSession.sparkContext.broadcast(known)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = table.value
         for batch in batches:

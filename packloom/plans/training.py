@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import layout as ly
 from ..operators.packing import PackRule, pack
 from ..operators.rank import even_chunks
 from ..operators.segments import sample_lengths
+from ..session import staged
 
 
 def pack_segments(
@@ -21,20 +21,21 @@ def pack_segments(
     """Shuffle samples into even shards, pack each shard, lay the segments out.
 
     Choose ``n_shards`` to grow with the sample count; a shard is one sequential task
-    over its ids and lengths.
+    over its ids and lengths. Lengths and packs, three narrow columns each, are written
+    to the shared folder: the segments are summed once, and a lost executor costs no more
+    than its own tasks.
     """
     if dropout:
         segments = ly.drop_conditions(segments, seed)
         lengths = ly.kept_lengths(segments)
     else:
         lengths = sample_lengths(segments)
-    shards = even_chunks(lengths, "sample_id", n_shards, seed, chunk="shard", position="seq")
-    packs = pack(shards, rule, kept="kept" if dropout else None)
+    shards = even_chunks(staged(lengths, "lengths"), "sample_id", n_shards, seed, chunk="shard", position="seq")
+    packs = staged(pack(shards, rule, kept="kept" if dropout else None), "packs")
     return ly.rope_positions(ly.segment_offsets(ly.packed_segments(segments, packs)))
 
 
 def training_records(segments: DataFrame, rule: PackRule, n_shards: int, special: ly.SpecialTokens, seed: int = 42, dropout: bool = False) -> DataFrame:
     """Nested pack rows ready to be written as Parquet."""
     laid = pack_segments(segments, rule, n_shards, seed, dropout)
-    steps = ly.timesteps(laid, seed).select("sample_id", "seg_pos", "timestep")
-    return ly.pack_records(laid.join(steps, ["sample_id", "seg_pos"], "left"), special)
+    return ly.pack_records(ly.with_timesteps(laid, seed), special)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,3 +60,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new, unused folder name below the shared folder."""
     return f"{checkpoint_dir(spark)}/packloom-{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below the shared folder and read it back: cuts lineage, computes once."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def child_folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a folder's direct children on any Hadoop file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def first_bytes(spark: SparkSession, path: str, n: int = 1024) -> bytes:
+    """The first bytes of a file, or of the first file of a folder or pattern."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(target) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        for file in sorted((f.getPath() for f in inside if f.isFile() and f.getLen()), key=lambda f: f.getName()):
+            if file.getName()[0] in "_.":
+                continue
+            stream = fs.open(file)
+            try:
+                return bytes(stream.readNBytes(n))
+            finally:
+                stream.close()
+    return b""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rank import even_chunks
+from ..session import child_folders
 
 
 def list_files(spark: SparkSession, dirs: Sequence[str], suffix: str = ".parquet") -> DataFrame:
@@ -44,12 +45,14 @@ def write_shards(df: DataFrame, path: str, n: int, key: str, seed: int = 42, mod
     """
     chunks = even_chunks(df, key, n, seed, chunk="chunk", position="_position")
     ordered = chunks.repartition(n, "chunk").sortWithinPartitions("chunk", "_position")
-    ordered.drop("_position", *([key] if key.startswith("_") else [])).write.mode(mode).partitionBy("chunk").parquet(path)
+    hidden = [c for c in ("_position", key) if c.startswith("_")]
+    ordered.drop(*hidden).write.mode(mode).partitionBy("chunk").parquet(path)
     spark = df.sparkSession
-    written = {r["chunk"] for r in spark.read.parquet(path).select("chunk").distinct().limit(n).collect()} if n > 0 else set()
-    for missing in sorted(set(range(n)) - written):  # fewer rows than shards: empty shard files
-        empty = spark.createDataFrame([], df.drop(*([key] if key.startswith("_") else [])).schema)
-        empty.coalesce(1).write.mode("overwrite").parquet(f"{path}/chunk={missing}")
+    written = set(child_folders(spark, path))
+    for i in range(n):
+        if f"chunk={i}" not in written:  # fewer rows than shards: an empty shard file
+            empty = spark.createDataFrame([], df.drop(*hidden).schema)
+            empty.coalesce(1).write.parquet(f"{path}/chunk={i}")
 
 
 def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import first_bytes
+
 TRAINING_RECORD = StructType(
     [
         StructField(c, StringType())
@@ -18,10 +20,8 @@ EXPORT_COLUMNS = ("before_image_path", "after_image_path", "instruction", "reaso
 
 
 def is_json_array(spark: SparkSession, path: str) -> bool:
-    """True if the first non-blank character is an opening bracket. Reads up to the first such line."""
-    first = spark.read.text(path).select(F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1).alias("c"))
-    head = first.filter("c <> ''").limit(1).collect()
-    return bool(head) and head[0]["c"] == "["
+    """True if the first non-blank character of the first 1024 bytes is an opening bracket."""
+    return first_bytes(spark, path).decode("utf-8", "ignore").lstrip("\ufeff \t\r\n").startswith("[")
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType = TRAINING_RECORD, bad_rows: str | None = None) -> DataFrame:

@@ -16,21 +16,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.evaluation import latest_judgements
+from ..session import child_folders
 
 
 def _children(spark: SparkSession, folder: str, prefix: str) -> list[int]:
     """Numbers of the finished ``prefix=<number>`` folders."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = spark._jvm.org.apache.hadoop.fs.Path
-    numbers = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith(prefix + "=") and fs.exists(done(status.getPath(), "_SUCCESS")):
-            numbers.append(int(name.split("=", 1)[1]))
-    return sorted(numbers)
+    names = [c for c in child_folders(spark, folder) if c.startswith(f"{prefix}=")]
+    return sorted(int(c.split("=", 1)[1]) for c in names if "_SUCCESS" in child_folders(spark, f"{folder}/{c}"))
 
 
 def read_results(spark: SparkSession, table: str, schema: StructType, upto: int | None = None, key: str = "item_key", seq: str = "seq") -> DataFrame:
