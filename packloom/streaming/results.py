@@ -19,17 +19,18 @@ from ..operators.evaluation import latest_judgements
 from ..session import child_folders
 
 
-def _children(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Numbers of the finished ``prefix=<number>`` folders."""
+def _children(spark: SparkSession, folder: str, prefix: str, after: int = -1) -> list[int]:
+    """Numbers above ``after`` of the finished ``prefix=<number>`` folders."""
     names = [c for c in child_folders(spark, folder) if c.startswith(f"{prefix}=")]
-    return sorted(int(c.split("=", 1)[1]) for c in names if "_SUCCESS" in child_folders(spark, f"{folder}/{c}"))
+    numbers = sorted(n for n in (int(c.split("=", 1)[1]) for c in names) if n > after)
+    return [n for n in numbers if "_SUCCESS" in child_folders(spark, f"{folder}/{prefix}={n}")]
 
 
 def read_results(spark: SparkSession, table: str, schema: StructType, upto: int | None = None, key: str = "item_key", seq: str = "seq") -> DataFrame:
     """Latest row per key of the result table."""
     bases = [b for b in _children(spark, f"{table}/base", "upto") if upto is None or b <= upto]
     base = bases[-1] if bases else -1
-    deltas = [d for d in _children(spark, f"{table}/delta", "batch") if d > base and (upto is None or d <= upto)]
+    deltas = [d for d in _children(spark, f"{table}/delta", "batch", base) if upto is None or d <= upto]
     paths = ([f"{table}/base/upto={base}"] if bases else []) + [f"{table}/delta/batch={d}" for d in deltas]
     if not paths:
         return spark.createDataFrame([], schema)
