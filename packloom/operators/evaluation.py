@@ -71,9 +71,12 @@ def score_items(df: DataFrame) -> DataFrame:
 
 
 def scored_items(items: DataFrame, judgements: DataFrame, key: str = "item_key", seq: str = "seq") -> DataFrame:
-    """Items joined to their latest judgement, gated and scored."""
-    latest = latest_judgements(parse_answers(judgements), key, seq)
-    return score_items(gate_scores(attach_judgements(items, latest, key)))
+    """Items joined to their latest judgement, gated and scored.
+
+    Only the key, the order and the three scores of a judgement take part in the shuffle.
+    """
+    scores = parse_answers(judgements.select(key, seq, *ANSWERS))
+    return score_items(gate_scores(attach_judgements(items, latest_judgements(scores, key, seq), key)))
 
 
 def overall(df: DataFrame) -> DataFrame:
@@ -95,14 +98,19 @@ def by_name(df: DataFrame) -> DataFrame:
 def report(df: DataFrame) -> DataFrame:
     """Overall rows and one row per class, in report order (``ordinal``, then metric).
 
-    One pass: grouping sets (), (name). ``grouping_id`` keeps the total apart from NULL
-    names, which count in the total but get no class row.
+    Sums per name come first, so the grouping sets (), (name) expand one row per name and
+    not one per item. ``grouping_id`` keeps the total apart from NULL names, which count
+    in the total but get no class row.
     """
+    measures = ("score", "complete", "reasoning", "appr_consistency", "visual_plausibility")
+    sums = df.groupBy("name").agg(
+        *[F.sum(c).cast("double").alias(f"_sum_{c}") for c in measures], *[F.count(c).alias(f"_n_{c}") for c in measures]
+    )
     means = (
-        df.groupingSets([[], [F.col("name")]], F.col("name"))
+        sums.groupingSets([[], [F.col("name")]], F.col("name"))
         .agg(
             F.grouping_id().alias("_total"),
-            *[F.avg(c).alias(c) for c in ("score", "complete", "reasoning", "appr_consistency", "visual_plausibility")],
+            *[F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_n_{c}")).alias(c) for c in measures],
         )
         .filter((F.col("_total") == 1) | F.col("name").isNotNull())
     )

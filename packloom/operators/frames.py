@@ -72,9 +72,8 @@ def fps_frames(vlen: Column, fps: Column, rate: float, max_frames: int = -1) ->
     duration = vlen.cast("double") / fps
     # Same count as a half-open float range: points from delta/2 up to duration + delta/2.
     count = F.ceil(((duration + F.lit(delta / 2)) - F.lit(delta / 2)) / F.lit(delta)).cast("bigint")
-    centres = F.transform(
-        _range(count), lambda i: F.bround((F.lit(delta / 2) + i * F.lit(delta)) * fps).cast("bigint")
-    )
+    step = (delta / 2 + delta) - delta / 2  # the spacing such a range really has
+    centres = F.transform(_range(count), lambda i: F.bround((F.lit(delta / 2) + i * F.lit(step)) * fps).cast("bigint"))
     inside = F.filter(centres, lambda f: f < vlen)
     return F.slice(inside, 1, max_frames) if max_frames > 0 else inside
 

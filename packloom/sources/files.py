@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.rank import even_chunks
 from ..session import child_folders
@@ -33,9 +34,13 @@ def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFra
     return found.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "length")
 
 
-def read_parquet_dirs(spark: SparkSession, dirs: Sequence[str], skip_corrupt: bool = True) -> DataFrame:
-    """Rows of all folders. A missing folder is an error, a corrupt file is skipped."""
-    return spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(*dirs)
+def read_parquet_dirs(spark: SparkSession, dirs: Sequence[str], schema: StructType | str | None = None, skip_corrupt: bool = True) -> DataFrame:
+    """Rows of all folders. A missing folder is an error, a corrupt file is skipped.
+
+    With a schema no file is opened to find one, so the first may be corrupt as well.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
+    return (reader.schema(schema) if schema else reader).parquet(*dirs)
 
 
 def write_shards(df: DataFrame, path: str, n: int, key: str, seed: int = 42, mode: str = "errorifexists") -> None:

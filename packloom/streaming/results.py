@@ -26,9 +26,22 @@ def _children(spark: SparkSession, folder: str, prefix: str, after: int = -1) ->
     return [n for n in numbers if "_SUCCESS" in child_folders(spark, f"{folder}/{prefix}={n}")]
 
 
-def read_results(spark: SparkSession, table: str, schema: StructType, upto: int | None = None, key: str = "item_key", seq: str = "seq") -> DataFrame:
-    """Latest row per key of the result table."""
-    bases = [b for b in _children(spark, f"{table}/base", "upto") if upto is None or b <= upto]
+def read_results(
+    spark: SparkSession,
+    table: str,
+    schema: StructType,
+    upto: int | None = None,
+    key: str = "item_key",
+    seq: str = "seq",
+    rebuild: bool = False,
+) -> DataFrame:
+    """Latest row per key of the result table, as of batch ``upto``.
+
+    ``rebuild`` leaves out a base of that very batch: a replayed compaction must not read
+    the folder it overwrites.
+    """
+    last = upto if not rebuild else upto - 1
+    bases = [b for b in _children(spark, f"{table}/base", "upto") if last is None or b <= last]
     base = bases[-1] if bases else -1
     deltas = [d for d in _children(spark, f"{table}/delta", "batch", base) if upto is None or d <= upto]
     paths = ([f"{table}/base/upto={base}"] if bases else []) + [f"{table}/delta/batch={d}" for d in deltas]
@@ -46,7 +59,7 @@ def upsert_batch(table: str, schema: StructType, compact_every: int = 20, key: s
         spark = batch.sparkSession
         latest_judgements(batch, key, seq).select(*names).write.mode("overwrite").parquet(f"{table}/delta/batch={batch_id}")
         if compact_every and (batch_id + 1) % compact_every == 0:
-            merged = read_results(spark, table, schema, batch_id, key, seq)
+            merged = read_results(spark, table, schema, batch_id, key, seq, rebuild=True)
             merged.select(*names).write.mode("overwrite").parquet(f"{table}/base/upto={batch_id}")
 
     return write
