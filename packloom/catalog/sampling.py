@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rank as rk
 from ..operators import sampling as sa
+from ..plans.feeds import reading_plan
 from .core import query
 
 U = "('0x' || substr(md5('{seed}|' || cast({key} AS string) || '|{tag}'), 1, 12))::bigint / 281474976710656.0"
@@ -221,3 +222,22 @@ def _(t):
 )
 def _(t):
     return sa.progress_ledger(t["feed"], ["source"], ["rg_idx", "row_idx"])
+
+
+@query(
+    "reading_plan",
+    f"""SELECT path, entry, rg_idx, r // per_rank AS rank, local // per_worker AS worker, per_worker - 1 - local % per_worker AS position FROM (
+  SELECT *, r % per_rank AS local, per_rank // 2 AS per_worker FROM (
+    SELECT *, row_number() OVER {shuffled("unit", 42)} - 1 AS r, count(*) OVER () // 4 AS per_rank FROM units) WHERE r < per_rank * 4) WHERE local < per_worker * 2""",
+    "feed manifest",
+    {
+        "files": FILE_LIST,
+        "wanted": WANTED,
+        "entries": """SELECT w.source, f.path, unnest(generate_series(0, n_wanted - 1)) AS entry FROM wanted w JOIN files f ON f.source = w.source""",
+        "units": """SELECT *, path || '|' || cast(entry AS string) || '|' || cast(rg_idx AS string) AS unit FROM (
+  SELECT e.path, e.entry, unnest(generate_series(0, m.num_row_groups - 1)) AS rg_idx FROM entries e JOIN manifest m ON m.path = e.path)""",
+    },
+)
+def _(t):
+    plan = reading_plan(t.sql(FILE_LIST, "feed"), t.sql(WANTED, "feed"), t["manifest"], 4, 2)
+    return plan.select("path", "entry", "rg_idx", "rank", "worker", "position")

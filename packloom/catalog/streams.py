@@ -63,8 +63,8 @@ def _(t):
 
 @query("registered_source", _edit_sql(r"regexp_replace(instruction, '\s+$', '')", duck_strip("reasoning")), "samples", {"edits": EDITS})
 def _(t):
-    rg.register_source("plain_edit", lambda df: sg.edit_segments(df, ["sample_id"], style="plain"))
-    return rg.build_source("plain_edit", t.sql(EDITS, "samples")).select(*SHOWN)
+    rg.register_source("plain_edit", lambda df, keys: sg.edit_segments(df, keys, style="plain"))
+    return rg.build_source("plain_edit", t.sql(EDITS, "samples"), keys=["sample_id"]).select(*SHOWN)
 
 
 @query(

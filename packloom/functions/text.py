@@ -17,25 +17,27 @@ FRAME_NUMBER = r"_(\d+).jpg$"
 TURN_START = r"<\|im_start\|>"
 TURN_END = "<|im_end|>"
 
-# Java's Unicode \s lacks the four separators Python strips as well.
-_BLANK = r"[\s\x1c-\x1f]"
-# Possessive runs, and the right-hand run only tried from its start: linear on long blanks.
-_LEFT = rf"^{_BLANK}++"
-_RIGHT = rf"(?<!{_BLANK}){_BLANK}++\z"
+# The white space characters of Unicode and the four separators next to them.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    """Remove white space, Unicode included, from both ends."""
-    return F.regexp_replace(c, f"(?U){_LEFT}|{_RIGHT}", "")
+    """Remove white space, Unicode included, from both ends; only the ends are looked at."""
+    return F.trim(c, F.lit(WHITE))
 
 
 def strip_right(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)(?:^|(?<!{_BLANK})){_BLANK}++\\z", "")
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def strip_quotes(c: Column) -> Column:
     """Strip white space, then the runs of double quotes at both ends."""
-    return F.regexp_replace(strip(c), r'^"++|(?<!")"++\z', "")
+    return F.trim(strip(c), F.lit('"'))
+
+
+def squeeze(c: Column) -> Column:
+    """Every run of white space becomes one blank."""
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")
 
 
 def present(c: Column) -> Column:
@@ -104,14 +106,14 @@ def drop_thought_labels(c: Column) -> Column:
 def canonicalize(c: Column, keep: str | None = None) -> Column:
     """Delete ASCII punctuation, squeeze white space, strip; ``keep`` survives as a whole."""
     def bare(part: Column) -> Column:
-        return F.translate(part, string.punctuation, "")
+        return F.regexp_replace(part, r"\p{Punct}+", "")  # Java: the 32 ASCII characters
 
     if keep:
         quoted = "\\Q" + keep.replace("\\E", "\\E\\\\E\\Q") + "\\E"
         c = F.array_join(F.transform(F.split(c, quoted), bare), keep)
     else:
         c = bare(c)
-    return strip(F.regexp_replace(c, rf"(?U){_BLANK}+", " "))
+    return strip(squeeze(c))
 
 
 def fill_prompt(template: str, **values: Column) -> Column:

@@ -37,7 +37,7 @@ def file_flags(df: DataFrame, manifest: DataFrame, paths: Sequence[str], path: s
 
 def skip_reasons(
     df: DataFrame,
-    manifest: DataFrame,
+    manifest: DataFrame | None,
     required: Sequence[str],
     before: str,
     after: str,
@@ -47,9 +47,12 @@ def skip_reasons(
 
     ``reason`` is NULL, ``parse_failures``, ``missing_fields`` or ``missing_images``, the
     earlier test winning; ``missing_path`` is the missing file reported, the *before*
-    image first.
+    image first. Without a manifest no file is looked for.
     """
-    flagged = file_flags(df, manifest, [before, after])
+    if manifest is None:
+        flagged = df.withColumns({f"{c}_exists": F.lit(True) for c in (before, after)})
+    else:
+        flagged = file_flags(df, manifest, [before, after])
     lacking = ~tx.present(F.col(required[0]))
     for c in required[1:]:
         lacking = lacking | ~tx.present(F.col(c))

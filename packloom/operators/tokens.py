@@ -12,7 +12,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,6 @@ WORD_PATTERN = (
     r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*"
     r"|\s*[\r\n]+|\s+(?!\S)|\s+"
 )
-
 # Words a worker remembers; older ones are forgotten first.
 WORD_MEMORY = 1 << 20
 
@@ -63,25 +64,28 @@ def merge_vocabulary(merges: Sequence[tuple[str, str]]) -> dict[str, int]:
 
 
 def _merge_word(symbols: list[str], ranks: Mapping[tuple[str, str], int]) -> list[str]:
-    none = len(ranks)
+    """Join the lowest-ranked neighbours, all of them at once, until none has a rank."""
     while len(symbols) > 1:
-        pairs = list(zip(symbols, symbols[1:]))
-        best = min(pairs, key=lambda p: ranks.get(p, none))
-        if best not in ranks:
+        ranked = [ranks[p] for p in zip(symbols, symbols[1:]) if p in ranks]
+        if not ranked:
             break
-        joined, at = [], 0
-        while at < len(symbols):
-            if at < len(pairs) and pairs[at] == best:
-                joined.append(symbols[at] + symbols[at + 1])
-                at += 2
+        best = min(ranked)
+        joined, held = [], None
+        for symbol in symbols:
+            if held is not None and ranks.get((held, symbol)) == best:
+                joined.append(held + symbol)
+                held = None
             else:
-                joined.append(symbols[at])
-                at += 1
+                if held is not None:
+                    joined.append(held)
+                held = symbol
+        if held is not None:
+            joined.append(held)
         symbols = joined
     return symbols
 
 
-def _encoder(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], unk: int | None):
+def _encoder(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], unk: int):
     """Function word -> ids for use inside tasks. The broadcast tables are the tokenizer's, fixed in size."""
     tables = df.sparkSession.sparkContext.broadcast(
         ({pair: i for i, pair in enumerate(merges)}, dict(vocab), byte_alphabet())
@@ -91,29 +95,33 @@ def _encoder(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[st
         ranks, codes, alphabet = tables.value
 
         @lru_cache(WORD_MEMORY)
-        def encode(word: str) -> list[int]:
-            return [codes.get(s, unk) for s in _merge_word([alphabet[b] for b in word.encode("utf-8")], ranks)]
+        def encode(word: str) -> tuple[int, ...]:
+            symbols = _merge_word([alphabet[b] for b in word.encode("utf-8")], ranks)
+            return tuple([codes.get(s, unk) for s in symbols])
 
         return encode
 
     return make
 
 
-def bpe_encode(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], text: str, unk: int | None = None, out: str = "ids") -> DataFrame:
-    """Add the token ids of a text column and their number ``n_tokens``; NULL text has no ids."""
+def bpe_encode(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], text: str, unk: int = -1, out: str = "ids") -> DataFrame:
+    """Add the token ids of a text column and their number ``n_tokens``; NULL text has no ids.
+
+    A symbol outside the vocabulary gets ``unk``; byte-level vocabularies cover every text.
+    """
     make = _encoder(df, merges, vocab, unk)
 
     @F.pandas_udf(ArrayType(LongType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = make()
         for batch in batches:
-            yield batch.map(lambda words: [i for w in words for i in encode(w)], na_action="ignore")
+            yield batch.map(lambda words: np.fromiter(chain.from_iterable(map(encode, words)), dtype="int64"))
 
     words = F.coalesce(pretokens(nfc(F.col(text))), F.array().cast("array<string>"))
     return df.withColumn(out, ids(words)).withColumn("n_tokens", F.size(out).cast("bigint"))
 
 
-def word_dictionary(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], text: str, unk: int | None = None) -> DataFrame:
+def word_dictionary(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], text: str, unk: int = -1) -> DataFrame:
     """Distinct words with their number of uses and their ids, each word encoded once.
 
     Counting combines before the shuffle, so common words cost one row per task.

@@ -10,24 +10,23 @@ from ..operators.clean import skip_reasons, skip_report
 from ..sources.files import shard_manifest, write_manifest, write_shards
 from ..sources.records import EXPORT_COLUMNS, read_records, with_input_position, write_json
 
-KEY = "_key"
+KEY, BAD = "_key", "_bad_row"
 
 
-def judged_records(records: DataFrame, manifest: DataFrame | None, base: str) -> DataFrame:
-    """Records in export form with the ``reason`` each skipped one is skipped for."""
+def judged_records(records: DataFrame, manifest: DataFrame | None, base: str, parsed_ok: str | None = None) -> DataFrame:
+    """Records in export form with the ``reason`` each skipped one is skipped for.
+
+    ``parsed_ok`` names a flag column: rows where it is false count as parse failures.
+    """
     full = records.withColumns(
         {
             "before_image_path": tx.join_path(base, F.col("original_image_path")),
             "after_image_path": tx.join_path(base, F.col("edited_image_path")),
         }
     )
-    if manifest is None:
-        missing = ~tx.present(F.col("instruction")) | ~tx.present(F.col("reasoning"))
-        judged = full.withColumn("reason", F.when(missing, "missing_fields")).withColumn(
-            "missing_path", F.lit(None).cast("string")
-        )
-    else:
-        judged = skip_reasons(full, manifest, ["instruction", "reasoning"], "before_image_path", "after_image_path")
+    judged = skip_reasons(
+        full, manifest, ["instruction", "reasoning"], "before_image_path", "after_image_path", parsed_ok
+    )
     return judged.withColumns(
         {
             "instruction": tx.strip(F.col("instruction")),
@@ -58,8 +57,8 @@ def export(
     The judged table is written once and read back three times, so the file joins run
     once and nothing is recomputed when an executor is lost.
     """
-    records = with_input_position(read_records(spark, source))
-    judged = judged_records(records, manifest, base)
+    read = with_input_position(read_records(spark, source, bad_rows=BAD)).withColumn("_parsed", F.col(BAD).isNull())
+    judged = judged_records(read, manifest, base, "_parsed")
     staged = f"{out}/staged"
     judged.select(*EXPORT_COLUMNS, "input_pos", "reason").write.parquet(staged)
     rows = spark.read.parquet(staged)

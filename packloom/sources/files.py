@@ -46,10 +46,11 @@ def read_parquet_dirs(spark: SparkSession, dirs: Sequence[str], schema: StructTy
 def write_shards(df: DataFrame, path: str, n: int, key: str, seed: int = 42, mode: str = "errorifexists") -> None:
     """Exactly n Parquet shards ``chunk=i`` of near-equal size, rows in seeded order.
 
-    One exchange brings each chunk to one task, which sorts and writes it.
+    One exchange brings each chunk to one task, which sorts and writes it. More hash
+    partitions than chunks keep two chunks from often meeting in one task.
     """
     chunks = even_chunks(df, key, n, seed, chunk="chunk", position="_position")
-    ordered = chunks.repartition(n, "chunk").sortWithinPartitions("chunk", "_position")
+    ordered = chunks.repartition(4 * n, "chunk").sortWithinPartitions("chunk", "_position")
     hidden = [c for c in ("_position", key) if c.startswith("_")]
     ordered.drop(*hidden).write.mode(mode).partitionBy("chunk").parquet(path)
     spark = df.sparkSession

@@ -99,6 +99,12 @@ def test_export_end_to_end(spark, tmp_path):
     assert sorted(r.num_rows for r in manifest) == [1, 1]
 
 
+def test_export_counts_parse_failures_and_may_skip_the_file_test(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("\n".join([json.dumps(RECORDS[0]), "{broken", "", json.dumps(RECORDS[2])]))
+    counts = export(spark, str(tmp_path / "in.jsonl"), "/data", str(tmp_path / "out"), n_chunks=2)
+    assert {r.reason: r.n_rows for r in counts.collect()} == {"kept": 1, "parse_failures": 1, "missing_fields": 1}
+
+
 def test_report_file(spark, tmp_path):
     rows = [(4, "Class-x", 2.5, 37.5, 0.5), (0, "Overall", 3.0, 50.0, 1.0), (1, "Overall_Reasoning", 3.0, 50.0, None)]
     report = spark.createDataFrame(rows, "ordinal bigint, metric string, score_origin double, score_percentage double, accuracy double")
