@@ -184,13 +184,13 @@ def _(t):
 
 
 @query(
-    "image_sizes_simple",
-    f"SELECT image_id, {_grid('width', 'k', 16)}::bigint AS w, {_grid('height', 'k', 16)}::bigint AS h FROM "
-    "(SELECT *, greatest(least(1024.0 / greatest(width, height), 1.0), 512.0 / least(width, height))::double AS k FROM images)",
+    "image_sizes_output",
+    "SELECT image_id, w::bigint AS w, h::bigint AS h FROM sized",
     "images",
+    {"sized": resize_sql("images", ge.INFER_OUTPUT)},
 )
 def _(t):
-    size = ge.simple_resized(F.col("width"), F.col("height"), 1024, 512)
+    size = ge.resized(F.col("width"), F.col("height"), ge.INFER_OUTPUT)
     return t["images"].select("image_id", size.alias("s")).select("image_id", F.col("s.width").alias("w"), F.col("s.height").alias("h"))
 
 
@@ -290,7 +290,7 @@ UNION ALL SELECT p.folder, p.path, s.i FROM placed p JOIN (SELECT folder, i, (((
     steps={
         "files": FOLDER_FILES,
         "placed": f"""SELECT *, 4 + cast(floor({duck_u(2, 'folder', 'n_frames')} * 5) AS bigint) AS want FROM (
-  SELECT *, row_number() OVER (PARTITION BY folder ORDER BY n_chars, path) - 1 AS at0, count(*) OVER (PARTITION BY folder) AS n FROM files)""",
+  SELECT *, row_number() OVER (PARTITION BY folder ORDER BY n_chars, md5('0|' || path), path) - 1 AS at0, count(*) OVER (PARTITION BY folder) AS n FROM files)""",
     },
 )
 def _(t):

@@ -23,6 +23,7 @@ class ResizeRule:
 # The size limits of the published training and inference settings.
 TRAIN_VAE = ResizeRule(1024, 512, 16)
 TRAIN_VIT = ResizeRule(518, 224, 14)
+INFER_OUTPUT = ResizeRule(1024, 512, 16, None)  # size of the picture to make: no pixel budget
 INFER_VIT = ResizeRule(980, 378, 14)
 CHAT_VIT = ResizeRule(980, 378, 14, 2007040)
 
@@ -77,17 +78,6 @@ def resized(width: Column, height: Column, rule: ResizeRule, n_images: Column |
     return F.struct(out["width"].cast("bigint").alias("width"), out["height"].cast("bigint").alias("height"))
 
 
-def simple_resized(width: Column, height: Column, max_size: int, min_size: int, stride: int = 16) -> Column:
-    """Inference form: side limits only, no pixel budget and no final check."""
-    w, h = width.cast("double"), height.cast("double")
-    scale = F.least(F.lit(float(max_size)) / F.greatest(w, h), F.lit(1.0))
-    scale = F.greatest(scale, F.lit(float(min_size)) / F.least(w, h))
-    return F.struct(
-        _scaled(w, scale, stride).cast("bigint").alias("width"),
-        _scaled(h, scale, stride).cast("bigint").alias("height"),
-    )
-
-
 def image_tokens(width: Column, height: Column, stride: int) -> Column:
     """Tokens of a resized image: whole pixels per squared stride."""
     return F.floor(width * height / F.lit(stride * stride)).cast("bigint")

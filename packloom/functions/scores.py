@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The score label patterns, the singular one tried first.
-FINAL_SCORE = r"(?i)\*?\*?Final Score\*?\*?:?\s*([\d*\s,\n]*)"
-FINAL_SCORES = r"(?i)\*?\*?Final Scores\*?\*?:?\s*([\d*\s,\n]*)"
+# The score label patterns, the singular one tried first. Between the label
+# and the first digits may stand stars, a colon, blanks and commas, so the first match is
+# the first label that has a number.
+FINAL_SCORE = r"(?i)Final Score\*?\*?:?\s*[*\s,]*(\d+)"
+FINAL_SCORES = r"(?i)Final Scores\*?\*?:?\s*[*\s,]*(\d+)"
 
 # Weight of each dimension in the item score.
 W_CONSISTENCY, W_REASONING, W_PLAUSIBILITY = 0.3, 0.5, 0.2
 TOP_SCORE = 5
 
 
-def _first_number(answer: Column, pattern: str) -> Column:
-    groups = F.regexp_extract_all(answer, F.lit(pattern), 1)
-    with_digit = F.filter(groups, lambda g: g.rlike(r"\d"))
-    return F.regexp_extract(F.get(with_digit, 0), r"\d+", 0).try_cast("bigint")
-
-
 def first_score(answer: Column) -> Column:
     """First number after the first score label that has digits; NULL if none."""
-    return F.coalesce(_first_number(answer, FINAL_SCORE), _first_number(answer, FINAL_SCORES))
+    number = lambda pattern: F.regexp_extract(answer, pattern, 1).try_cast("bigint")
+    return F.coalesce(number(FINAL_SCORE), number(FINAL_SCORES))
 
 
 def weighted_score(consistency: Column, reasoning: Column, plausibility: Column) -> Column:

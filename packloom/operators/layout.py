@@ -196,12 +196,14 @@ def patch_positions(height: Column, width: Column, patch: int, side: int, interp
     Plain: row * side + column. ``interpolate`` stretches the image over the whole grid.
     """
     rows, cols = F.floor(height / patch).cast("bigint"), F.floor(width / patch).cast("bigint")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-    if interpolate:
-        at = lambda r, c: F.floor(r * side / rows).cast("bigint") * side + F.floor(c * side / cols).cast("bigint")
-    else:
-        at = lambda r, c: r * side + c
-    return F.flatten(F.transform(upto(rows), lambda r: F.transform(upto(cols), lambda c: at(r, c))))
+
+    def places(n: Column) -> Column:
+        line = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(line, lambda i: F.call_function("div", i * side, n)) if interpolate else line
+
+    # Row and column places are bound once per image, then only added.
+    grid = F.array(F.struct(F.transform(places(rows), lambda r: r * side).alias("r"), places(cols).alias("c")))
+    return F.get(F.transform(grid, lambda g: F.flatten(F.transform(g["r"], lambda r: F.transform(g["c"], lambda c: r + c)))), 0)
 
 
 def pad_stats(images: DataFrame, packs: DataFrame, max_total: int) -> DataFrame:

@@ -46,7 +46,7 @@ def sort_rank(df: DataFrame, column: str, kind: str, position: str, descending:
     keyed = df.withColumn("sort_key", sort_key(F.col(column), kind))
     # NULL (a text that is no number) goes last in either direction.
     signed = F.coalesce((-F.col("sort_key") if descending else F.col("sort_key")).cast("double"), F.lit(float("inf")))
-    return value_rank(keyed.withColumn("_signed", signed), F.col("_signed"), [F.col(position)], rank="sort_rank").drop("_signed")
+    return value_rank(keyed.withColumn("_signed", signed), F.col("_signed"), F.col(position), rank="sort_rank").drop("_signed")
 
 
 def leaderboard(

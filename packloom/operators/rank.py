@@ -12,6 +12,7 @@ cell counts are summed globally; rows are ranked inside their cell.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,17 +98,29 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(digest(seed, F.col(key)), F.col(key))
 
 
-def value_cells(df: DataFrame, value: Column, cells: int = 256) -> Column:
+def value_cells(df: DataFrame, value: Column, cells: int = 256, tie: Column | None = None, tie_cell: Column | None = None) -> Column:
     """Cell column for any numeric sort key, from approximate quantiles.
 
-    One aggregate job; the driver gets ``cells`` numbers. A value so frequent that it
-    spans several quantiles becomes a cell of its own. Exactness never depends on the
-    quantiles: they only decide how even the cells are.
+    One aggregate job; the driver gets ``cells`` numbers per column. A value so frequent
+    that it spans several quantiles, and NULL, get cells of their own, split further along
+    the tie-break: by quantiles of a numeric ``tie``, or by a given ``tie_cell``.
+    Exactness never depends on the quantiles; they only decide how even the cells are.
     """
     points = [i / cells for i in range(1, cells)]
-    row = df.select(F.percentile_approx(value.cast("double"), points, 10_000).alias("q")).first()
-    bounds = sorted(set(row["q"] or []))
-    return _search(value.cast("double"), bounds)
+    number = lambda c: F.percentile_approx(c.cast("double"), points, 10_000)
+    row = df.select(number(value), *([number(tie)] if tie is not None else [])).first()
+    found = row[0] or []
+    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    bounds = sorted({*found, *(math.nextafter(h, -math.inf) for h in heavy)})
+    main = _search(value.cast("double"), bounds)
+    if tie is not None:
+        tie_cell = _search(tie.cast("double"), sorted(set(row[1] or [])))
+    if tie_cell is None:
+        return main
+    crowded = value.isNull()
+    if heavy:
+        crowded = crowded | value.cast("double").isin(heavy)
+    return F.concat(main, F.when(crowded, tie_cell).otherwise(F.lit("")))
 
 
 def _search(value: Column, bounds: list[float]) -> Column:
@@ -118,21 +131,31 @@ def _search(value: Column, bounds: list[float]) -> Column:
         mid = (lo + hi) // 2
         return F.when(value <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    # NULL sorts first in Spark's ascending order.
-    return F.when(value.isNull(), F.lit("")).otherwise(tree(0, len(bounds)))
+    # NULL sorts first in Spark's ascending order, as "-" does before digits.
+    return F.when(value.isNull(), F.lit("-")).otherwise(tree(0, len(bounds)))
 
 
 def value_rank(
     df: DataFrame,
     value: Column,
-    ties: Sequence[Column] = (),
+    tie: Column | None = None,
     within: Sequence[str] = (),
     rank: str = "rank",
     cells: int = 256,
     total: str | None = None,
+    shuffle_ties: bool = False,
 ) -> DataFrame:
-    """0-based rank by a numeric column, ties broken by ``ties``; see ``value_cells``."""
-    return cell_rank(df, value_cells(df, value, cells), [value, *ties], within, rank, total)
+    """0-based rank by a numeric column; see ``value_cells``.
+
+    Ties go by the numeric ``tie`` or, with ``shuffle_ties``, by the md5 of any ``tie``.
+    """
+    if tie is None:
+        return cell_rank(df, value_cells(df, value, cells), [value], within, rank, total)
+    if shuffle_ties:
+        mixed = digest(0, tie)
+        cell = value_cells(df, value, cells, tie_cell=hash_cell(mixed, 2))
+        return cell_rank(df, cell, [value, mixed, tie], within, rank, total)
+    return cell_rank(df, value_cells(df, value, cells, tie=tie), [value, tie], within, rank, total)
 
 
 def even_chunks(df: DataFrame, key: str, n: int, seed: int, chunk: str = "chunk", position: str = "position") -> DataFrame:

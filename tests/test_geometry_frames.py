@@ -17,7 +17,7 @@ def resize(w, h, rule, n=1):
 
     s = max(min(rule.max_size / max(w, h), 1.0), rule.min_size / min(w, h))
     w, h = scaled(w, h, s)
-    if w * h > rule.max_pixels / n:
+    if rule.max_pixels and w * h > rule.max_pixels / n:
         w, h = scaled(w, h, rule.max_pixels / n / (w * h))
     if max(w, h) > rule.max_size:
         w, h = scaled(w, h, rule.max_size / max(w, h))
@@ -29,7 +29,7 @@ def test_resize(spark):
     shapes = [(rng.randint(1, 5000), rng.randint(1, 5000), rng.randint(1, 6)) for _ in range(800)]
     shapes += [(1, 4000, 1), (10000, 10, 2), (512, 512, 1), (1024, 1024, 3), (16, 16, 1)]
     df = spark.createDataFrame([(i, *s) for i, s in enumerate(shapes)], "i int, w bigint, h bigint, n int")
-    for rule in (ge.TRAIN_VAE, ge.TRAIN_VIT, ge.CHAT_VIT, ge.ResizeRule(700, 300, 14, 90_000)):
+    for rule in (ge.TRAIN_VAE, ge.INFER_OUTPUT, ge.TRAIN_VIT, ge.CHAT_VIT, ge.ResizeRule(700, 300, 14, 90_000)):
         got = {r.i: (r.s.width, r.s.height) for r in df.select("i", ge.resized(F.col("w"), F.col("h"), rule, F.col("n")).alias("s")).collect()}
         for i, (w, h, n) in enumerate(shapes):
             assert got[i] == resize(w, h, rule, n), (w, h, n, rule)
