@@ -147,14 +147,14 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, HTML_TAG, "")
 
 
-# A number as a browser reads it from text: decimal, optional exponent.
-_JS_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# A number or nothing before the first unit letter, as a browser reads numbers.
+_UNIT_HEAD = r"(?U)^[\s\x1c-\x1f]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)?[\s\x1c-\x1f]*([MB])"
 
 
 def number_text(v: Column) -> Column:
     """Shortest plain decimal text of a double: 1500000.0 -> 1500000, 2.50 -> 2.5."""
-    text = v.cast("decimal(38,10)").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    text = v.try_cast("decimal(38,10)").cast("string")
+    return F.regexp_replace(text, r"\.?0+$", "")
 
 
 def parse_units(c: Column) -> Column:
@@ -163,12 +163,12 @@ def parse_units(c: Column) -> Column:
     The number is the text before the unit, blank meaning 0; anything else leaves the
     value as it is.
     """
-    m_at, b_at = F.instr(c, "M"), F.instr(c, "B")
-    at = F.when(m_at > 0, m_at).otherwise(b_at)
-    scale = F.when(m_at > 0, F.lit(1e6)).otherwise(F.lit(1e9))
-    head = strip(F.substring(c, F.lit(1), at - 1))
-    value = F.when(head == "", F.lit(0.0)).when(head.rlike(_JS_NUMBER), head.try_cast("double"))
-    return F.when((at > 0) & value.isNotNull(), number_text(value * scale)).otherwise(c)
+    number, unit = F.regexp_extract(c, _UNIT_HEAD, 1), F.regexp_extract(c, _UNIT_HEAD, 2)
+    value = F.when(number == "", F.lit(0.0)).otherwise(number.try_cast("double"))
+    scaled = number_text(value * F.when(unit == "M", F.lit(1e6)).otherwise(F.lit(1e9)))
+    # A leading number and B do not count when an M comes later.
+    counts = (unit == "M") | ((unit == "B") & ~c.contains("M"))
+    return F.when(counts, F.coalesce(scaled, c)).otherwise(c)
 
 
 def frame_number(path: Column) -> Column:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,41 +99,44 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(digest(seed, F.col(key)), F.col(key))
 
 
-def value_cells(df: DataFrame, value: Column, cells: int = 256, tie: Column | None = None, tie_cell: Column | None = None) -> Column:
-    """Cell column for any numeric sort key, from approximate quantiles.
+def value_cells(
+    df: DataFrame, value: Column, cells: int = 256, tie: Column | None = None, tie_cell: Column | None = None, out: str = "_cell"
+) -> DataFrame:
+    """Add the cell of any numeric sort key, from approximate quantiles.
 
     One aggregate job; the driver gets ``cells`` numbers per column. A value so frequent
-    that it spans several quantiles, and NULL, get cells of their own, split further along
-    the tie-break: by quantiles of a numeric ``tie``, or by a given ``tie_cell``.
-    Exactness never depends on the quantiles; they only decide how even the cells are.
+    that it spans several quantiles, and NULL, are split further along the tie-break: by
+    quantiles of a numeric ``tie``, or by a given ``tie_cell``. Exactness never depends
+    on the quantiles; they only decide how even the cells are.
     """
     points = [i / cells for i in range(1, cells)]
     number = lambda c: F.percentile_approx(c.cast("double"), points, 10_000)
     row = df.select(number(value), *([number(tie)] if tie is not None else [])).first()
     found = row[0] or []
     heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
-    bounds = sorted({*found, *(math.nextafter(h, -math.inf) for h in heavy)})
-    main = _search(value.cast("double"), bounds)
+    out_df = _buckets(df, value, [*found, *(math.nextafter(h, math.inf) for h in heavy)], out)
     if tie is not None:
-        tie_cell = _search(tie.cast("double"), sorted(set(row[1] or [])))
+        out_df = _buckets(out_df, tie, row[1] or [], "_tie_cell")
+        tie_cell = F.col("_tie_cell")
     if tie_cell is None:
-        return main
+        return out_df
     crowded = value.isNull()
     if heavy:
         crowded = crowded | value.cast("double").isin(heavy)
-    return F.concat(main, F.when(crowded, tie_cell).otherwise(F.lit("")))
+    return out_df.withColumn(out, F.concat(out, F.when(crowded, tie_cell).otherwise(F.lit("")))).drop("_tie_cell")
 
 
-def _search(value: Column, bounds: list[float]) -> Column:
-    """Zero-padded count of bounds below ``value``, as a balanced tree of comparisons."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(f"{lo:06d}")
-        mid = (lo + hi) // 2
-        return F.when(value <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+def _buckets(df: DataFrame, value: Column, bounds: Sequence[float], out: str) -> DataFrame:
+    """Add the zero-padded number of the half-open range a value lies in, ``-`` for NULL.
 
-    # NULL sorts first in Spark's ascending order, as "-" does before digits.
-    return F.when(value.isNull(), F.lit("-")).otherwise(tree(0, len(bounds)))
+    NULL comes first in Spark's ascending order, as ``-`` does before digits.
+    """
+    inner = sorted(b for b in set(bounds) if math.isfinite(b)) or [0.0]
+    ranges = Bucketizer(
+        splits=[-math.inf, *inner, math.inf], inputCol="_number", outputCol="_range", handleInvalid="keep"
+    ).transform(df.withColumn("_number", value.cast("double")))
+    label = F.when(F.col("_number").isNull(), F.lit("-")).otherwise(F.lpad(F.col("_range").cast("int").cast("string"), 6, "0"))
+    return ranges.withColumn(out, label).drop("_number", "_range")
 
 
 def value_rank(
@@ -149,13 +153,12 @@ def value_rank(
 
     Ties go by the numeric ``tie`` or, with ``shuffle_ties``, by the md5 of any ``tie``.
     """
-    if tie is None:
-        return cell_rank(df, value_cells(df, value, cells), [value], within, rank, total)
+    order = [value] if tie is None else [value, digest(0, tie), tie] if shuffle_ties else [value, tie]
     if shuffle_ties:
-        mixed = digest(0, tie)
-        cell = value_cells(df, value, cells, tie_cell=hash_cell(mixed, 2))
-        return cell_rank(df, cell, [value, mixed, tie], within, rank, total)
-    return cell_rank(df, value_cells(df, value, cells, tie=tie), [value, tie], within, rank, total)
+        celled = value_cells(df, value, cells, tie_cell=hash_cell(order[1], 2), out="_value_cell")
+    else:
+        celled = value_cells(df, value, cells, tie, out="_value_cell")
+    return cell_rank(celled, F.col("_value_cell"), order, within, rank, total).drop("_value_cell")
 
 
 def even_chunks(df: DataFrame, key: str, n: int, seed: int, chunk: str = "chunk", position: str = "position") -> DataFrame:

@@ -49,11 +49,20 @@ def test_value_rank_with_heavy_ties_and_nulls(spark):
 
 def test_a_heavy_value_is_split_over_cells(spark):
     df = spark.range(4000).select("id", F.when(F.col("id") % 4 > 0, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
-    cell = rk.value_cells(df, F.col("v"), 32, tie=F.col("id"))
-    sizes = [r["count"] for r in df.filter("v = 7").groupBy(cell.alias("c")).count().collect()]
+    celled = rk.value_cells(df, F.col("v"), 32, tie=F.col("id"))
+    sizes = [r["count"] for r in celled.filter("v = 7").groupBy("_cell").count().collect()]
     assert len(sizes) >= 16 and max(sizes) < 500
     mixed = rk.value_cells(df, F.col("v"), 32, tie_cell=rk.hash_cell(rk.digest(0, F.col("id")), 2))
-    assert df.filter("v = 7").select(mixed.alias("c")).distinct().count() > 100
+    assert mixed.filter("v = 7").select("_cell").distinct().count() > 100
+
+
+@pytest.mark.parametrize("special", [float("inf"), float("-inf"), 0.0, None])
+def test_frequent_special_values_rank_right(spark, special):
+    rows = [(i, special if i % 3 else float(i - 300)) for i in range(600)] + [(600, 1.7976931348623157e308), (601, -1.7976931348623157e308)]
+    df = spark.createDataFrame(rows, "id bigint, v double")
+    got = {r.id: r["rank"] for r in rk.value_rank(df, F.col("v"), F.col("id"), cells=8).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    assert [got[i] for i, _ in want] == list(range(602))
 
 
 @pytest.mark.parametrize("n_rows", [0, 5, 23, 100])
