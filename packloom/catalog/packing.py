@@ -55,26 +55,93 @@ LAID = f"""SELECT *, sum(seg_len) OVER (PARTITION BY shard, pack_no ORDER BY pac
 LAYOUT = {**FIT, "laid": LAID}
 
 
-@query("pack_samples")
+def loop_sql(rule: pk.PackRule, heads: bool = False) -> dict[str, str]:
+    """The pack loop as a recursive query over ``arrivals`` (shard, rn, sample_id, len, kept).
+
+    One step per handled sample; ``buf`` is the buffer, ``car`` the sample carried over,
+    ``reg`` counts the pack's samples that are no heads. ``heads`` (shard, hn, sample_id,
+    len, m) are the m fitting samples of one mandatory group, ``ht`` those used so far.
+    """
+    drop = rule.on_overflow == "drop"
+    item = "STRUCT(id BIGINT, len BIGINT, kept BIGINT)"
+    closes = "act = 'carry'" + (" OR act = 'lost'" if drop else "") + f" OR (act = 'packed' AND cur + smp.kept >= {rule.expected})"
+    start = f"""SELECT shard, 1::bigint AS rn, count(*) AS n, 0::bigint AS cur, 0::bigint AS mem, 0::bigint AS reg, 0::bigint AS ht, 0::bigint AS pno,
+  []::{item}[] AS buf, NULL::{item} AS car, false AS dr, NULL::bigint AS o_id, NULL::bigint AS o_no, NULL::bigint AS o_pos, NULL::varchar AS o_st
+FROM arrivals GROUP BY shard"""
+    head = ("h.sample_id AS h_id, h.len AS h_len", "LEFT JOIN heads h ON h.shard = w.shard AND h.hn = w.ht % h.m") if heads else ("NULL::bigint AS h_id, NULL::bigint AS h_len", "")
+    flushed = f"""SELECT w.* REPLACE (CASE WHEN flip THEN 0 ELSE cur END AS cur, CASE WHEN flip THEN 0 ELSE mem END AS mem, CASE WHEN flip THEN 0 ELSE reg END AS reg,
+    CASE WHEN flip AND mem > 0 THEN pno + 1 ELSE pno END AS pno, dr OR flip AS dr), a.sample_id, a.len, a.kept, {head[0]}
+  FROM (SELECT *, rn > n AND car IS NULL AND NOT dr AS flip FROM loop WHERE rn <= n OR len(buf) > 0 OR car IS NOT NULL) w
+  LEFT JOIN arrivals a ON a.shard = w.shard AND a.rn = w.rn {head[1]}"""
+    picked = f"""SELECT *, CASE src WHEN 'head' THEN {{'id': h_id, 'len': h_len, 'kept': h_len}}::{item} WHEN 'car' THEN car WHEN 'buf' THEN buf[1]
+    ELSE {{'id': sample_id, 'len': len, 'kept': kept}}::{item} END AS smp
+  FROM (SELECT *, CASE WHEN cur = 0 AND h_id IS NOT NULL THEN 'head' WHEN car IS NOT NULL THEN 'car'
+    WHEN len(buf) > 0 AND (dr OR cur < {rule.prefer_buffer}) THEN 'buf' ELSE 'new' END AS src FROM ({flushed}))"""
+    acted = f"""SELECT *, CASE WHEN src = 'head' THEN 'head' WHEN smp.len > {rule.max_sample} THEN 'too_long' WHEN cur + smp.len <= {rule.max_total} THEN 'packed'
+    WHEN src = 'new' AND len(buf) < {rule.buffer} THEN 'buffer' WHEN {'true' if drop else 'reg = 0'} THEN 'lost' ELSE 'carry' END AS act FROM ({picked})"""
+    placed = "act IN ('packed', 'head')"
+    step = f"""SELECT shard, CASE WHEN src = 'new' THEN rn + 1 ELSE rn END, n, CASE WHEN shut THEN 0 WHEN {placed} THEN cur + smp.kept ELSE cur END,
+  CASE WHEN shut THEN 0 WHEN {placed} THEN mem + 1 ELSE mem END, CASE WHEN shut THEN 0 WHEN act = 'packed' THEN reg + 1 ELSE reg END,
+  CASE WHEN act = 'head' THEN ht + 1 ELSE ht END, CASE WHEN shut AND (mem > 0 OR {placed}) THEN pno + 1 ELSE pno END,
+  CASE WHEN act = 'buffer' THEN list_append(buf, smp) WHEN src = 'buf' THEN buf[2:] ELSE buf END,
+  CASE WHEN act = 'carry' THEN smp WHEN act = 'head' THEN car END, dr,
+  CASE WHEN act NOT IN ('buffer', 'carry') THEN smp.id END, CASE WHEN {placed} THEN pno END, CASE WHEN {placed} THEN mem END,
+  CASE WHEN {placed} THEN 'packed' WHEN act NOT IN ('buffer', 'carry') THEN act END FROM (SELECT *, {closes} AS shut FROM ({acted}))"""
+    return {"loop": f"{start} UNION ALL {step}"}
+
+
+LOOP_RESULT = "SELECT shard, o_id AS sample_id, o_no AS pack_no, o_pos AS pack_pos, o_st AS status FROM loop WHERE o_id IS NOT NULL"
+CARRYING = pk.PackRule(expected=12000, max_total=14000, max_sample=9000, prefer_buffer=6000, buffer=5)
+DROPPING = pk.PackRule(expected=12000, max_total=14000, max_sample=9000, prefer_buffer=6000, buffer=2, on_overflow="drop")
+ARRIVALS = "SELECT shard, sample_id, length AS len, {} AS kept, row_number() OVER (PARTITION BY shard ORDER BY r) AS rn FROM shards s"
+
+
+@query("pack_samples", LOOP_RESULT, "segments", {"lengths": LENGTHS, "shards": SHARDS, "arrivals": ARRIVALS.format("length"), **loop_sql(CARRYING)})
 def _(t):
-    rule = pk.PackRule(expected=12000, max_total=14000, max_sample=9000, prefer_buffer=6000, buffer=5)
-    return pk.pack(sharded(t, sample_lengths(t["segments"])), rule)
+    return pk.pack(sharded(t, sample_lengths(t["segments"])), CARRYING)
+
+
+KEPT = f"""SELECT sample_id, sum(CASE WHEN s.enable_cfg = 1 AND {U_DROP} < CASE s.kind WHEN 'text' THEN 0.1 WHEN 'vit_image' THEN 0.4 ELSE 0.1 END THEN 0 ELSE n_tokens + 2 END)::bigint AS kept_len
+FROM segments s GROUP BY sample_id"""
 
 
-@query("pack_samples_dropping")
+@query(
+    "pack_samples_dropping",
+    LOOP_RESULT,
+    "segments",
+    {
+        "lengths": LENGTHS,
+        "shards": SHARDS,
+        "kept_lens": KEPT,
+        "arrivals": ARRIVALS.format("kept_len") + " JOIN kept_lens k USING (sample_id)",
+        **loop_sql(DROPPING),
+    },
+)
 def _(t):
-    rows = ly.kept_lengths(ly.drop_conditions(t["segments"], 17))
-    rule = pk.PackRule(expected=12000, max_total=14000, max_sample=9000, prefer_buffer=6000, buffer=2, on_overflow="drop")
-    return pk.pack(sharded(t, rows), rule, kept="kept")
+    return pk.pack(sharded(t, ly.kept_lengths(ly.drop_conditions(t["segments"], 17))), DROPPING, kept="kept")
 
 
-@query("pack_mandatory_heads")
+HEADED = pk.PackRule(expected=12000, max_total=14000, max_sample=6000, prefer_buffer=6000, buffer=5)
+
+
+@query(
+    "pack_mandatory_heads",
+    LOOP_RESULT,
+    "segments",
+    {
+        "lengths": LENGTHS,
+        "shards": SHARDS,
+        "arrivals": ARRIVALS.format("length") + " JOIN documents d ON d.doc_id = s.sample_id WHERE d.lang <> 'en'",
+        "heads": f"""SELECT shard, sample_id, length AS len, row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS hn, count(*) OVER (PARTITION BY shard) AS m
+FROM shards s JOIN documents d ON d.doc_id = s.sample_id WHERE d.lang = 'en' AND length < {HEADED.max_sample}""",
+        **loop_sql(HEADED, heads=True),
+    },
+)
 def _(t):
     lengths = sample_lengths(t["segments"]).join(t["documents"].select(F.col("doc_id").alias("sample_id"), "lang"), "sample_id")
     rows = sharded(t, lengths)
     heads = rows.filter("lang = 'en'").withColumn("group_no", F.lit(0))
-    rule = pk.PackRule(expected=12000, max_total=14000, max_sample=6000, prefer_buffer=6000, buffer=5)
-    return pk.pack(rows.filter("lang <> 'en'"), rule, heads=heads)
+    return pk.pack(rows.filter("lang <> 'en'"), HEADED, heads=heads)
 
 
 @query(

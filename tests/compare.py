@@ -42,7 +42,14 @@ def normal(columns: list[str], rows) -> list[tuple]:
     return sorted(tuple(plain(row[i]) for i in order) for row in rows)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 def differences(df, con, sql: str) -> str | None:
+    described = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    wrong = {c: (t, described.get(c)) for c, t in df.dtypes if TYPES.get(t) != described.get(c)}
+    if wrong:
+        return f"types differ: {wrong}"
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     if sorted(names) != sorted(df.columns):
