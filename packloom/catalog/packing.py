@@ -90,7 +90,7 @@ FROM arrivals GROUP BY shard"""
     return {"loop": f"{start} UNION ALL {step}"}
 
 
-LOOP_RESULT = "SELECT shard, o_id AS sample_id, o_no AS pack_no, o_pos AS pack_pos, o_st AS status FROM loop WHERE o_id IS NOT NULL"
+LOOP_RESULT = "SELECT l.shard, o_id AS sample_id, s.length, o_no AS pack_no, o_pos AS pack_pos, o_st AS status FROM loop l JOIN shards s ON s.sample_id = l.o_id"
 CARRYING = pk.PackRule(expected=12000, max_total=14000, max_sample=9000, prefer_buffer=6000, buffer=5)
 DROPPING = pk.PackRule(expected=12000, max_total=14000, max_sample=9000, prefer_buffer=6000, buffer=2, on_overflow="drop")
 ARRIVALS = "SELECT shard, sample_id, length AS len, {} AS kept, row_number() OVER (PARTITION BY shard ORDER BY r) AS rn FROM shards s"
@@ -146,8 +146,8 @@ def _(t):
 
 @query(
     "pack_next_fit",
-    f"""SELECT shard, sample_id, pack_no, pack_pos, 'packed' AS status FROM walk
-UNION ALL SELECT shard, sample_id, NULL, NULL, 'too_long' FROM shards WHERE length > {MAX_SAMPLE}""",
+    f"""SELECT shard, sample_id, length, pack_no, pack_pos, 'packed' AS status FROM walk
+UNION ALL SELECT shard, sample_id, length, NULL, NULL, 'too_long' FROM shards WHERE length > {MAX_SAMPLE}""",
     "segments",
     FIT,
 )
@@ -164,7 +164,7 @@ FROM (SELECT shard, pack_no, sum(length)::double AS tokens, count(*) AS n FROM w
     FIT,
 )
 def _(t):
-    report = pk.pack_report(next_fit(t), sample_lengths(t["segments"]), MAX_TOTAL)
+    report = pk.pack_report(next_fit(t), MAX_TOTAL)
     return report.withColumns({c: F.round(c, 6) for c in ("mean_fill", "min_fill")})
 
 

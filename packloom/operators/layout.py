@@ -36,7 +36,7 @@ def _segment_key() -> Column:
 
 def packed_segments(segments: DataFrame, packs: DataFrame) -> DataFrame:
     """Segments with the pack of their sample; samples that were not packed fall away."""
-    placed = packs.filter(F.col("status") == "packed").drop("status")
+    placed = packs.filter(F.col("status") == "packed").drop("status", "length")
     return segments.join(placed, "sample_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import staged
 from .rank import cell_rank, value_rank
 
 SORT_TYPES = ("number", "string", "date", "last", "raw", "none")
@@ -40,13 +41,17 @@ def sort_by(df: DataFrame, column: str, kind: str, position: str, descending: bo
 
 
 def sort_rank(df: DataFrame, column: str, kind: str, position: str, descending: bool = False) -> DataFrame:
-    """``sort_by`` as an explicit 0-based ``sort_rank`` for numeric sort types."""
+    """``sort_by`` as a table ``position, sort_key, sort_rank`` for numeric sort types.
+
+    The keys are written once to the shared folder, so ranking reads two narrow columns
+    and the cells' texts are parsed a single time.
+    """
     if kind not in ("number", "date"):
         raise ValueError("ranks need a numeric sort type: number or date")
-    keyed = df.withColumn("sort_key", sort_key(F.col(column), kind))
+    keys = staged(df.select(position, sort_key(F.col(column), kind).alias("sort_key")), "sort-keys")
     # NULL (a text that is no number) goes last in either direction.
     signed = F.coalesce((-F.col("sort_key") if descending else F.col("sort_key")).cast("double"), F.lit(float("inf")))
-    return value_rank(keyed.withColumn("_signed", signed), F.col("_signed"), F.col(position), rank="sort_rank").drop("_signed")
+    return value_rank(keys.withColumn("_signed", signed), F.col("_signed"), F.col(position), rank="sort_rank").drop("_signed")
 
 
 def leaderboard(

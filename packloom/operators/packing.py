@@ -115,6 +115,10 @@ def _pack_batches(batches: Iterator[pd.DataFrame], rule: PackRule) -> Iterator[p
         for batch in batches:
             yield from zip(*(batch[c].tolist() for c in ("shard", "head", "sample_id", "length", "kept")))
 
+    def sample_of(row):
+        _, _, sample, length, kept = row
+        return (sample, length), length, kept
+
     def results():
         for shard, members in groupby(rows(), key=lambda r: r[0]):
             # Heads sort before the arrivals (head >= 0, then -1).
@@ -128,20 +132,20 @@ def _pack_batches(batches: Iterator[pd.DataFrame], rule: PackRule) -> Iterator[p
                 if row[1] != group_no:
                     heads.append([])
                     group_no = row[1]
-                heads[-1].append(row[2:])
+                heads[-1].append(sample_of(row))
 
             def arrivals(first=first, members=members):
                 if first is not None:
-                    yield first[2:]
+                    yield sample_of(first)
                     for row in members:
-                        yield row[2:]
+                        yield sample_of(row)
 
-            for sample, pack_no, pack_pos, status in _pack_shard(arrivals(), heads, rule):
-                yield shard, sample, pack_no, pack_pos, status
+            for (sample, length), pack_no, pack_pos, status in _pack_shard(arrivals(), heads, rule):
+                yield shard, sample, length, pack_no, pack_pos, status
 
     stream = results()
     while chunk := list(islice(stream, 20_000)):
-        out = pd.DataFrame(chunk, columns=["shard", "sample_id", "pack_no", "pack_pos", "status"])
+        out = pd.DataFrame(chunk, columns=["shard", "sample_id", "length", "pack_no", "pack_pos", "status"])
         yield out.astype({"pack_no": "Int64", "pack_pos": "Int64"})
 
 
@@ -156,7 +160,7 @@ def pack(
     heads: DataFrame | None = None,
     head_group: str = "group_no",
 ) -> DataFrame:
-    """Assign samples to packs: ``shard, sample_id, pack_no, pack_pos, status``.
+    """Assign samples to packs: ``shard, sample_id, length, pack_no, pack_pos, status``.
 
     Samples arrive in ``seq`` order per shard. ``kept`` is the length left after dropout:
     packs fill by it, while the fit test uses the full length. ``heads`` (same columns
@@ -179,6 +183,7 @@ def pack(
         [
             StructField("shard", rows.schema["shard"].dataType),
             StructField("sample_id", rows.schema["sample_id"].dataType),
+            StructField("length", LongType()),
             StructField("pack_no", LongType()),
             StructField("pack_pos", LongType()),
             StructField("status", StringType()),
@@ -194,12 +199,10 @@ def pack_next_fit(samples: DataFrame, expected: int, max_total: int, max_sample:
     return pack(samples, rule, **columns)
 
 
-def pack_report(packs: DataFrame, samples: DataFrame, max_total: int, sample: str = "sample_id", length: str = "length") -> DataFrame:
+def pack_report(packs: DataFrame, max_total: int) -> DataFrame:
     """One row: packs, samples, mean and lowest fill, and what was left out."""
-    sized = packs.join(samples.select(F.col(sample).alias("sample_id"), F.col(length).alias("_len")), "sample_id")
-    per_pack = (
-        sized.groupBy("shard", "pack_no", "status")
-        .agg(F.sum("_len").alias("_tokens"), F.count(F.lit(1)).alias("_n"))
+    per_pack = packs.groupBy("shard", "pack_no", "status").agg(
+        F.sum("length").alias("_tokens"), F.count(F.lit(1)).alias("_n")
     )
     packed = F.col("status") == PACKED
     count = lambda status: F.coalesce(F.sum(F.when(F.col("status") == status, F.col("_n"))), F.lit(0)).cast("bigint")

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
+from ..session import spread
+
 # Fixed value: the word split pattern of the byte-level tokenizer.
 WORD_PATTERN = (
     r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*"
@@ -118,7 +120,7 @@ def bpe_encode(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[
             yield batch.map(lambda words: np.fromiter(chain.from_iterable(map(encode, words)), dtype="int64"))
 
     words = F.coalesce(pretokens(nfc(F.col(text))), F.array().cast("array<string>"))
-    return df.withColumn(out, ids(words)).withColumn("n_tokens", F.size(out).cast("bigint"))
+    return spread(df).withColumn(out, ids(words)).withColumn("n_tokens", F.size(out).cast("bigint"))
 
 
 def word_dictionary(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], text: str, unk: int = -1) -> DataFrame:
@@ -126,7 +128,7 @@ def word_dictionary(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Map
 
     Counting combines before the shuffle, so common words cost one row per task.
     """
-    counted = df.select(F.explode(pretokens(nfc(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_uses"))
+    counted = spread(df.select(text)).select(F.explode(pretokens(nfc(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_uses"))
     make = _encoder(df, merges, vocab, unk)
 
     @F.pandas_udf(ArrayType(LongType()))

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # One unbroken base64 text per value, as a data URL needs it.
     "spark.sql.chunkBase64String.enabled": "false",
+    # Arrow batches are cut by size as well as by rows, since single texts may be large.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -69,6 +71,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core rows before heavy per-row work on a table of few files.
+
+    A file with one row group is one task however many cores idle. Tables with at least
+    as many files as cores pass through, so large inputs are never moved for this.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df._jdf.inputFiles()) < cores else df
+
+
 def child_folders(spark: SparkSession, folder: str) -> list[str]:
     """Names of a folder's direct children on any Hadoop file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

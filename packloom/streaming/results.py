@@ -75,16 +75,18 @@ def stream_results(
     max_files: int = 10,
     compact_every: int = 20,
     also: Callable[[DataFrame, int], None] | None = None,
+    also_every: int = 1,
 ) -> StreamingQuery:
     """Take in all result files that are there, continuing after the last finished batch.
 
-    ``also`` runs after each upsert with (latest rows of the whole table, batch id).
+    ``also`` runs after every ``also_every``-th upsert with (latest rows of the whole
+    table, batch id). It reads the table, so on a large one let it wait for compactions.
     """
     upsert = upsert_batch(table, schema, compact_every)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         upsert(batch, batch_id)
-        if also:
+        if also and (batch_id + 1) % also_every == 0:
             also(read_results(batch.sparkSession, table, schema, batch_id), batch_id)
 
     rows = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(source)
