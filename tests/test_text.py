@@ -128,3 +128,12 @@ def test_leaderboard_pins_and_shares_ranks(spark):
 
 def test_fmt1(spark):
     assert apply(spark, lb.fmt1, ["7", "7.25", "-", None, "1.45"]) == ["7.0", "7.3", "-", None, "1.5"]
+
+
+def test_messages_put_the_system_row_first(spark):
+    df = spark.createDataFrame([([("text", "a"), ("image", "u")],), ([("text", "a"), ("text", "b")],)], "p array<struct<type:string,value:string>>")
+    rows = [r.m for r in df.select(cl.messages(F.col("p"), system="s").alias("m")).collect()]
+    assert [m.role for m in rows[0]] == ["system", "user"]
+    assert [(c.type, c.text, c.url, c.detail) for c in rows[0][1].content] == [("text", "a", None, None), ("image_url", None, "u", "high")]
+    assert [(c.type, c.text) for c in rows[1][1].content] == [("text", "a\nb")]
+    assert [m.role for m in df.select(cl.messages(F.col("p")).alias("m")).first().m] == ["user"]
