@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_replay
+from . import benchmark_matches, bpe_replay, line_chunks, quality_rules
 from .core import LLM_ORACLES, LLM_QUERIES, registered, table
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
@@ -24,3 +25,20 @@ def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = vocabulary()
     return bpe_replay.round_trip(table(spark, folder, "documents"), ranks, pattern, bpe_replay.SEGMENTS)
+
+
+@registered("op3_quality_rules", quality_rules.ORACLE)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, folder, "documents"))
+
+
+@registered("op5_benchmark_matches")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_matches.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@registered("op7_line_chunks")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the digest of what is left of it."""
+    done = line_chunks.dedup_lines(table(spark, folder, "documents"))
+    return done.select("doc_id", line_chunks.REMOVED, F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
