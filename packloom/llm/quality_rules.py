@@ -16,7 +16,7 @@ from .words import WORD
 
 # The symbols the contract counts, and white space between words.
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+BLANK = r"[\x20\x09-\x0D]"
 # Marks cut from words before they are compared with stop words.
 MARKS = ".,;:!?"
 WINDOW = 5
@@ -62,23 +62,31 @@ def repeated_words(words: Column) -> Column:
     """Words covered by a window of five words that is in the array more than once.
 
     Window hashes tell which texts hold no repeat at all. Only the others sort their
-    windows, as text, and measure the union of the repeated ones.
+    windows by hash, compare neighbours of equal hash as text, and measure the union of
+    the repeated ones.
     """
     places = F.sequence(F.lit(0), F.size(words) - WINDOW)
     hashes = F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    ordered = F.sort_array(F.transform(places, lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("i"))))
+
+    def text(window: Column) -> Column:
+        return F.array_join(F.slice(words, window["i"] + 1, WINDOW), " ")
+
+    def same(a: Column, b: Column) -> Column:
+        return F.coalesce((a["h"] == b["h"]) & (text(a) == text(b)), F.lit(False))
+
+    def ordered(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
     def found(s: Column) -> Column:
-        same = lambda k, by: F.get(s, k)["w"] == F.get(s, k + by)["w"]
-        repeats = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: F.coalesce(same(k, -1), F.lit(False)) | F.coalesce(same(k, 1), F.lit(False)))
-        return F.sort_array(F.transform(repeats, lambda k: F.get(s, k)["i"]))
+        repeats = F.filter(s, lambda w, k: same(w, F.get(s, k - 1)) | same(w, F.get(s, k + 1)))
+        return F.sort_array(F.transform(repeats, lambda w: w["i"]))
 
     def covered(at: Column) -> Column:
         gaps = F.transform(F.sequence(F.lit(1), F.size(at)), lambda k: F.coalesce(F.least(F.get(at, k) - F.get(at, k - 1), F.lit(WINDOW)), F.lit(WINDOW)))
         return F.when(F.size(at) > 0, F.aggregate(gaps, F.lit(0), lambda a, b: a + b)).otherwise(0)
 
-    exact = let(let(ordered, found), covered)
-    return F.when(F.size(words) <= WINDOW, 0).when(let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h)), 0).otherwise(exact)
+    repeats = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(let(ordered(h), found), covered))
+    return F.when(F.size(words) <= WINDOW, 0).otherwise(let(hashes, repeats))
 
 
 def measures(text: Column) -> Column:
@@ -86,19 +94,22 @@ def measures(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def of(t: Column) -> Column:
-        without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
         lines = F.filter(F.split(t, "\n", -1), lambda line: line.rlike(WORD))
-        plain = F.split(F.lower(F.translate(t, MARKS + BLANKS, " " * len(MARKS + BLANKS))), " +")
+        # A text cut at its white space has empty strings at its ends only.
+        cut = F.array_remove(F.split(t, rf"{BLANK}+", -1), "")
         words = let(
-            F.regexp_extract_all(t, F.lit(WORD), F.lit(0)),
-            lambda ws: F.struct(F.size(ws).cast("bigint").alias("n"), repeated_words(ws).cast("bigint").alias("repeat")),
+            cut,
+            lambda ws: F.struct(
+                F.size(ws).cast("bigint").alias("n"), F.length(F.array_join(ws, "")).cast("bigint").alias("chars"),
+                repeated_words(ws).cast("bigint").alias("repeat"),
+            ),
         )
         counted = let(lines, lambda ls: F.struct(F.size(ls).cast("bigint").alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint").alias("dup")))
+        plain = F.split(F.lower(t), rf"(?:{BLANK}|[{MARKS}])+")
         return F.struct(
             words.alias("words"),
-            (F.length(t) - without(BLANKS)).cast("bigint").alias("word_chars"),
-            without(SYMBOLS).cast("bigint").alias("n_symbols"),
-            without("!").cast("bigint").alias("n_exclamations"),
+            F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
+            (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("bigint").alias("n_exclamations"),
             F.size(F.filter(plain, lambda w: w.isin(STOP_WORDS))).cast("bigint").alias("n_stop_words"),
             counted.alias("lines"),
         )
@@ -125,7 +136,7 @@ def quality_rules(df: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_
     m = F.col("m")
     ratio = lambda a, b: a / F.when(b > 0, b)
     known = {
-        "chars_per_word": ratio(m["word_chars"], m["words"]["n"]),
+        "chars_per_word": ratio(m["words"]["chars"], m["words"]["n"]),
         "symbols_per_word": ratio(m["n_symbols"], m["words"]["n"]),
         "exclamations_per_word": ratio(m["n_exclamations"], m["words"]["n"]),
         "stop_words_per_word": ratio(m["n_stop_words"], m["words"]["n"]),
@@ -137,7 +148,7 @@ def quality_rules(df: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_
     # explode keeps the measures in one column of their own, so no later projection repeats them.
     measured = df.select(F.col(key), F.explode(F.array(measures(F.col(text)))).alias("m"))
     return measured.select(
-        key, n.alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
+        key, n.alias("n_words"), m["words"]["chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
         m["lines"]["dup"].alias("n_dup_lines"), m["words"]["repeat"].alias("n_repeat_words"),
         base.alias("base_failed"), F.array_join(broken, ",").alias("broken_rules"), (~base & (F.size(broken) == 0)).alias("kept"),
     )
