@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_matches, bpe_replay, line_chunks, quality_rules
+from . import benchmark_matches, bpe_replay, jaccard_join, line_chunks, quality_rules
 from .core import LLM_ORACLES, LLM_QUERIES, registered, table
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
@@ -42,3 +42,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the digest of what is left of it."""
     done = line_chunks.dedup_lines(table(spark, folder, "documents"))
     return done.select("doc_id", line_chunks.REMOVED, F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@registered("op8_jaccard_join")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_copies(table(spark, folder, "documents"))
