@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_matches, bpe_replay, jaccard_join, line_chunks, quality_rules
+from . import benchmark_matches, bpe_replay, jaccard_join, line_chunks, quality_rules, repeated_spans
 from .core import LLM_ORACLES, LLM_QUERIES, registered, table
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
@@ -47,3 +47,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @registered("op8_jaccard_join")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, folder, "documents"))
+
+
+@registered("op6_repeated_spans")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    done = repeated_spans.remove_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
