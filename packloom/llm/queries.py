@@ -7,11 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_matches, bpe_replay, jaccard_join, line_chunks, quality_rules, repeated_spans
+from . import benchmark_matches, bpe_replay, jaccard_join, line_chunks, quality_rules, repeated_spans, string_kernel
 from .core import LLM_ORACLES, LLM_QUERIES, registered, table
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
 
+TOXIC_FROM = 0.7
+
 
 def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
     """Ranks and split pattern of the public multilingual vocabulary; ``path`` names another rank file."""
@@ -53,3 +55,17 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     done = repeated_spans.remove_repeats(table(spark, folder, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, folder: str) -> string_kernel.Model:
+    """Trained on the labelled documents outside the held-out third."""
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where("doc_id IS NOT NULL").distinct()
+    return string_kernel.fit(docs.select("doc_id", "text").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).join(labels, "doc_id"))
+
+
+@registered("op2_string_kernel")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    done = string_kernel.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, folder))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
