@@ -35,6 +35,7 @@ LANDMARKS = 128
 SAMPLE_ROWS = 4000
 WORDS = 60_000  # clean words fetched for training
 SUSPECTS = 2000  # toxic words and beginnings fetched
+CLEAR = 0.45  # margins from here on count as evidence
 REMEMBERED = 600_000  # words whose margin a worker remembers
 _LETTER = re.compile(r"[\W\d_]+")
 _SPLIT_UP = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S){2,}(?!\S)")
@@ -98,7 +99,7 @@ class Model:
     """Landmarks, their letter pairs and self-kernels, the machine's weights, and the scale of scores.
 
     ``scale`` has the weights of 1, of a text's largest margin, and of the logarithms of the
-    sum of its positive margins and of the number of its different words.
+    sum of its clear margins and of the number of its different words.
     """
 
     codes: np.ndarray
@@ -136,7 +137,7 @@ def evidence(largest: float, strength: float, words: int) -> tuple[float, ...]:
     return 1.0, min(max(largest, -1.0), 1.5), float(np.log(strength + 0.1)), float(np.log(words + 10))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -194,7 +195,7 @@ def fit_words(suspects: list[tuple[str, int, int]], toxic: list[str], clean: lis
     bad = bad[bad.any(axis=1)]
     x = np.vstack([good, bad]) @ root
     y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
-    shares = np.concatenate([np.full(len(positive), 1 / len(positive)), np.full(len(hidden), 0.25 / max(1, len(hidden))), np.full(len(bad), 1 / max(1, len(bad)))])
+    shares = np.concatenate([np.full(len(positive), 1 / len(positive)), np.full(len(hidden), 0.5 / max(1, len(hidden))), np.full(len(bad), 3 / max(1, len(bad)))])
     weights, bias = _machine(x, y, shares * 100)
     model.weights, model.bias = root @ weights, min(bias, -0.2)
     return model
@@ -254,7 +255,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", rows: int
 
 
 def examine(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with the evidence of each whole text: ``largest`` margin, ``strength`` (sum of the positive ones), different ``words``."""
+    """df with the evidence of each whole text: ``largest`` margin, ``strength`` (sum of the clear ones, each 1 at most), different ``words``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +279,7 @@ def examine(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 margins = list(map(known.__getitem__, words))
                 top = max(margins, default=model.bias)
                 largest.append(top)
-                strength.append(sum([m for m in margins if m > 0]) if top > 0 else 0.0)
+                strength.append(sum([min(m, 1.0) for m in margins if m >= CLEAR]) if top >= CLEAR else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [row, pa.array(largest, pa.float64()), pa.array(strength, pa.float64()), pa.array([len(w) for w in found], pa.int64())], names=["row", "largest", "strength", "words"]
             )
