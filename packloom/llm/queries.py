@@ -7,7 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_matches, bpe_replay, jaccard_join, line_chunks, quality_rules, repeated_spans, string_kernel
+from . import (
+    benchmark_matches,
+    bpe_replay,
+    jaccard_join,
+    line_chunks,
+    path_templates,
+    preference_pairs,
+    quality_rules,
+    repeated_spans,
+    string_kernel,
+    text_density,
+)
 from .core import LLM_ORACLES, LLM_QUERIES, registered, table
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
@@ -69,3 +80,21 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     done = string_kernel.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, folder))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@registered("op1_text_density")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return text_density.extract(table(spark, folder, "pages"))
+
+
+@registered("op4_path_templates", path_templates.ORACLE)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels are joined by id: a page is good if its label says quality 1 and not toxic."""
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), F.coalesce(good, F.lit(0)).alias("good"))
+    return path_templates.judged(table(spark, folder, "pages"), labels)
+
+
+@registered("op9_preference_pairs", preference_pairs.ORACLE)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return preference_pairs.formatted(preference_pairs.neighbour_pairs(table(spark, folder, "conversations")))
