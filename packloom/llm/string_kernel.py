@@ -192,10 +192,11 @@ def fit_words(suspects: list[tuple[str, int, int]], toxic: list[str], clean: lis
     keep = values > 1e-6
     root = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
     good, bad = np.vstack([_dense(model, positive), _dense(model, hidden)]), _dense(model, negative)
-    bad = bad[bad.any(axis=1)]
+    # Words that share nothing with any landmark are all alike: one row of zeros stands for them.
+    bad = np.vstack([bad[bad.any(axis=1)], np.zeros((1, len(marks)))])
     x = np.vstack([good, bad]) @ root
     y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
-    shares = np.concatenate([np.full(len(positive), 1 / len(positive)), np.full(len(hidden), 0.5 / max(1, len(hidden))), np.full(len(bad), 3 / max(1, len(bad)))])
+    shares = np.concatenate([np.full(len(positive), 1 / len(positive)), np.full(len(hidden), 0.5 / max(1, len(hidden))), np.full(len(bad) - 1, 3 / max(1, len(bad) - 1)), [1.0]])
     weights, bias = _machine(x, y, shares * 100)
     model.weights, model.bias = root @ weights, min(bias, -0.2)
     return model
