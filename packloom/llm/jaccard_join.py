@@ -7,14 +7,15 @@ shuffled on band hashes; every candidate pair is decided on the full sets.
 Groups of copies are never written out pair by pair:
 
 * texts with equal sets are one class, whose smallest id stands for it;
-* in a bucket, every member is first compared with the bucket's smallest id only. Members
-  at distance 0.1 or less from such a centre form a ball. Jaccard distance is a metric, so
-  any two members of a ball are at most 0.2 apart: all of them are linked, and counting
-  members counts their links;
-* members of different balls that share a bucket are compared one by one.
-
-So no link between texts that share a bucket is lost, and a bucket of n near copies gives n
-rows, not n * n.
+* in a bucket, every member is first compared with the bucket's smallest id. Those verified
+  links make cores, and nearly all near copies of a text are in one core;
+* members of one core are compared block against block inside tasks, which give back one
+  count per member: a core of n texts is cut into blocks of BLOCK texts, each block meets
+  each other one, and no task holds more than two blocks. The comparisons of a core grow
+  with the square of its distinct texts, as its links may, but its rows only with n * n / BLOCK;
+* members of different cores that share a bucket are compared one by one.
+
+So no link between texts that share a bucket is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .stages import components
 from .words import WordBatch, mixed, word_batches
 
 SHINGLE, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
+BLOCK = 128  # texts of a core that one task holds of either side
+COLUMNS = 4096  # shingles counted at a time
 
 
 def bands_and_rows(similarity: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -119,6 +122,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= similarity)
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the pairwise intersections of the sets."""
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    grams, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        chunk = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        chunk[owner[a:b], column[a:b] - lo] = 1
+        out += chunk @ chunk.T
+    return out
+
+
+def _inside(similarity: float):
+    def count(table: pa.Table) -> pa.Table:
+        """(id, linked documents) of the members of one or two blocks; a pair counts where its blocks meet."""
+        ids, sizes, block = (table.column(c).to_numpy() for c in ("id", "size", "block"))
+        grams = table.column("grams").combine_chunks()
+        bounds, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
+        sets = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+        common = _common(sets)
+        length = np.array([len(s) for s in sets], dtype=np.float32)
+        linked = common / (length[:, None] + length[None, :] - common) >= np.float32(similarity) - np.float32(1e-6)
+        # Single precision decides all but the closest calls; those are divided anew.
+        i, j = np.nonzero(linked)
+        linked[i, j] = common[i, j].astype(np.float64) / (length[i].astype(np.float64) + length[j] - common[i, j]) >= similarity
+        np.fill_diagonal(linked, False)
+        if block.min() != block.max():
+            linked &= block[:, None] != block[None, :]
+        return pa.table({"id": pa.array(ids, pa.int64()), "beyond": pa.array((linked * sizes[None, :]).sum(axis=1), pa.int64())})
+
+    return count
+
+
 def near_copies(df: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links): one row per document.
 
@@ -133,6 +176,7 @@ def near_copies(df: DataFrame, similarity: float = SIMILARITY, recall: float = R
     signed = staged(texts.mapInArrow(_signer(bands, rows), StructType([ident, digest, StructField("bands", ArrayType(LongType()))])), "signed")
 
     classes = staged(signed.where("digest IS NOT NULL").select("id", "digest").distinct().groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
+    sizes = classes.select(F.col("rep").alias("id"), "size")
     placed = signed.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"]).select("id", F.explode("bands").alias("band"))
     hubs = placed.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     # Representatives that meet another one, per bucket; all later steps start from these.
@@ -140,33 +184,32 @@ def near_copies(df: DataFrame, similarity: float = SIMILARITY, recall: float = R
     stars = met.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     wanted = met.select("id").distinct()
     sets = staged(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, StructType([ident, StructField("grams", ArrayType(LongType()))])).dropDuplicates(["id"]), "sets")
+    close = staged(_verified(stars, sets, similarity).select("a", "b"), "close")
+    cores = staged(wanted.join(components(close), "id", "left").select("id", F.coalesce("root", "id").alias("core")), "cores")
+
+    # Pairs across cores: buckets that hold several cores only.
+    inside = met.select("band", "id").join(cores, "id")
+    mixed_buckets = inside.groupBy("band").agg(F.min("core").alias("lo"), F.max("core").alias("hi")).where("lo < hi").select("band")
+    across = staged(inside.join(mixed_buckets, "band"), "across")
+    other = across.select("band", F.col("id").alias("b"), F.col("core").alias("other"))
+    pairs = across.select("band", F.col("id").alias("a"), "core").join(other, "band").where("a > b AND core <> other").select("a", "b").distinct()
+    links = staged(_verified(pairs, sets, similarity).select("a", "b"), "links")
+
+    # Pairs inside cores, block against block.
+    per_core = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = cores.join(per_core, "core").join(sizes, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    members = members.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = members.select("id", "core", "size", "block", F.least("block", "peer").alias("p"), F.greatest("block", "peer").alias("q"))
+    counted = sides.join(sets, "id").groupBy("core", "p", "q").applyInArrow(_inside(similarity), StructType([ident, StructField("beyond", LongType())]))
 
-    close = staged(_verified(stars, sets, similarity), "close")
-    tight = 1 - (1 - similarity) / 2
-    balls = close.where(F.col("similarity") >= tight).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("ball"))
-    balls = staged(wanted.join(balls, "id", "left").select("id", F.coalesce("ball", "id").alias("ball")), "balls")
-    # Pairs across balls: buckets that hold several balls only.
-    inside = met.select("band", "id").join(balls, "id")
-    mixed_buckets = inside.groupBy("band").agg(F.min("ball").alias("lo"), F.max("ball").alias("hi")).where("lo < hi").select("band")
-    across = inside.join(mixed_buckets, "band")
-    other = across.select("band", F.col("id").alias("b"), F.col("ball").alias("other"))
-    pairs = across.select("band", F.col("id").alias("a"), "ball").join(other, "band").where("a > b AND ball <> other").select("a", "b").distinct()
-    links = _verified(pairs.join(close.select("a", "b"), ["a", "b"], "left_anti"), sets, similarity).select("a", "b")
-    ball_of = lambda end, name: balls.select(F.col("id").alias(end), F.col("ball").alias(name))
-    known = close.select("a", "b").join(ball_of("a", "x"), "a").join(ball_of("b", "y"), "b").where("x <> y").select("a", "b")
-    links = staged(links.unionAll(known), "links")
-
-    sizes = classes.select(F.col("rep").alias("id"), "size")
-    per_ball = balls.join(sizes, "id").groupBy("ball").agg(F.sum("size").alias("in_ball"))
     ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    outside = ends.join(sizes.select(F.col("id").alias("b"), "size"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("beyond"))
-    roots = components(links.unionAll(balls.where("id <> ball").select(F.col("id").alias("a"), F.col("ball").alias("b"))))
-    linked = balls.join(per_ball, "ball").join(outside, "id", "left").join(roots, "id", "left").select(
-        F.col("id").alias("rep"), (F.col("in_ball") + F.coalesce("beyond", F.lit(0))).alias("around"), F.coalesce("root", "id").alias("root")
-    )
-    members = signed.select("id", "digest").distinct().join(classes, "digest", "left").join(linked, "rep", "left")
-    return members.select(
-        F.col("id").alias(key), F.coalesce("root", "rep", "id").alias("class_id"), (F.coalesce("around", "size", F.lit(1)) - 1).cast("bigint").alias("n_links")
+    outside = ends.join(sizes.select(F.col("id").alias("b"), "size"), "b").select(F.col("a").alias("id"), F.col("size").alias("beyond"))
+    around = counted.unionAll(outside).groupBy("id").agg(F.sum("beyond").alias("around"))
+    roots = components(links.unionAll(cores.where("id <> core").select(F.col("id").alias("a"), F.col("core").alias("b"))))
+    linked = staged(wanted.join(around, "id", "left").join(roots, "id", "left").select(F.col("id").alias("rep"), F.coalesce("around", F.lit(0)).alias("around"), F.coalesce("root", "id").alias("root")), "linked")
+    each = signed.select("id", "digest").distinct().join(classes, "digest", "left").join(linked, "rep", "left")
+    return each.select(
+        F.col("id").alias(key), F.coalesce("root", "rep", "id").alias("class_id"), (F.coalesce("size", F.lit(1)) - 1 + F.coalesce("around", F.lit(0))).cast("bigint").alias("n_links")
     )
 
 
