@@ -34,7 +34,7 @@ from ..session import staged
 from .stages import components
 from .words import WordBatch, mixed, word_batches
 
-SHINGLE, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
+SHINGLE, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 600
 BLOCK = 128  # texts of a core that one task holds of either side
 COLUMNS = 4096  # shingles counted at a time
 
