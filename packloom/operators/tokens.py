@@ -141,7 +141,10 @@ def word_dictionary(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Map
 
 
 def bpe_decode(df: DataFrame, vocab: Mapping[str, int], ids: str = "ids", out: str = "text") -> DataFrame:
-    """Text of token ids; broken byte runs show the replacement character, unknown ids vanish."""
+    """Text of token ids; broken byte runs show the replacement character.
+
+    NULL ids give NULL; a NULL or unknown id inside an array raises.
+    """
     back = {char: b for b, char in byte_alphabet().items()}
     known = {i: bytes(back[c] for c in s if c in back) for s, i in vocab.items()}
     table = df.sparkSession.sparkContext.broadcast(known)
@@ -150,6 +153,6 @@ def bpe_decode(df: DataFrame, vocab: Mapping[str, int], ids: str = "ids", out: s
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = table.value
         for batch in batches:
-            yield batch.map(lambda xs: b"".join(pieces.get(i, b"") for i in xs).decode("utf-8", "replace"))
+            yield batch.map(lambda xs: b"".join([pieces[i] for i in xs]).decode("utf-8", "replace"), na_action="ignore")
 
     return df.withColumn(out, decode(F.col(ids)))

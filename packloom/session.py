@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,14 +48,17 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; a local folder is made only where
-    that is unset, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``; a local folder is made only on a
+    local master where that is unset, as in tests. On a cluster each executor would write
+    to its own disk there, so a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="packloom-"))
     return context.getCheckpointDir().rstrip("/")
 

@@ -65,3 +65,34 @@ def test_dictionary_counts_words(spark):
     got = {r.word: (r.n_uses, r.ids) for r in tk.word_dictionary(df, MERGES, VOCAB, "text").collect()}
     assert sum(n for n, _ in got.values()) == 600
     assert all(ids == slow_ids(w) for w, (_, ids) in got.items())
+
+
+def test_decode_null_and_unknown_ids(spark):
+    import pytest
+
+    from packloom.operators.tokens import bpe_decode
+
+    vocab = {"a": 0, "b": 1}
+    df = spark.createDataFrame([(1, [0, 1]), (2, None), (3, [])], "k int, ids array<bigint>")
+    assert [r.text for r in bpe_decode(df, vocab).orderBy("k").collect()] == ["ab", None, ""]
+    with pytest.raises(Exception, match="KeyError"):
+        bpe_decode(spark.createDataFrame([(1, [0, 9])], "k int, ids array<bigint>"), vocab).collect()
+
+
+def test_cluster_needs_a_shared_folder():
+    import pytest
+
+    from packloom.session import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
