@@ -13,7 +13,11 @@ Groups of copies are never written out pair by pair:
   count per member: a core of n texts is cut into blocks of BLOCK texts, each block meets
   each other one, and no task holds more than two blocks. The comparisons of a core grow
   with the square of its distinct texts, as its links may, but its rows only with n * n / BLOCK;
-* members of different cores that share a bucket are compared one by one.
+* members of different cores that share a bucket are met inside tasks too, block against
+  block of the bucket. There a set is BITS parities, one per slot its shingles fall into. Two
+  sets differ in at least as many shingles as their parities differ in slots, which bounds
+  their similarity from above: pairs that the bound rules out are never written, all others
+  are decided on the full sets.
 
 So no link between texts that share a bucket is lost.
 """
@@ -37,6 +41,7 @@ from .words import WordBatch, mixed, word_batches
 SHINGLE, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 600
 BLOCK = 128  # texts of a core that one task holds of either side
 COLUMNS = 4096  # shingles counted at a time
+BITS = 2048  # parities of a set, 256 bytes
 
 
 def bands_and_rows(similarity: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -103,14 +108,21 @@ def _signer(bands: int, rows: int):
     return sign
 
 
+def _parities(shingles: np.ndarray) -> bytes:
+    """Whether the number of shingles in each of BITS slots is odd."""
+    slots = (shingles >> np.uint64(32)) % np.uint64(BITS)
+    return np.packbits(np.bincount(slots.astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets: list[np.ndarray] = []
         for lo, hi, words in word_batches(batch.column(1)):
             shingles, text = _shingles(words)
             edges = np.searchsorted(text, np.arange(hi - lo + 1))
-            sets += [np.unique(shingles[a:b]).astype(np.int64) for a, b in zip(edges, edges[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "grams"])
+            sets += [np.unique(shingles[a:b]) for a, b in zip(edges, edges[1:])]
+        grams, parities = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(_parities, sets), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), grams, parities], names=["id", "grams", "parities"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -162,6 +174,42 @@ def _inside(similarity: float):
     return count
 
 
+def _possible(similarity: float):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a > b) of different cores, of one or two blocks of a bucket per row, that may be similar enough."""
+        for batch in batches:
+            lists = batch.column(0)
+            group = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            members = lists.flatten()
+            ids, core, size, block = (members.field(n).to_numpy(zero_copy_only=False) for n in ("id", "core", "grams", "block"))
+            words = np.frombuffer(b"".join(members.field("parities").to_pylist()), dtype=np.uint64).reshape(len(ids), BITS // 64)
+            starts = np.searchsorted(group, np.arange(len(lists)))
+            one_block = (np.minimum.reduceat(block, starts) == np.maximum.reduceat(block, starts))[group] if len(group) else group
+            # Members lie group by group: each distance between two places is one step over all groups.
+            found = []
+            for apart in range(1, int(np.bincount(group).max()) if len(group) else 0):
+                a = np.flatnonzero((group[:-apart] == group[apart:]) & (core[:-apart] != core[apart:]) & (one_block[:-apart] | (block[:-apart] != block[apart:])))
+                b = a + apart
+                total = size[a] + size[b]
+                near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6
+                a, b, total = a[near], b[near], total[near]
+                apart_bits = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+                common = (total - apart_bits) / 2
+                may = common >= similarity * (total - common) - 1e-6
+                found.append(np.stack([ids[a[may]], ids[b[may]]]))
+            pairs = np.unique(np.sort(np.hstack(found), axis=0), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1], pa.int64()), pa.array(pairs[0], pa.int64())], names=["a", "b"])
+
+    return meet
+
+
+def _in_blocks(rows: DataFrame, counts: DataFrame, by: str) -> DataFrame:
+    """Rows with ``block``, ``p`` and ``q``: each group ``by`` is cut into blocks, and a row goes to each meeting (p, q) of its block."""
+    cut = rows.join(counts.select(by, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), by).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    cut = cut.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.withColumns({"p": F.least("block", "peer"), "q": F.greatest("block", "peer")}).drop("peer", "blocks")
+
+
 def near_copies(df: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links): one row per document.
 
@@ -183,24 +231,22 @@ def near_copies(df: DataFrame, similarity: float = SIMILARITY, recall: float = R
     met = staged(placed.join(hubs, "band").select("band", "hub", "id"), "met")
     stars = met.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     wanted = met.select("id").distinct()
-    sets = staged(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, StructType([ident, StructField("grams", ArrayType(LongType()))])).dropDuplicates(["id"]), "sets")
+    sets = staged(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, StructType([ident, StructField("grams", ArrayType(LongType())), StructField("parities", BinaryType())])).dropDuplicates(["id"]), "sets")
     close = staged(_verified(stars, sets, similarity).select("a", "b"), "close")
     cores = staged(wanted.join(components(close), "id", "left").select("id", F.coalesce("root", "id").alias("core")), "cores")
 
     # Pairs across cores: buckets that hold several cores only.
     inside = met.select("band", "id").join(cores, "id")
-    mixed_buckets = inside.groupBy("band").agg(F.min("core").alias("lo"), F.max("core").alias("hi")).where("lo < hi").select("band")
-    across = staged(inside.join(mixed_buckets, "band"), "across")
-    other = across.select("band", F.col("id").alias("b"), F.col("core").alias("other"))
-    pairs = across.select("band", F.col("id").alias("a"), "core").join(other, "band").where("a > b AND core <> other").select("a", "b").distinct()
-    links = staged(_verified(pairs, sets, similarity).select("a", "b"), "links")
+    mixed_buckets = inside.groupBy("band").agg(F.min("core").alias("lo"), F.max("core").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
+    across = _in_blocks(inside, mixed_buckets, "band").join(sets.select("id", F.size("grams").alias("grams"), "parities"), "id")
+    meetings = across.groupBy("band", "p", "q").agg(F.collect_list(F.struct("id", "core", "grams", "block", "parities")).alias("members")).select("members")
+    possible = meetings.mapInArrow(_possible(similarity), StructType([StructField("a", LongType()), StructField("b", LongType())])).distinct()
+    links = staged(_verified(staged(possible, "possible"), sets, similarity).select("a", "b"), "links")
 
     # Pairs inside cores, block against block.
-    per_core = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = cores.join(per_core, "core").join(sizes, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    members = members.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sides = members.select("id", "core", "size", "block", F.least("block", "peer").alias("p"), F.greatest("block", "peer").alias("q"))
-    counted = sides.join(sets, "id").groupBy("core", "p", "q").applyInArrow(_inside(similarity), StructType([ident, StructField("beyond", LongType())]))
+    per_core = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    sides = _in_blocks(cores, per_core, "core").join(sizes, "id").select("id", "core", "size", "block", "p", "q")
+    counted = sides.join(sets.select("id", "grams"), "id").groupBy("core", "p", "q").applyInArrow(_inside(similarity), StructType([ident, StructField("beyond", LongType())]))
 
     ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     outside = ends.join(sizes.select(F.col("id").alias("b"), "size"), "b").select(F.col("a").alias("id"), F.col("size").alias("beyond"))
