@@ -101,13 +101,13 @@ def compare(
     """Each question once, with one answer column per model.
 
     ``answers`` maps a column name to a table (key, response); ``None`` is a model that
-    is not loaded and answers ``''``.
+    is not loaded and answers ``''``. Of several answers to a question the smallest text counts.
     """
     out = questions
     for column, table in answers.items():
         if table is None:
             out = out.withColumn(column, F.lit(""))
             continue
-        side = table.select(F.col(key), F.col(response).alias(column))
+        side = table.groupBy(key).agg(F.min(response).alias(column))
         out = out.join(side, key, "left").withColumn(column, F.coalesce(column, F.lit("")))
     return out

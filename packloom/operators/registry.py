@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.geometry import ResizeRule
@@ -34,19 +35,19 @@ def registered_sources() -> list[str]:
 
 def rows_to_segments(df: DataFrame, fn: Callable[[dict], list[dict]], schema: StructType) -> DataFrame:
     """User code from one row to any number of rows; a row whose call fails is skipped."""
-    names = schema.fieldNames()
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[dict] = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
                     out.extend(fn(row))
                 except Exception:  # the contract: one bad row never fails the job
                     continue
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def map_items(df: DataFrame, fn: Callable[[dict], dict], key: str, schema: StructType) -> DataFrame:
@@ -56,19 +57,20 @@ def map_items(df: DataFrame, fn: Callable[[dict], dict], key: str, schema: Struc
     """
     names = schema.fieldNames()
     full = StructType([df.schema[key], *schema.fields, StructField("error", StringType())])
+    arrow = to_arrow_schema(full)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
                     result, error = fn(row), None
                 except Exception as exc:
                     result, error = {n: "" for n in names}, repr(exc)
                 out.append({key: row[key], **{n: result.get(n) for n in names}, "error": error})
-            yield pd.DataFrame(out, columns=full.fieldNames())
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return df.mapInPandas(run, full)
+    return df.mapInArrow(run, full)
 
 
 @dataclass(frozen=True)

@@ -157,14 +157,17 @@ def mix(
 
     ``place`` is the row's 0-based number in its group's feed. Every feed row is expanded
     to the turns it will serve and joined on (group, turn), which is unique on both
-    sides: a small group drawn very often makes no hot key.
+    sides: a small group drawn very often makes no hot key. A drawn group without rows, or
+    whose places are not 0 to its size - 1, is an error: its draws could not be delivered.
     """
     draws = draw_groups(feed.sparkSession, weights, n_draws, seed)
     turns = cell_rank(draws, number_cell(F.col("draw_id"), draws_per_cell), [F.col("draw_id")], ["group"], rank="_turn")
-    sizes = feed.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    size, far, near = F.count(F.lit(1)), F.max(place), F.min(place)
+    sizes = feed.groupBy(group).agg(F.when((near == 0) & (far == size - 1) & (F.count(place) == size), size).alias("_size"))
     demand = draws.groupBy("group").agg(F.count(F.lit(1)).alias("_demand")).withColumnRenamed("group", "_g")
     # At most one row per group; both come out of partial aggregates.
-    plan = sizes.join(demand, F.col(group) == F.col("_g")).select(F.col(group).alias("_g"), "_size", "_demand")
+    gap = F.raise_error(F.concat(F.lit("mix: no rows, or gaps between the places, in group "), "_g")).cast("bigint")
+    plan = demand.join(sizes, F.col("_g") == F.col(group), "left").select("_g", F.coalesce("_size", gap).alias("_size"), "_demand")
     last = F.floor((F.col("_demand") - 1 - F.col(place)) / F.col("_size"))
     served = F.when(last >= 0, F.sequence(F.lit(0).cast("bigint"), last)).otherwise(F.array().cast("array<bigint>"))
     supply = (

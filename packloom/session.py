@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +23,26 @@ SETTINGS = {
 }
 
 
+_SHIPPED = "_packloom_shipped"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, _SHIPPED, False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="packloom-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    setattr(context, _SHIPPED, True)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session somebody else built."""
+    """Apply the run-time settings to a session somebody else built, and send the package to its workers."""
+    ship(spark)
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -42,6 +62,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -94,18 +115,27 @@ def child_folders(spark: SparkSession, folder: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
 
 
-def first_bytes(spark: SparkSession, path: str, n: int = 1024) -> bytes:
-    """The first bytes of a file, or of the first file of a folder or pattern."""
+def first_characters(spark: SparkSession, path: str) -> dict[str, bytes]:
+    """First byte that is no blank (or byte-order mark) of each data file of a file, folder or pattern."""
+    conf = spark._jsc.hadoopConfiguration()
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.globStatus(target) or []:
-        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-        for file in sorted((f.getPath() for f in inside if f.isFile() and f.getLen()), key=lambda f: f.getName()):
-            if file.getName()[0] in "_.":
-                continue
-            stream = fs.open(file)
-            try:
-                return bytes(stream.readNBytes(n))
-            finally:
-                stream.close()
-    return b""
+    fs = target.getFileSystem(conf)
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found = {}
+    waiting = list(fs.globStatus(target) or [])
+    while waiting:
+        status = waiting.pop()
+        file = status.getPath()
+        if status.isDirectory():
+            waiting += [s for s in fs.listStatus(file) if s.getPath().getName()[0] not in "_."]
+            continue
+        stream, codec = fs.open(file), codecs.getCodec(file)
+        stream = codec.createInputStream(stream) if codec else stream
+        try:
+            first = b""
+            while not first and (part := bytes(stream.readNBytes(1024))):
+                first = part.lstrip(b"\xef\xbb\xbf \t\r\n")[:1]
+        finally:
+            stream.close()
+        found[file.toString()] = first
+    return found

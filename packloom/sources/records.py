@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..session import first_bytes
+from ..session import first_characters
 
 TRAINING_RECORD = StructType(
     [
@@ -20,23 +20,30 @@ EXPORT_COLUMNS = ("before_image_path", "after_image_path", "instruction", "reaso
 
 
 def is_json_array(spark: SparkSession, path: str) -> bool:
-    """True if the first non-blank character of the first 1024 bytes is an opening bracket."""
-    return first_bytes(spark, path).decode("utf-8", "ignore").lstrip("\ufeff \t\r\n").startswith("[")
+    """True if a file's first non-blank character is an opening bracket."""
+    return b"[" in first_characters(spark, path).values()
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType = TRAINING_RECORD, bad_rows: str | None = None) -> DataFrame:
-    """JSON array or JSON Lines, told apart by content; blank lines are skipped.
+    """JSON arrays and JSON Lines, told apart file by file by the first non-blank character.
 
-    Lines are split over tasks. An array is read by one task per file, as the format
-    cannot be split, and streamed there; large inputs belong in JSON Lines. ``bad_rows``
-    names a column that keeps the text of rows that do not parse; without it they fail
-    no job but come as NULL rows.
+    Lines are split over tasks; blank lines are skipped. An array is read by one task per
+    file, as the format cannot be split, and streamed there; large inputs belong in JSON
+    Lines. ``bad_rows`` names a column that keeps the text of rows that do not parse;
+    without it they fail no job but come as NULL rows. A folder that holds both kinds
+    comes as a union, which has no file metadata.
     """
     reader = spark.read.option("mode", "PERMISSIVE")
     if bad_rows:
         schema = StructType([*schema.fields, StructField(bad_rows, StringType())])
         reader = reader.option("columnNameOfCorruptRecord", bad_rows)
-    return reader.schema(schema).json(path, multiLine=is_json_array(spark, path))
+    reader = reader.schema(schema)
+    first = first_characters(spark, path)
+    arrays = [file for file, character in first.items() if character == b"["]
+    lines = [file for file, character in first.items() if character not in (b"[", b"")]
+    if arrays and lines:
+        return reader.json(arrays, multiLine=True).unionByName(reader.json(lines, multiLine=False))
+    return reader.json(path, multiLine=bool(arrays))
 
 
 def with_input_position(df: DataFrame, out: str = "input_pos") -> DataFrame:

@@ -137,3 +137,10 @@ def test_resume_skips_up_to_and_with_the_saved_place(spark):
     assert sorted((r.rg, r.row) for r in rows if r.epoch == 0 and r.worker == 0) == [(1, 2), (2, 0), (2, 1), (2, 2)]
     assert len([r for r in rows if r.epoch == 0 and r.worker == 1]) == 1
     assert len([r for r in rows if r.epoch == 1]) == 10
+
+
+@pytest.mark.parametrize("rows", [[("a", 0)], [("a", 0), ("b", 0), ("b", 2)]])
+def test_mix_refuses_to_lose_draws(spark, rows):
+    feed = spark.createDataFrame(rows, "group string, place bigint")
+    with pytest.raises(Exception, match="group b"):
+        sa.mix(feed, {"a": 1.0, "b": 1.0}, 50, 5).collect()

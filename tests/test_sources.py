@@ -1,10 +1,14 @@
 """Files in, files out."""
 
+import gzip
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from packloom.operators import registry as rg
 from packloom.plans.export import export
@@ -33,6 +37,24 @@ def test_array_lines_and_blank_lines_read_alike(spark, tmp_path):
     assert rc.is_json_array(spark, str(tmp_path / "array.json")) and not rc.is_json_array(spark, str(tmp_path / "lines.json"))
 
 
+def test_a_folder_of_arrays_and_lines_loses_no_row(spark, tmp_path):
+    (tmp_path / "a.json").write_text(" " * 3000 + json.dumps(RECORDS[:2]))
+    (tmp_path / "b.json").write_text("\n".join(json.dumps(r) for r in RECORDS))
+    (tmp_path / "d.json.gz").write_bytes(gzip.compress(json.dumps(RECORDS[2:]).encode()))
+    (tmp_path / "c.json").write_text("")
+    found = rc.read_records(spark, str(tmp_path)).filter("original_image_path IS NOT NULL")
+    assert sorted(r.original_image_path for r in found.collect()) == sorted(r["original_image_path"] for r in RECORDS * 2)
+
+
+def test_user_code_sees_whole_numbers_beside_nulls(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, 5), (2, None)], "k bigint, n bigint").coalesce(1)
+    schema = StructType([StructField("seen", StringType())])
+    assert {(r.k, r.seen, r.error) for r in rg.map_items(df, lambda row: {"seen": repr(row["n"])}, "k", schema).collect()} == {(big, "5", None), (2, "None", None)}
+    rows = rg.rows_to_segments(df, lambda row: [{"k": row["k"], "n": row["n"]}], df.schema)
+    assert {tuple(r) for r in rows.collect()} == {(big, 5), (2, None)}
+
+
 def test_bad_rows_are_kept_apart(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text(json.dumps(RECORDS[0]) + "\n{broken\n")
     df = rc.read_records(spark, str(tmp_path / "x.jsonl"), bad_rows="bad").cache()
@@ -130,3 +152,20 @@ def test_config_groups():
         rg.read_config({"x": {}})
     with pytest.raises(KeyError):
         rg.build_source("nobody", None)
+
+
+def test_workers_find_the_package_from_another_folder(tmp_path):
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from packloom.session import local_session\n"
+        "from packloom.functions import text\n"
+        "spark = local_session(1)\n"
+        "def run(batches):\n"
+        "    import packloom.operators.packing\n"
+        "    yield from batches\n"
+        "print('rows', spark.range(3).mapInArrow(run, 'id bigint').count())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 3" in done.stdout, done.stderr[-2000:]
