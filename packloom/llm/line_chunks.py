@@ -1,9 +1,11 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by chunks of lines that depend on nothing outside themselves.
 
-A rolling hash over the hashes of the last lines chooses chunk ends, so an inserted or
-dropped line moves only the ends near it. Chunks of several lines that occur more than
-once in the corpus are found by digest; those few are then compared byte by byte, and all
-but the first (smallest document id) are cut from their documents.
+A chunk is a line that holds a word and the next such line, with what blank lines stand
+between: the hash rolls over two lines and cuts at each. No cut depends on the lines before
+a passage or on a text's end, so a repeated passage of two lines or more is covered whole,
+wherever it stands, and an exact copy from its first line to its last. Chunks that occur
+more than once in the corpus are found by digest; those few are then compared byte by byte,
+and all but the first (smallest document id) are cut from their documents.
 
 Only digests of chunks are shuffled at first. Texts move once, by document id; the bytes
 of a chunk move only if its digest came up twice. Both counts combine before their
@@ -20,48 +22,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-# A chunk ends where the rolling hash of so many lines is divisible by CUT_EVERY.
-ROLLING_LINES = 2
-CUT_EVERY = 3
-MIN_LINES = 2
-
-
-def _line_hash(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little")
+# Characters that make no word; a line of nothing else is blank.
+BLANK = " \t\x0b\x0c\r"
 
 
 def chunks(text: str | None) -> list[tuple[int, int]]:
-    """[first line, line after the last) of the chunks of a text's \\n-split lines."""
+    """[first line, line after the last) of the chunks of a text's \\n-split lines; neighbours share a line."""
     if not text:
         return []
-    rolling = [0] * ROLLING_LINES
-    out, start = [], 0
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        rolling = [*rolling[1:], _line_hash(line)]
-        mixed = 0
-        for h in rolling:
-            mixed = (mixed * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-        if i + 1 == len(lines) or ((mixed >> 32) % CUT_EVERY == 0 and i + 1 - start >= MIN_LINES):
-            out.append((start, i + 1))
-            start = i + 1
-    return out
+    held = [i for i, line in enumerate(text.split("\n")) if line.strip(BLANK)]
+    return [(a, b + 1) for a, b in zip(held, held[1:])]
 
 
 def multi_line(text: str | None) -> list[tuple[bytes, str, int, int]]:
-    """(digest, bytes as text, first line, end) of chunks of several lines with a non-blank character."""
+    """(digest, bytes as text, first line, end) of the chunks of a text."""
     found = []
     lines = text.split("\n") if text else []
     for a, b in chunks(text):
-        if b - a >= MIN_LINES:
-            body = "\n".join(lines[a:b])
-            if body.strip():
-                found.append((hashlib.blake2b(body.encode(), digest_size=16).digest(), body, a, b))
+        body = "\n".join(lines[a:b])
+        found.append((hashlib.blake2b(body.encode(), digest_size=16).digest(), body, a, b))
     return found
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, id, repeated inside the document) of the distinct multi-line chunks of each text."""
+    """(digest, id) of the chunks of each text."""
     for batch in batches:
         keys, digests = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -100,11 +84,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first.discard(digest)
                 elif digest in marked:
                     gone.append((a, b))
-            if gone:
-                dropped = {i for a, b in gone for i in range(a, b)}
+            dropped = {i for a, b in gone for i in range(a, b)}
+            if dropped:
                 text = "\n".join([line for i, line in enumerate(text.split("\n")) if i not in dropped])
             texts.append(text)
-            removed.append(sum(b - a for a, b in gone))
+            removed.append(len(dropped))
         yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["row", "text", "removed"])
 
 
@@ -112,10 +96,11 @@ REMOVED = "n_lines_removed"
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of df with repeated multi-line chunks cut from ``text``, and ``n_lines_removed``.
+    """All columns of df with repeated multi-line passages cut from ``text``, and ``n_lines_removed``.
 
-    The first holder of a chunk, by document id and then by place, keeps it. Single lines
-    and blank chunks stay. NULL and empty texts pass; so do rows whose id is NULL. Rows that
+    The first holder of a chunk, by document id and then by place, keeps it but for lines that
+    another repeated chunk covers; each line cut has an equal one before it. Single lines and
+    blank lines around a passage stay. NULL and empty texts pass; so do rows whose id is NULL. Rows that
     share an id count as one document, each keeping the chunks that document holds first.
     A column that is already called ``n_lines_removed`` is replaced.
     """

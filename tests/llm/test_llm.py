@@ -208,6 +208,26 @@ def test_line_chunks_against_brute_force(spark):
     assert sum(n for _, n in got.values()) > 20
 
 
+def test_line_passages_against_runs_of_lines(spark):
+    rng = random.Random(11)
+    passages = [[f"passage {n} {k} line {i}" for i in range(n)] for n in (2, 3, 4) for k in range(6)]
+    passages[0].insert(1, " ")
+    texts = []
+    for k in range(40):  # each between lines of its own, at the start, at the end, or beside another
+        lines = [x for j in range(3) for x in (rng.choice(passages) + [f"own {k} {j} {i}" for i in range(rng.randrange(3))])]
+        texts.append("\n".join([f"head {k}"] * rng.randrange(2) + lines))
+    texts += ["once\n\nheld", "once\nheld", "\n once\n\nheld", "x\nonce\n\nheld\n"]
+    got = {r.doc_id: (r.text, r[line_chunks.REMOVED]) for r in line_chunks.dedup_lines(docs(spark, texts)).collect()}
+    before: set[str] = set()
+    for key, text in enumerate(texts):
+        lines, gone = text.split("\n"), set()
+        for a in range(len(lines)):
+            ends = [b for b in range(a + 2, len(lines) + 1) if lines[a].strip() and lines[b - 1].strip()]
+            gone.update(i for b in ends if "\n".join(lines[a:b]) in before for i in range(a, b))
+            before.update("\n".join(lines[a:b]) for b in ends)
+        assert got[key] == ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)), key
+
+
 def test_near_copies_against_brute_force(spark):
     rng = random.Random(5)
     texts = texts_of(spark)
