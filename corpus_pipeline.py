@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from packloom.llm import benchmark_matches, bpe_replay, jaccard_join, line_chunks, string_kernel
 from packloom.llm.core import session, table
 from packloom.llm.queries import TOXIC_FROM, toxicity_model, vocabulary
+from packloom.llm.words import WORD
 from packloom.session import staged
 
 
@@ -23,10 +24,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated multi-line chunks; one that held nothing else goes."""
+    """Documents without repeated multi-line chunks; one that is left without a word goes."""
     session(spark)
     done = line_chunks.dedup_lines(docs)
-    done = done.where((F.col(line_chunks.REMOVED) == 0) | (F.trim("text") != ""))
+    done = done.where((F.col(line_chunks.REMOVED) == 0) | F.col("text").rlike(WORD))
     n_chars = F.when(F.col(line_chunks.REMOVED) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -9,6 +9,8 @@ import pytest
 
 pytest.importorskip("packloom.llm")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from packloom.llm import (  # noqa: E402
     benchmark_matches,
     bpe_replay,
@@ -228,6 +230,17 @@ def test_line_passages_against_runs_of_lines(spark):
         assert got[key] == ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)), key
 
 
+def test_exact_copies_leave_no_remnant(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    texts = ["\n".join(f"text {k} line {i}" for i in range(k % 9 + 2)) for k in range(30)]
+    texts += ["\n".join(rng.choice(["", " \t", f"gap {k} {i}"]) for i in range(12)) + f"\nend {k}\nlast {k}\n\n" for k in range(30)]
+    df = docs(spark, texts * 3).withColumn("n_chars", F.length("text").cast("bigint"))
+    left = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, df, FOLDER).collect()}
+    assert left == {k: (text, len(text)) for k, text in enumerate(texts)}
+
+
 def test_near_copies_against_brute_force(spark):
     rng = random.Random(5)
     texts = texts_of(spark)
