@@ -309,6 +309,23 @@ def test_bpe_column_round_trip(spark):
     assert [bytes(r.decoded).decode() for r in df.orderBy("doc_id").collect()] == ["é 日本 x", "", ""]
 
 
+def test_small_and_deep_branches_keep_their_verdict(spark):
+    # 30 equal sections of a host, 2 of them bad; below a fixed beginning, one bad branch at the sixth segment.
+    urls = [(f"http://wide.net/s{i % 30}/p{i}", i % 30 >= 2) for i in range(1200)]
+    urls += [(f"http://deep.net/a/b/c/d/e/{'bad' if i % 4 == 0 else f'g{i % 4}'}/p{i}", i % 4 != 0) for i in range(400)]
+    urls += [(f"http://plain.net/a/b/c/d/e{i}/f/g", i % 9 != 0) for i in range(90)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(g)) for i, (_, g) in enumerate(urls)], "page_id bigint, good int")
+    got = {r.page_id: r for r in path_templates.judged(pages, labels).collect()}
+    for i, (url, good) in enumerate(urls):
+        if "plain" in url:
+            assert (got[i].template, got[i].verdict) == ("/*/*/*/*/**", "allow")
+        else:
+            assert got[i].verdict == ("allow" if good else "block"), url
+    assert {r.template for r in got.values() if r.host == "deep.net" and r.verdict == "block"} == {"/*/*/*/*/*/bad/**"}
+    assert {r.template for r in got.values() if r.host == "wide.net"} == {"/s0/*", "/s1/*", "/*/*"}
+
+
 def test_preference_prefix(spark):
     turns = spark.createDataFrame(
         [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", "why"), (2, 0, "user", "alone"), (0, 0, "user", "q")],
