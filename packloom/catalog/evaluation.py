@@ -191,6 +191,19 @@ def _(t):
     return lb.sort_rank(t["cells"], "cell", "number", "page_id", descending=True).select("page_id", "sort_rank")
 
 
+def _sorted_as(kind: str, descending: bool):
+    return lambda t: lb.sort_rank(t["cells"], "cell", kind, "page_id", descending).select("page_id", "sort_rank")
+
+
+for _kind, _sql, _down in (("string", "as_string", False), ("last", "as_last", True), ("raw", "cell", True)):
+    query(
+        f"sort_rank_{_kind}",
+        f"SELECT page_id, row_number() OVER (ORDER BY {_sql}{' DESC' if _down else ''} NULLS LAST, page_id) - 1 AS sort_rank FROM keys",
+        "cells",
+        UNITS,
+    )(_sorted_as(_kind, _down))
+
+
 @query(
     "sort_dates",
     """SELECT event_id, coalesce(epoch_ms(try_cast(d AS timestamp)), 0) AS sort_key FROM (

@@ -81,6 +81,16 @@ def _(t):
     return sa.take_first(orders, 200_000, "o_orderstatus", "o_orderkey").drop("o_orderstatus")
 
 
+@query(
+    "take_first_by_text",
+    "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY text, doc_id) AS rn FROM documents) WHERE rn <= 25",
+)
+def _(t):
+    """A string position with ties: documents in the order of their texts, then of their ids."""
+    docs = t["documents"].select("source", "doc_id", F.struct("text", "doc_id").alias("at"))
+    return sa.take_first(docs, 25, "source", "at").drop("at")
+
+
 WANTED = "SELECT source, cast(40 + length(source) * 7 AS bigint) AS n_wanted FROM (SELECT DISTINCT source FROM feed) s"
 FILES = "SELECT source, 'shards/' || source || '/' || cast(sample_id AS string) || '.parquet' AS path FROM feed"
 

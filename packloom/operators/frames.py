@@ -116,11 +116,11 @@ def folder_frames(
 
     Equal numbers have no order of their own (a listing has none): the md5 of the path
     decides. The wanted count is drawn per folder from [min_frames, max_frames]. Ranks and folder
-    lengths come from value cells, so a folder of any length is spread over tasks; the
+    lengths come from a range exchange, so a folder of any length is spread over tasks; the
     plan itself is a few numbers per folder.
     """
     numbered = files.withColumn("frame_no", frame_number(F.col(path)))
-    ranked = value_rank(numbered, F.col("frame_no"), F.col(path), [folder], rank="_at", total="_len", cells=32, shuffle_ties=True)
+    ranked = value_rank(numbered, F.col("frame_no"), F.col(path), [folder], rank="_at", total="_len", shuffle_ties=True)
     wanted = uniform_int(uniform(seed, F.col(folder), "n_frames"), F.lit(min_frames), F.lit(max_frames + 1))
     folders = (
         files.groupBy(folder)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import staged
-from .rank import cell_rank, value_rank
+from .rank import cell_rank, range_rank
 
 SORT_TYPES = ("number", "string", "date", "last", "raw", "none")
 
@@ -41,17 +41,19 @@ def sort_by(df: DataFrame, column: str, kind: str, position: str, descending: bo
 
 
 def sort_rank(df: DataFrame, column: str, kind: str, position: str, descending: bool = False) -> DataFrame:
-    """``sort_by`` as a table ``position, sort_key, sort_rank`` for numeric sort types.
+    """``sort_by`` as a table ``position, sort_key, sort_rank`` for any sort type.
 
-    The keys are written once to the shared folder, so ranking reads two narrow columns
-    and the cells' texts are parsed a single time.
+    Equal keys keep their input position in both directions, and NULL (a text that is no
+    number) goes last in both. Only the position and the key are moved; ``none`` ranks by
+    the position alone.
     """
-    if kind not in ("number", "date"):
-        raise ValueError("ranks need a numeric sort type: number or date")
+    if kind not in SORT_TYPES:
+        raise ValueError(f"unknown sort type {kind!r}")
+    # Written once: the range exchange samples its input, and the texts are to be parsed a single time.
     keys = staged(df.select(position, sort_key(F.col(column), kind).alias("sort_key")), "sort-keys")
-    # NULL (a text that is no number) goes last in either direction.
-    signed = F.coalesce((-F.col("sort_key") if descending else F.col("sort_key")).cast("double"), F.lit(float("inf")))
-    return value_rank(keys.withColumn("_signed", signed), F.col("_signed"), F.col(position), rank="sort_rank").drop("_signed")
+    key = F.col("sort_key")
+    by_key = key.desc_nulls_last() if descending else key.asc_nulls_last()
+    return range_rank(keys, [F.col(position)] if kind == "none" else [by_key, F.col(position)], rank="sort_rank")
 
 
 def leaderboard(

@@ -2,25 +2,28 @@
 
 A plain ``row_number() over (order by ...)`` sends every row to one task, and
 ``partition by source`` sends a source with a third of the table to one task. Here rows
-fall into *cells*: value ranges of the sort key that are small and in sort order. Only
+fall into *cells*: ranges of the sort key that are small and in sort order. Only
 cell counts are summed globally; rows are ranked inside their cell.
 
     rows --hash(cell)--> row_number per cell --+
                                                +-- sort-merge join on cell, no new exchange
     counts per cell --> running sum -----------+   of the rows
+
+Seeded orders have md5 prefixes as cells. Any other order goes through ``range_rank``:
+one range exchange, the rows of each range counted, offsets added back.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import digest
+from ..session import staged
 
+PART_ROWS = 1_000_000  # rows of a range at most, on average
 DIGITS = 4  # 65,536 cells: about 1.5 million rows per cell at 10^11 rows
 
 
@@ -99,44 +102,51 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(digest(seed, F.col(key)), F.col(key))
 
 
-def value_cells(
-    df: DataFrame, value: Column, cells: int = 256, tie: Column | None = None, tie_cell: Column | None = None, out: str = "_cell"
+def range_rank(
+    df: DataFrame,
+    order: Sequence[Column],
+    within: Sequence[str] = (),
+    rank: str = "rank",
+    total: str | None = None,
+    unique: bool = False,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Add the cell of any numeric sort key, from approximate quantiles.
+    """0-based rank in any sort order, per group of ``within``, by one range exchange.
 
-    One aggregate job; the driver gets ``cells`` numbers per column. A value so frequent
-    that it spans several quantiles, and NULL, are split further along the tie-break: by
-    quantiles of a numeric ``tie``, or by a given ``tie_cell``. Exactness never depends
-    on the quantiles; they only decide how even the cells are.
-    """
-    points = [i / cells for i in range(1, cells)]
-    number = lambda c: F.percentile_approx(c.cast("double"), points, 10_000)
-    row = df.select(number(value), *([number(tie)] if tie is not None else [])).first()
-    found = row[0] or []
-    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
-    out_df = _buckets(df, value, [*found, *(math.nextafter(h, math.inf) for h in heavy)], out)
-    if tie is not None:
-        out_df = _buckets(out_df, tie, row[1] or [], "_tie_cell")
-        tie_cell = F.col("_tie_cell")
-    if tie_cell is None:
-        return out_df
-    crowded = value.isNull()
-    if heavy:
-        crowded = crowded | value.cast("double").isin(heavy)
-    return out_df.withColumn(out, F.concat(out, F.when(crowded, tie_cell).otherwise(F.lit("")))).drop("_tie_cell")
-
-
-def _buckets(df: DataFrame, value: Column, bounds: Sequence[float], out: str) -> DataFrame:
-    """Add the zero-padded number of the half-open range a value lies in, ``-`` for NULL.
-
-    NULL comes first in Spark's ascending order, as ``-`` does before digits.
+    Rows are dealt to sorted ranges of (``within``, ``order``) and written with their place
+    in their range. Only the rows per range and group are counted and summed up; the sums
+    are added back to the places. The number of ranges grows with the rows, and any
+    orderable type will do: nothing is cast or cut into quantiles.
+
+    Rows equal in ``order`` follow their place in the input, which also spreads a value
+    that holds much of the table over several ranges. For that the table is written once
+    before; ``unique`` says that no two rows are equal in ``order`` and saves the writing.
+    NULL keys rank first or last as ``order`` says, NULL groups are a group.
     """
-    inner = sorted(b for b in set(bounds) if math.isfinite(b)) or [0.0]
-    ranges = Bucketizer(
-        splits=[-math.inf, *inner, math.inf], inputCol="_number", outputCol="_range", handleInvalid="keep"
-    ).transform(df.withColumn("_number", value.cast("double")))
-    label = F.when(F.col("_number").isNull(), F.lit("-")).otherwise(F.lpad(F.col("_range").cast("int").cast("string"), 6, "0"))
-    return ranges.withColumn(out, label).drop("_number", "_range")
+    spark = df.sparkSession
+    by = [*[F.col(c) for c in within], *order]
+    if not unique:
+        df, by = staged(df.withColumn("__row", F.monotonically_increasing_id()), "rank-rows"), [*by, F.col("__row")]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // part_rows))
+    sorted_rows = df.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    placed = staged(sorted_rows.withColumn("__range", F.shiftright("__at", 33)), "ranked")
+    counts = placed.groupBy("__range", *within).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    by_group = Window.partitionBy(*within)
+    # One row per range that a group reaches into, whatever the table size.
+    before = counts.select(
+        F.col("__range").alias("__of"),
+        *[F.col(c).alias(f"__of_{i}") for i, c in enumerate(within)],
+        (F.sum("__rows").over(by_group.orderBy("__range")) - F.col("__rows") - F.col("__first")).alias("__shift"),
+        F.sum("__rows").over(by_group).alias("__total"),
+    )
+    on = F.col("__range") == F.col("__of")
+    for i, c in enumerate(within):
+        on = on & F.col(c).eqNullSafe(F.col(f"__of_{i}"))
+    columns = [F.col(c) for c in df.columns if c != "__row" or unique]
+    out = placed.join(before, on).select(
+        *columns, (F.col("__at") + F.col("__shift")).alias(rank), *([F.col("__total").alias(total)] if total else [])
+    )
+    return out
 
 
 def value_rank(
@@ -145,20 +155,15 @@ def value_rank(
     tie: Column | None = None,
     within: Sequence[str] = (),
     rank: str = "rank",
-    cells: int = 256,
     total: str | None = None,
     shuffle_ties: bool = False,
 ) -> DataFrame:
-    """0-based rank by a numeric column; see ``value_cells``.
+    """0-based rank by a column of any orderable type; see ``range_rank``.
 
-    Ties go by the numeric ``tie`` or, with ``shuffle_ties``, by the md5 of any ``tie``.
+    Ties go by ``tie`` or, with ``shuffle_ties``, by the md5 of ``tie``.
     """
     order = [value] if tie is None else [value, digest(0, tie), tie] if shuffle_ties else [value, tie]
-    if shuffle_ties:
-        celled = value_cells(df, value, cells, tie_cell=hash_cell(order[1], 2), out="_value_cell")
-    else:
-        celled = value_cells(df, value, cells, tie, out="_value_cell")
-    return cell_rank(celled, F.col("_value_cell"), order, within, rank, total).drop("_value_cell")
+    return range_rank(df, order, within, rank, total)
 
 
 def even_chunks(df: DataFrame, key: str, n: int, seed: int, chunk: str = "chunk", position: str = "position") -> DataFrame:

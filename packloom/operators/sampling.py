@@ -8,11 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import digest, uniform
-from .rank import cell_rank, number_cell, shuffle_rank, value_rank
-
-# Up to this many rows per group, the salted top-n needs no quantile job.
-SMALL_TAKE = 100_000
-SALTS = 64
+from .rank import cell_rank, number_cell, range_rank, shuffle_rank
 
 
 def _wanted(n: int | str | None) -> int | None:
@@ -25,25 +21,18 @@ def _wanted(n: int | str | None) -> int | None:
 def take_first(df: DataFrame, n: int | str | None, source: str, position: str, seed: int | None = None) -> DataFrame:
     """First n rows of every source, in position order or, with ``seed``, shuffled order.
 
-    Small n: the top n of every (source, salt) first, then of the source, so one huge
-    source is cut down by many tasks. Large n: exact ranks over value cells.
+    Positions may be of any orderable type; rows at the same position follow their place
+    in the input. One path for every n: exact ranks by a range exchange, or by md5 cells
+    for the shuffled order, so a source with a third of the table is spread over tasks.
     """
     n = _wanted(n)
     if n is None:
         return df
-    if n > SMALL_TAKE:
-        if seed is not None:
-            ranked = shuffle_rank(df, position, seed, within=[source], rank="_rank")
-        else:
-            ranked = value_rank(df, F.col(position), within=[source], rank="_rank")
-        return ranked.filter(F.col("_rank") < n).drop("_rank")
-    order = [F.col(position)] if seed is None else [digest(seed, F.col(position)), F.col(position)]
-    salt = F.pmod(F.xxhash64(position), F.lit(SALTS))
-    salted = df.withColumn("_salt", salt)
-    for group in ([source, "_salt"], [source]):
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        salted = salted.withColumn("_rn", rank).filter(F.col("_rn") <= n).drop("_rn")
-    return salted.drop("_salt")
+    if seed is not None:
+        ranked = shuffle_rank(df, position, seed, within=[source], rank="_rank")
+    else:
+        ranked = range_rank(df, [F.col(position)], within=[source], rank="_rank")
+    return ranked.filter(F.col("_rank") < n).drop("_rank")
 
 
 def cycle_to(

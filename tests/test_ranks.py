@@ -30,7 +30,7 @@ def test_even_chunks(spark, n_rows, n):
 def test_one_hot_group_and_null_group(spark):
     rows = [(None if i % 5 == 0 else "hot" if i % 3 else "x", i) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, id bigint")
-    for ranked in (rk.shuffle_rank(df, "id", 1, within=["g"]), rk.value_rank(df, F.col("id"), within=["g"], cells=16)):
+    for ranked in (rk.shuffle_rank(df, "id", 1, within=["g"]), rk.value_rank(df, F.col("id"), within=["g"])):
         got = ranked.collect()
         assert len(got) == 500
         for g in (None, "hot", "x"):
@@ -42,25 +42,55 @@ def test_value_rank_with_heavy_ties_and_nulls(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([None, 1.0, 1.0, 1.0, -2.5, float(i)])) for i in range(400)]
     df = spark.createDataFrame(rows, "id bigint, v double")
-    got = {r.id: r["rank"] for r in rk.value_rank(df, F.col("v"), F.col("id"), cells=8).collect()}
+    got = {r.id: r["rank"] for r in rk.value_rank(df, F.col("v"), F.col("id")).collect()}
     want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
     assert [got[i] for i, _ in want] == list(range(400))
 
 
-def test_a_heavy_value_is_split_over_cells(spark):
-    df = spark.range(4000).select("id", F.when(F.col("id") % 4 > 0, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
-    celled = rk.value_cells(df, F.col("v"), 32, tie=F.col("id"))
-    sizes = [r["count"] for r in celled.filter("v = 7").groupBy("_cell").count().collect()]
-    assert len(sizes) >= 16 and max(sizes) < 500
-    mixed = rk.value_cells(df, F.col("v"), 32, tie_cell=rk.hash_cell(rk.digest(0, F.col("id")), 2))
-    assert mixed.filter("v = 7").select("_cell").distinct().count() > 100
+def test_a_heavy_value_is_split_over_ranges(spark, monkeypatch):
+    """Without a tie-break too: three quarters of the rows hold one value, no range holds them all."""
+    written = []
+    monkeypatch.setattr(rk, "staged", lambda df, name, write=rk.staged: written.append(write(df, name)) or written[-1])
+    df = spark.range(4000).select("id", F.when(F.col("id") % 4 > 0, "hot").otherwise(F.col("id").cast("string")).alias("v"))
+    got = rk.range_rank(df, [F.col("v")], part_rows=250).collect()
+    ranges = written[-1].filter("v = 'hot'").groupBy("__range").count().collect()
+    assert len(ranges) >= 8 and max(r["count"] for r in ranges) < 1000
+    assert sorted(r["rank"] for r in got) == list(range(4000))
+    assert [r.v for r in sorted(got, key=lambda r: r["rank"])] == sorted(r.v for r in got)
+
+
+@pytest.mark.parametrize("parts", [20, 10**6])
+def test_range_rank_of_any_type_with_groups(spark, parts):
+    """Strings, dates and structs, NULL keys and groups, repeated rows, both directions."""
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", "\u00e9", "zz", "", None]), i // 2) for i in range(300)]
+    df = spark.createDataFrame([r for r in rows for _ in range(2)], "g string, s string, n bigint")
+    order = [F.struct("s", F.lit(1)), F.to_date(F.lit("2024-01-01")), F.col("n").desc()]
+    got = rk.range_rank(df, order, ["g"], total="t", part_rows=parts).collect()
+    for g in ("a", "b", None):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(len(mine))) and {r.t for r in mine} == {len(mine)}
+        key = lambda s, n: (s is not None, (s or "").encode(), -n)
+        assert [key(r.s, r.n) for r in mine] == sorted(key(s, n) for h, s, n in rows if h == g for _ in range(2))
+
+
+def test_range_rank_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "g string, v string")
+    assert rk.range_rank(empty, [F.col("v")], ["g"], total="t").collect() == []
+
+
+def test_range_rank_moves_rows_once(spark):
+    """One range exchange; what comes after it joins a few counts, and no window sees the rows."""
+    df = spark.range(1000).select("id", F.col("id").cast("string").alias("wide"))
+    plan = rk.range_rank(df, [F.col("id")], unique=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and plan.count("Window [sum") == 1
 
 
 @pytest.mark.parametrize("special", [float("inf"), float("-inf"), 0.0, None])
 def test_frequent_special_values_rank_right(spark, special):
     rows = [(i, special if i % 3 else float(i - 300)) for i in range(600)] + [(600, 1.7976931348623157e308), (601, -1.7976931348623157e308)]
     df = spark.createDataFrame(rows, "id bigint, v double")
-    got = {r.id: r["rank"] for r in rk.value_rank(df, F.col("v"), F.col("id"), cells=8).collect()}
+    got = {r.id: r["rank"] for r in rk.value_rank(df, F.col("v"), F.col("id")).collect()}
     want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
     assert [got[i] for i, _ in want] == list(range(602))
 
@@ -97,13 +127,20 @@ def test_take_first_keeps_all(spark, n):
     assert sa.take_first(df, n, "s", "id").count() == 9
 
 
-def test_take_first_small_and_large_agree(spark, monkeypatch):
-    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("s"))
-    small = {r.id for r in sa.take_first(df, 700, "s", "id").collect()}
-    shuffled = {r.id for r in sa.take_first(df, 700, "s", "id", seed=2).collect()}
-    monkeypatch.setattr(sa, "SMALL_TAKE", 10)
-    assert {r.id for r in sa.take_first(df, 700, "s", "id").collect()} == small
-    assert {r.id for r in sa.take_first(df, 700, "s", "id", seed=2).collect()} == shuffled
+@pytest.mark.parametrize("n", [5, 700, 200_000])
+def test_take_first_of_string_positions(spark, n):
+    """One path for every n: the same rows as a plain sort, for positions that are no numbers."""
+    df = spark.range(3000).select(F.concat(F.lit("p"), F.col("id") * 7 % 3000).alias("at"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("s"))
+    rows = [(r["at"], r.s) for r in df.collect()]
+    for seed in (None, 2):
+        key = (lambda at: at) if seed is None else (lambda at: (hashlib.md5(f"2|{at}".encode()).hexdigest(), at))
+        want = {(at, s) for s in ("hot", "cold") for at in sorted((a for a, b in rows if b == s), key=key)[:n]}
+        assert {(r["at"], r.s) for r in sa.take_first(df, n, "s", "at", seed=seed).collect()} == want
+
+
+def test_take_first_counts_equal_positions(spark):
+    df = spark.range(900).select(F.lit("s").alias("s"), (F.col("id") % 2).alias("at"))
+    assert sorted(r["at"] for r in sa.take_first(df, 500, "s", "at").collect()) == [0] * 450 + [1] * 50
 
 
 def test_cycle_cuts_repeats_and_refuses_empty_sources(spark):
