@@ -21,17 +21,24 @@ def _wanted(n: int | str | None) -> int | None:
 def take_first(df: DataFrame, n: int | str | None, source: str, position: str, seed: int | None = None) -> DataFrame:
     """First n rows of every source, in position order or, with ``seed``, shuffled order.
 
-    Positions may be of any orderable type; rows at the same position follow their place
-    in the input. One path for every n: exact ranks by a range exchange, or by md5 cells
-    for the shuffled order, so a source with a third of the table is spread over tasks.
+    Positions may be of any orderable type. One path for every n: the first n of each
+    (source, salt), which Spark limits before it shuffles, then exact ranks of what is left
+    by a range exchange, or by md5 cells for the shuffled order. Both spread a source with
+    a third of the table over tasks; the salts grow with the shuffle partitions.
     """
     n = _wanted(n)
     if n is None:
         return df
-    if seed is not None:
-        ranked = shuffle_rank(df, position, seed, within=[source], rank="_rank")
+    order = [F.col(position)] if seed is None else [digest(seed, F.col(position)), F.col(position)]
+    # Salted by whole rows, so that equal positions are spread too.
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    in_salt = F.row_number().over(Window.partitionBy(source, "_salt").orderBy(*order))
+    left = df.withColumn("_salt", salt).withColumn("_rn", in_salt).filter(F.col("_rn") <= n).drop("_salt", "_rn")
+    if seed is None:
+        ranked = range_rank(left, order, within=[source], rank="_rank")
     else:
-        ranked = range_rank(df, [F.col(position)], within=[source], rank="_rank")
+        ranked = shuffle_rank(left, position, seed, within=[source], rank="_rank")
     return ranked.filter(F.col("_rank") < n).drop("_rank")
 
 
