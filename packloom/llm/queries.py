@@ -1,8 +1,9 @@
-"""The ten queries op1 to op10, each over its whole table."""
+"""The queries op1 to op13, each over its whole table."""
 
 from __future__ import annotations
 
 import os
+import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +11,17 @@ from pyspark.sql import functions as F
 from . import (
     benchmark_matches,
     bpe_replay,
+    fill_middle,
     jaccard_join,
     line_chunks,
+    merkle_manifest,
     path_templates,
     preference_pairs,
     quality_rules,
     repeated_spans,
     string_kernel,
     text_density,
+    topk_search,
 )
 from .core import LLM_ORACLES, LLM_QUERIES, registered, table
 
@@ -98,3 +102,37 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @registered("op9_preference_pairs", preference_pairs.ORACLE)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return preference_pairs.formatted(preference_pairs.neighbour_pairs(table(spark, folder, "conversations")))
+
+
+@registered("op11_merkle_manifest", merkle_manifest.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """A proof for every document, tried on its text with A-Z lower-cased where crc32 of its id is divisible by 3.
+
+    A NULL id is a leaf like any other, before all ids, and is not tampered with.
+    """
+    docs = table(spark, folder, "documents")
+    cells = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(touched, merkle_manifest.leaf_hash(*cells, lowered))
+    done = merkle_manifest.manifest(docs, F.col("lang"), F.col("doc_id"), merkle_manifest.leaf_hash(*cells, F.col("text")), tampered)
+    return done.select(
+        F.col("row").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+@registered("op12_fill_middle", fill_middle.ORACLE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a fill-in-the-middle sample and restored from it, as digests."""
+    done = fill_middle.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+@registered("op13_topk_search", topk_search.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best neighbours of every vector whose id is divisible by 50."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk_search.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
