@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -33,8 +33,8 @@ ORDER, DECAY = 3, 0.6
 LETTERS = 24  # longer words are read in overlapping pieces of this length
 LANDMARKS = 128
 SAMPLE_ROWS = 4000
-WORDS = 60_000  # clean words fetched for training
-SUSPECTS = 2000  # toxic words and beginnings fetched
+WORDS = 60_000  # clean words fetched for training: a bound on the training sample, as SAMPLE_ROWS is
+SUSPECTS = 2000  # toxic words and beginnings fetched, likewise
 CLEAR = 0.45  # margins from here on count as evidence
 REMEMBERED = 600_000  # words whose margin a worker remembers
 _LETTER = re.compile(r"[\W\d_]+")
@@ -225,12 +225,37 @@ def _scale(seen: list[tuple[float, float, int, int]]) -> tuple[float, ...]:
     return tuple(map(float, w))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from (text, label) rows with label 0 or 1; at most ``rows`` distinct texts of each."""
-    plain = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("text IS NOT NULL AND label IN (0, 1)")
-    plain = plain.groupBy(F.sha2("text", 256).alias("name")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    bounded = lambda value: plain.where(F.col("label") == value).orderBy("name").limit(rows)
-    sample = staged(bounded(1).unionAll(bounded(0)), "sample")
+def sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(name, text, label): of each label the ``rows`` distinct texts with the smallest digests.
+
+    Only ids, digests and labels are shuffled. Digests are counted by their first letters,
+    those behind the letters that hold the sample are dropped, and the texts of the chosen
+    ids, 2 * ``rows`` at most, are fetched by a join with that bounded list. A text with
+    both labels counts as 1. NULL ids and texts and labels other than 0 and 1 take no part.
+    """
+    known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").distinct()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    names = texts.select("id", F.sha2("text", 256).alias("name")).join(known, "id")
+    names = staged(names.groupBy("name").agg(F.max("label").alias("label"), F.min("id").alias("id")), "names")
+    # At most 16 ** 4 counts of each label.
+    head = F.substring("name", 1, 4)
+    counts = names.groupBy("label", head.alias("head")).count()
+    sofar = F.sum("count").over(Window.partitionBy("label").orderBy("head")) - F.col("count")
+    ends = {r.label: r.head for r in counts.withColumn("before", sofar).where(F.col("before") < rows).groupBy("label").agg(F.max("head").alias("head")).collect()}
+    first = lambda value: names.where((F.col("label") == value) & (head <= ends.get(value, ""))).orderBy("name").limit(rows)
+    chosen = staged(first(1).unionAll(first(0)), "chosen")
+    found = texts.join(F.broadcast(chosen), "id").where(F.sha2("text", 256) == F.col("name"))
+    # Repeated rows of one id and text are one sample.
+    return found.groupBy("name").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
+    """Learn from the texts of ``docs`` that ``labels`` marks 0 or 1, joined by ``key``; see ``sampled``.
+
+    Without a word on either side the model knows nothing and scores every text low. Ties
+    between words go by their letters, so the same rows give the same model.
+    """
+    sample = staged(sampled(docs, labels, key, text, label, rows), "sample")
     cores = sample.sparkSession.sparkContext.defaultParallelism
     sentences = sample.repartition(cores, "name").select("label", F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("sentence")).distinct()
     bare = F.transform(F.split("sentence", r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}]+", ""))
