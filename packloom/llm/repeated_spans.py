@@ -68,28 +68,28 @@ def anchors(words: WordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _anchor_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, anchor hashes, first windows, numbers of windows) of each text that has a window."""
+    """(id, sub, anchor hashes, first windows, numbers of windows) of each text that has a window."""
     for batch in batches:
-        ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+        ids, subs = (np.array(batch.column(i).to_pylist(), dtype=np.int64) for i in (0, 1))
         out: list[tuple] = []
-        for lo, _, words in word_batches(batch.column(1)):
+        for lo, _, words in word_batches(batch.column(2)):
             text, keys, first, n = anchors(words)
             have, at = np.unique(text, return_index=True)
             keys = keys.astype(np.int64)
             for t, a, b in zip(have, at, [*at[1:], len(text)]):
-                out.append((ids[lo + t], keys[a:b], first[a:b].astype(np.int32), n[a:b].astype(np.int32)))
-        one, *lists = zip(*out) if out else ((), (), (), ())
+                out.append((ids[lo + t], subs[lo + t], keys[a:b], first[a:b].astype(np.int32), n[a:b].astype(np.int32)))
+        one, sub, *lists = zip(*out) if out else ((), (), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(one, pa.int64()), pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.int32())), pa.array(lists[2], pa.list_(pa.int32()))],
-            names=["id", "anchors", "firsts", "counts"],
+            [pa.array(one, pa.int64()), pa.array(sub, pa.int64()), pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.int32())), pa.array(lists[2], pa.list_(pa.int32()))],
+            names=["id", "sub", "anchors", "firsts", "counts"],
         )
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, words, id, first window, windows): what goes to the shards, each run once per batch."""
+    """(key, words, id, sub, first window, windows): what goes to the shards, each run once per batch."""
     for batch in batches:
-        rows: dict[tuple[int, str], tuple[int, int, int]] = {}
-        for ident, text, marked in zip(*(c.to_pylist() for c in batch.columns)):
+        rows: dict[tuple[int, str], tuple[int, int, int, int]] = {}
+        for ident, sub, text, marked in zip(*(c.to_pylist() for c in batch.columns)):
             words = split_words(text)
             for mark in marked:
                 first, n = mark["first"], mark["n"]
@@ -97,14 +97,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for at in range(first, first + n):
                         run = " ".join(words[at : at + WINDOW])
                         key = int.from_bytes(hashlib.blake2b(run.encode(), digest_size=8).digest(), "little", signed=True)
-                        rows[key, run] = min((ident, at, 1), rows.get((key, run), (ident, at, 1)))
+                        rows[key, run] = min((ident, sub, at, 1), rows.get((key, run), (ident, sub, at, 1)))
                 else:
                     run = mark["anchor"], " ".join(words[first : first + n + WINDOW - 1])
-                    rows[run] = min((ident, first, n), rows.get(run, (ident, first, n)))
-        ids, firsts, counts = zip(*rows.values()) if rows else ((), (), ())
+                    rows[run] = min((ident, sub, first, n), rows.get(run, (ident, sub, first, n)))
+        ids, subs, firsts, counts = zip(*rows.values()) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.string()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32())],
-            names=["key", "run", "id", "first", "n"],
+            [pa.array([k for k, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.string()), pa.array(ids, pa.int64()), pa.array(subs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32())],
+            names=["key", "run", "id", "sub", "first", "n"],
         )
 
 
@@ -176,7 +176,7 @@ class SuffixAutomaton:
 
 
 def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, first window, bits of the windows that came first) of the runs of each shard, read in order."""
+    """(id, sub, first window, bits of the windows that came first) of the runs of each shard, read in order."""
     key, seen, alone, automaton = None, set(), None, None
 
     def fresh(words: list[str], n: int) -> int:
@@ -188,7 +188,7 @@ def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         out = []
-        for k, run, ident, first, n in zip(*(c.to_pylist() for c in batch.columns)):
+        for k, run, ident, sub, first, n in zip(*(c.to_pylist() for c in batch.columns)):
             if k != key:
                 key, seen, alone, automaton = k, set(), None, None
             if run in seen:
@@ -199,7 +199,7 @@ def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             # 14 different words. Else its automaton is made when a second run comes.
             if alone is None and automaton is None and len(set(words)) >= PLACES:
                 alone = words
-                out.append((ident, first, (1 << n) - 1))
+                out.append((ident, sub, first, (1 << n) - 1))
                 continue
             if automaton is None:
                 automaton = SuffixAutomaton()
@@ -207,9 +207,10 @@ def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     automaton.stream(alone)
             bits = fresh(words, n)
             if bits:
-                out.append((ident, first, bits))
-        columns = list(zip(*out)) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["id", "first", "bits"])
+                out.append((ident, sub, first, bits))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        columns = list(zip(*out)) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "sub", "first", "bits"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,30 +237,31 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): per row, the words no earlier equal window covers, joined by blanks.
 
-    Earlier means a smaller id, or the same document and an earlier start. NULL, empty and
-    blank texts have no words. Rows with a NULL id keep all their words and are no source of
-    repeats; rows that share an id and text count as one document. Further columns are not
-    read.
+    Earlier means a smaller id, or the same document and an earlier start. Rows that share
+    an id and text count as one document; texts that share an id are documents of their own,
+    ordered by a 64-bit hash of the text (``sub``). NULL, empty and blank texts have no
+    words. Rows with a NULL id keep all their words and are no source of repeats. An id that
+    is no whole number is an error. Further columns are not read.
     """
-    ident = F.col(key).cast("bigint").alias("id")
-    texts = df.select(F.col(key).alias("row"), ident, F.col(text).alias("text"))
+    texts = df.select(F.col(key).alias("row"), F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("sub"), F.col(text).alias("text"))
     keyed = texts.where("id IS NOT NULL")
     ints, longs = ArrayType(IntegerType()), ArrayType(LongType())
-    number, place = StructField("id", LongType()), StructField("first", IntegerType())
+    number, place = [StructField("id", LongType()), StructField("sub", LongType())], StructField("first", IntegerType())
     lists = staged(
-        keyed.select("id", "text").mapInArrow(_anchor_lists, StructType([number, StructField("anchors", longs), StructField("firsts", ints), StructField("counts", ints)])),
+        keyed.select("id", "sub", "text").mapInArrow(_anchor_lists, StructType([*number, StructField("anchors", longs), StructField("firsts", ints), StructField("counts", ints)])),
         "anchors",
     )
-    often = lists.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1")
-    each = lists.select("id", F.inline(F.arrays_zip("anchors", "firsts", "counts"))).toDF("id", "anchor", "first", "n")
-    marks = each.join(often, "anchor").select("id", F.struct("anchor", "first", "n", (F.col("count") > HOT).alias("hot")).alias("mark"))
-    marked = staged(marks.distinct().groupBy("id").agg(F.collect_list("mark").alias("marked")), "marked")
-    runs = texts.join(marked, "id").select("id", "text", "marked").mapInArrow(
-        _runs, StructType([StructField("key", LongType()), StructField("run", StringType()), number, place, StructField("n", IntegerType())])
+    # Written, so that the join below has a plain exchange on either side and Spark can split a hot anchor.
+    often = staged(lists.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1"), "often")
+    each = lists.select("id", "sub", F.inline(F.arrays_zip("anchors", "firsts", "counts"))).toDF("id", "sub", "anchor", "first", "n")
+    marks = each.join(often, "anchor").select("id", "sub", F.struct("anchor", "first", "n", (F.col("count") > HOT).alias("hot")).alias("mark"))
+    marked = staged(marks.distinct().groupBy("id", "sub").agg(F.collect_list("mark").alias("marked")), "marked")
+    runs = texts.join(marked, ["id", "sub"]).select("id", "sub", "text", "marked").mapInArrow(
+        _runs, StructType([StructField("key", LongType()), StructField("run", StringType()), *number, place, StructField("n", IntegerType())])
     )
-    shards = runs.repartition("key").sortWithinPartitions("key", "id", "first")
-    came = shards.mapInArrow(_first_windows, StructType([number, place, StructField("bits", LongType())]))
-    came = staged(came.groupBy("id").agg(F.collect_list(F.struct("first", "bits")).alias("came")), "first_windows")
-    wide = texts.join(marked, "id", "left").join(came, "id", "left").select("row", "text", "marked", "came")
+    shards = runs.repartition("key").sortWithinPartitions("key", "id", "sub", "first")
+    came = shards.mapInArrow(_first_windows, StructType([*number, place, StructField("bits", LongType())]))
+    came = staged(came.groupBy("id", "sub").agg(F.collect_list(F.struct("first", "bits")).alias("came")), "first_windows")
+    wide = texts.join(marked, ["id", "sub"], "left").join(came, ["id", "sub"], "left").select("row", "text", "marked", "came")
     schema = StructType([wide.schema["row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
     return wide.mapInArrow(_removed, schema).select(F.col("row").alias(key), "n_words", "n_removed", "kept")
