@@ -15,26 +15,44 @@ STAGED_FILES = 6
 LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY event_id DESC) AS rn FROM result_stream) WHERE rn = 1"
 
 
-def _results(t, root: str, also=None):
+def _staged_results(t):
+    """(folder, schema): the results as files that the stream takes in batch by batch."""
+    root = work_folder(t.spark, "results")
     rows = t["result_stream"].select("item_key", "name", F.col("event_id").alias("seq"), "score")
     rows.repartition(STAGED_FILES).write.parquet(f"{root}/in")
-    job = sr.stream_results(t.spark, f"{root}/in", f"{root}/table", rows.schema, f"{root}/checkpoint", max_files=2, compact_every=2, also=also)
-    job.awaitTermination()
-    return sr.read_results(t.spark, f"{root}/table", rows.schema)
+    return root, rows.schema
 
 
 @query("stream_results", f"SELECT item_key, name, event_id AS seq, score FROM ({LATEST})", "result_stream")
 def _(t):
-    return _results(t, work_folder(t.spark, "results"))
+    root, schema = _staged_results(t)
+    sr.stream_results(t.spark, f"{root}/in", schema, f"{root}/checkpoint", max_files=2).awaitTermination()
+    return sr.read_results(t.spark, f"{root}/checkpoint", schema)
 
 
 @query("stream_report", f"SELECT name, round(avg(score), 6) AS score, count(score) AS n_scored FROM ({LATEST}) GROUP BY name", "result_stream")
 def _(t):
-    root = work_folder(t.spark, "results")
-    _results(t, root, also=sr.running_report(f"{root}/report"))
-    newest = t.spark.read.parquet(f"{root}/report")
-    last = newest.agg(F.max("batch")).first()[0]
-    return newest.filter(F.col("batch") == last).select("name", F.round("score", 6).alias("score"), "n_scored")
+    root, schema = _staged_results(t)
+    sr.stream_report(t.spark, f"{root}/in", schema, f"{root}/report", f"{root}/checkpoint", max_files=2).awaitTermination()
+    return sr.read_report(t.spark, f"{root}/report").withColumn("score", F.round("score", 6))
+
+
+# Keys that change their name and score: the name is that of the event, the key the user's.
+MOVING = """SELECT * FROM (SELECT 'user#' || cast(user_id AS string) AS item_key, event_id AS seq, CASE WHEN user_id % 7 = 0 AND event_id % 3 = 0 THEN NULL ELSE event_type END AS name,
+  CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 2) END AS score FROM events) e"""
+
+
+@query(
+    "stream_report_moving",
+    f"""SELECT name, round(avg(score), 6) AS score, count(score) AS n_scored FROM
+  (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY seq DESC) AS rn FROM ({MOVING}) m) WHERE rn = 1 AND name IS NOT NULL GROUP BY name""",
+)
+def _(t):
+    root = work_folder(t.spark, "moving")
+    rows = t.sql(MOVING, "events")
+    rows.repartition(STAGED_FILES).write.parquet(f"{root}/in")
+    sr.stream_report(t.spark, f"{root}/in", rows.schema, f"{root}/report", f"{root}/checkpoint", max_files=2).awaitTermination()
+    return sr.read_report(t.spark, f"{root}/report").withColumn("score", F.round("score", 6))
 
 
 @query("stream_feed", "SELECT sample_id, source, n_tokens + 2 AS length FROM feed", "feed")

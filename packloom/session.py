@@ -115,6 +115,12 @@ def child_folders(spark: SparkSession, folder: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder this library wrote, on any Hadoop file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def first_characters(spark: SparkSession, path: str) -> dict[str, bytes]:
     """First byte that is no blank (or byte-order mark) of each data file of a file, folder or pattern."""
     conf = spark._jsc.hadoopConfiguration()

@@ -1,112 +1,165 @@
-"""Judge results as they finish: an upsert table and a running report.
+"""Judge results as they finish: the latest row per key and a running report.
 
-The table is a folder of parts. Every micro-batch writes its own latest rows to
-``delta/batch=<id>``, so a batch costs what it brings and a replay overwrites itself.
-Every ``compact_every`` batches all parts are merged into ``base/upto=<id>``. Readers
-take the newest finished base and the deltas after it.
+The latest rows live in Spark's state store: a batch changes the keys it brings and nothing
+else, and Spark frees old versions (``spark.sql.streaming.minBatchesToRetain``). Readers
+take the state as a table; there is no second copy of it in files.
+
+The report is kept by retraction. A keyed state holds what each key last counted for; a
+changed key sends minus its old and plus its new score, and only these differences are
+summed. Neither the result table nor the state is read again for it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.evaluation import latest_judgements
-from ..session import child_folders
+from ..session import child_folders, drop_folder
+
+# Scores are summed as decimals, so that taking one back leaves nothing behind.
+EXACT = "decimal(28,10)"
+
+
+def read_stream(spark: SparkSession, source: str, schema: StructType, fmt: str = "parquet", max_files: int = 10) -> DataFrame:
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(source)
+
 
+def latest_rows(rows: DataFrame, key: str = "item_key", seq: str = "seq") -> DataFrame:
+    """(key, latest): the row with the highest ``seq`` per key, as a streaming aggregate for update mode.
 
-def _children(spark: SparkSession, folder: str, prefix: str, after: int = -1) -> list[int]:
-    """Numbers above ``after`` of the finished ``prefix=<number>`` folders."""
-    names = [c for c in child_folders(spark, folder) if c.startswith(f"{prefix}=")]
-    numbers = sorted(n for n in (int(c.split("=", 1)[1]) for c in names) if n > after)
-    return [n for n in numbers if "_SUCCESS" in child_folders(spark, f"{folder}/{prefix}={n}")]
+    Of several rows with the same ``seq`` the largest in the order of the other columns counts;
+    a NULL ``seq`` comes before all others.
+    """
+    rest = [c for c in rows.columns if c not in (key, seq)]
+    return rows.groupBy(key).agg(F.max(F.struct(seq, *rest)).alias("latest"))
 
 
-def read_results(
+def stream_results(
     spark: SparkSession,
-    table: str,
+    source: str,
     schema: StructType,
-    upto: int | None = None,
+    checkpoint: str,
     key: str = "item_key",
     seq: str = "seq",
-    rebuild: bool = False,
-) -> DataFrame:
-    """Latest row per key of the result table, as of batch ``upto``.
+    fmt: str = "parquet",
+    max_files: int = 10,
+    changed: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Take in all result files that are there, continuing after the last finished batch.
 
-    ``rebuild`` leaves out a base of that very batch: a replayed compaction must not read
-    the folder it overwrites.
+    ``changed`` gets the latest rows of the keys a batch touched, and the batch id; after a
+    failure it may get the same batch again.
     """
-    last = upto if not rebuild else upto - 1
-    bases = [b for b in _children(spark, f"{table}/base", "upto") if last is None or b <= last]
-    base = bases[-1] if bases else -1
-    deltas = [d for d in _children(spark, f"{table}/delta", "batch", base) if upto is None or d <= upto]
-    paths = ([f"{table}/base/upto={base}"] if bases else []) + [f"{table}/delta/batch={d}" for d in deltas]
-    if not paths:
+    latest = latest_rows(read_stream(spark, source, schema, fmt, max_files), key, seq)
+    out = latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if changed:
+        return out.foreachBatch(lambda batch, batch_id: changed(batch.select(key, "latest.*"), batch_id)).start()
+    return out.format("noop").start()
+
+
+def read_results(spark: SparkSession, checkpoint: str, schema: StructType, key: str = "item_key") -> DataFrame:
+    """Latest row per key as of the last finished batch: the state store read as a table.
+
+    Before the first batch there are no rows.
+    """
+    if not child_folders(spark, f"{checkpoint}/commits"):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(*paths)
-    return rows if len(paths) == 1 else latest_judgements(rows, key, seq)
+    state = spark.read.format("statestore").load(checkpoint)
+    latest = state.schema["value"].dataType.names[0]
+    names = [c for c in schema.fieldNames() if c != key]
+    return state.select(F.col("key")[key].alias(key), *[F.col("value")[latest][c].alias(c) for c in names]).select(*schema.fieldNames())
 
 
-def upsert_batch(table: str, schema: StructType, compact_every: int = 20, key: str = "item_key", seq: str = "seq") -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that merges a batch into the table."""
-    names = schema.fieldNames()
+def score_changes(rows: DataFrame, key: str = "item_key", seq: str = "seq", name: str = "name", score: str = "score") -> DataFrame:
+    """(name, score, scored, counted): what each key's batch takes from one name and adds to another.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        latest_judgements(batch, key, seq).select(*names).write.mode("overwrite").parquet(f"{table}/delta/batch={batch_id}")
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            merged = read_results(spark, table, schema, batch_id, key, seq, rebuild=True)
-            merged.select(*names).write.mode("overwrite").parquet(f"{table}/base/upto={batch_id}")
+    Per key the state holds ``seq``, name and score of the row that counts. A key whose row
+    does not change sends nothing; one that changes its score only sends the difference in
+    two rows, minus the old one and plus the new one.
+    """
+    one = rows.select(F.col(key).alias("key"), F.col(seq).cast("bigint").alias("seq"), F.col(name).alias("name"), F.col(score).cast(EXACT).alias("score"))
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = tuple(state.get) if state.exists else None
+        rank = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "", r[2] is not None, r[2] or Decimal(0))
+        found = [(None if pd.isna(s) else int(s), n, None if pd.isna(x) else x) for part in parts for s, n, x in zip(part["seq"], part["name"], part["score"])]
+        new = max(([old] if old else []) + found, key=rank)
+        out = []
+        if new != old:
+            state.update(new)
+            for row, sign in ((old, -1), (new, 1)):
+                if row is not None:
+                    out.append((row[1], sign * (row[2] if row[2] is not None else Decimal(0)), sign * int(row[2] is not None), sign))
+        yield pd.DataFrame(out, columns=["name", "score", "scored", "counted"])
+
+    state = f"seq bigint, name string, score {EXACT}"
+    # Sequence numbers travel as text: pandas would turn a bigint with NULLs into doubles.
+    one = one.withColumn("seq", F.col("seq").cast("string"))
+    return one.groupBy("key").applyInPandasWithState(
+        step, f"name string, score {EXACT}, scored bigint, counted bigint", state, "update", GroupStateTimeout.NoTimeout
+    )
+
+
+SUMS = "name string, total decimal(38,10), scored bigint, counted bigint"
+
+
+def _versions(spark: SparkSession, path: str, below: int | None = None) -> list[int]:
+    """Finished report versions in batch order."""
+    found = sorted(int(c.split("=", 1)[1]) for c in child_folders(spark, path) if c.startswith("batch="))
+    return [n for n in found if (below is None or n < below) and "_SUCCESS" in child_folders(spark, f"{path}/batch={n}")]
+
+
+def keep_report(path: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that adds a batch's changes to the sums per name in ``path``.
+
+    A version has one row per name and is named by its batch, so a replayed batch overwrites
+    what it wrote. The last ``keep`` versions stay, older ones are removed.
+    """
+
+    def write(changes: DataFrame, batch_id: int) -> None:
+        spark = changes.sparkSession
+        sums = changes.select("name", F.col("score").alias("total"), "scored", "counted")
+        before = _versions(spark, path, batch_id)
+        if before:
+            sums = spark.read.schema(SUMS).parquet(f"{path}/batch={before[-1]}").unionByName(sums)
+        total = F.sum("total").cast("decimal(38,10)").alias("total")
+        merged = sums.groupBy("name").agg(total, F.sum("scored").alias("scored"), F.sum("counted").alias("counted"))
+        merged.where("counted > 0").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for old in before[: len(before) + 1 - keep]:
+            drop_folder(spark, f"{path}/batch={old}")
 
     return write
 
 
-def stream_results(
+def stream_report(
     spark: SparkSession,
     source: str,
-    table: str,
     schema: StructType,
+    path: str,
     checkpoint: str,
     fmt: str = "parquet",
     max_files: int = 10,
-    compact_every: int = 20,
-    also: Callable[[DataFrame, int], None] | None = None,
-    also_every: int = 1,
+    columns: Sequence[str] = ("item_key", "seq", "name", "score"),
 ) -> StreamingQuery:
-    """Take in all result files that are there, continuing after the last finished batch.
+    """Keep the report in ``path`` up to date with all result files that are there."""
+    changes = score_changes(read_stream(spark, source, schema, fmt, max_files), *columns)
+    out = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return out.foreachBatch(keep_report(path)).start()
 
-    ``also`` runs after every ``also_every``-th upsert with (latest rows of the whole
-    table, batch id). It reads the table, so on a large one let it wait for compactions.
-    """
-    upsert = upsert_batch(table, schema, compact_every)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch, batch_id)
-        if also and (batch_id + 1) % also_every == 0:
-            also(read_results(batch.sparkSession, table, schema, batch_id), batch_id)
-
-    rows = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(source)
-    return (
-        rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def mean(total: Column, n: Column) -> Column:
+    return F.when(n > 0, total.cast("double") / n)
 
 
-def running_report(path: str, name: str = "name", score: str = "score") -> Callable[[DataFrame, int], None]:
-    """``also`` function that writes the by-name means after each batch to ``batch=<id>``.
-
-    Scores are stored as numbers, so this reads three narrow columns and combines before
-    its shuffle.
-    """
-    def write(latest: DataFrame, batch_id: int) -> None:
-        means = (
-            latest.filter(F.col(name).isNotNull())
-            .groupBy(name)
-            .agg(F.avg(score).alias("score"), F.count(score).alias("n_scored"))
-        )
-        means.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """(name, score, n_scored): mean score per name over the latest row of every key, NULL names left out."""
+    found = _versions(spark, path)
+    sums = spark.read.schema(SUMS).parquet(f"{path}/batch={found[-1]}") if found else spark.createDataFrame([], SUMS)
+    return sums.where(F.col("name").isNotNull()).select("name", mean(F.col("total"), F.col("scored")).alias("score"), F.col("scored").alias("n_scored"))

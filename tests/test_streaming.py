@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from packloom.operators.evaluation import latest_judgements
 from packloom.streaming import feed as sf
 from packloom.streaming import results as sr
@@ -14,39 +16,102 @@ def rows(lo, hi, seed):
     return [(f"k{rng.randint(0, 40)}", rng.choice("xyz"), s, rng.randint(1, 5)) for s in range(lo, hi)]
 
 
+def add(spark, new, source):
+    spark.createDataFrame(new, SCHEMA).repartition(3).write.mode("append").parquet(source)
+
+
+def plain_report(everything):
+    latest = {}
+    for key, name, seq, score in everything:
+        if key not in latest or seq > latest[key][0]:
+            latest[key] = (seq, name, score)
+    by_name = {}
+    for _, name, score in latest.values():
+        by_name.setdefault(name, []).append(score)
+    scored = {n: [s for s in scores if s is not None] for n, scores in by_name.items() if n is not None}
+    return sorted((n, sum(s) / len(s) if s else None, len(s)) for n, s in scored.items())
+
+
 def test_restart_continues_and_equals_batch(spark, tmp_path):
-    source, table, checkpoint = (str(tmp_path / p) for p in ("in", "table", "cp"))
+    """Latest rows and the report over three restarts; keys change their name and score, names vanish, values are NULL."""
+    source, checkpoint, reported, report = (str(tmp_path / p) for p in ("in", "cp", "cp2", "report"))
+    schema = spark.createDataFrame([], SCHEMA).schema
+    assert sr.read_results(spark, checkpoint, schema).collect() == [] == sr.read_report(spark, report).collect()
     everything = []
     for round_no in range(3):
         new = rows(round_no * 60, round_no * 60 + 60, round_no)
+        new = [(k, None if q % 11 == 0 else "once" if round_no == 0 and k == "k7" else n, q, None if q % 7 == 0 else s) for k, n, q, s in new]
+        if round_no:
+            new.append(("k7", "z", round_no * 60 + 60, 4))
         everything += new
-        spark.createDataFrame(new, SCHEMA).repartition(3).write.mode("append").parquet(source)
-        schema = spark.createDataFrame([], SCHEMA).schema
-        sr.stream_results(spark, source, table, schema, checkpoint, max_files=2, compact_every=2, also=sr.running_report(str(tmp_path / "rep"))).awaitTermination()
-        got = sorted(tuple(r) for r in sr.read_results(spark, table, schema).select("item_key", "name", "seq", "score").collect())
+        add(spark, new, source)
+        sr.stream_results(spark, source, schema, checkpoint, max_files=2).awaitTermination()
+        got = sorted(map(repr, sr.read_results(spark, checkpoint, schema).collect()))
         want = latest_judgements(spark.createDataFrame(everything, SCHEMA)).select("item_key", "name", "seq", "score").collect()
-        assert got == sorted(tuple(r) for r in want)
-    assert sr._children(spark, f"{table}/base", "upto")
+        assert got == sorted(map(repr, want))
+        sr.stream_report(spark, source, schema, report, reported, max_files=2).awaitTermination()
+        assert sorted(tuple(r) for r in sr.read_report(spark, report).collect()) == [(n, m and pytest.approx(m), c) for n, m, c in plain_report(everything)]
 
 
-def test_replayed_batch_changes_nothing(spark, tmp_path):
+def test_a_batch_costs_what_it_brings(spark, tmp_path):
+    """Twelve batches of four new keys and one old one: state rows updated and rows out stay alike while the table grows."""
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
     schema = spark.createDataFrame([], SCHEMA).schema
-    write = sr.upsert_batch(str(tmp_path), schema, compact_every=2)
-    batches = [spark.createDataFrame(rows(i * 20, i * 20 + 20, i), SCHEMA) for i in range(4)]
-    for i, batch in enumerate(batches):
-        write(batch, i)
-    before = sorted(map(tuple, sr.read_results(spark, str(tmp_path), schema).collect()))
-    write(batches[3], 3)
-    write(batches[2], 2)
-    assert sorted(map(tuple, sr.read_results(spark, str(tmp_path), schema).collect())) == before
+    for i in range(12):
+        new = [("old", "x", i, i)] + [(f"k{i}-{j}", "y", i * 10 + j, 1) for j in range(4)]
+        spark.createDataFrame(new, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    out = []
+    job = sr.stream_results(spark, source, schema, checkpoint, max_files=1, changed=lambda batch, i: out.append(batch.count()))
+    job.awaitTermination()
+    state = [p.stateOperators[0] for p in job.recentProgress if p.numInputRows]
+    assert out == [5] * 12 and [s.numRowsUpdated for s in state] == [5] * 12
+    assert [s.numRowsTotal for s in state] == [5 + 4 * i for i in range(12)]
+    # One delta file per state partition and batch; nothing else is written as the table grows.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for version in range(2, 13):
+        assert len(list((tmp_path / "cp" / "state").rglob(f"{version}.delta"))) == parts
 
 
-def test_unfinished_parts_are_ignored(spark, tmp_path):
+def test_only_differences_reach_the_report(spark, tmp_path):
+    source, checkpoint, path = (str(tmp_path / p) for p in ("in", "cp", "report"))
     schema = spark.createDataFrame([], SCHEMA).schema
-    assert sr.read_results(spark, str(tmp_path), schema).count() == 0
-    sr.upsert_batch(str(tmp_path), schema, 0)(spark.createDataFrame([("a", "x", 1, 2)], SCHEMA), 0)
-    (tmp_path / "base" / "upto=9").mkdir(parents=True)
-    assert sr.read_results(spark, str(tmp_path), schema).count() == 1
+    seen = []
+
+    def take(new):
+        spark.createDataFrame(new, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        changes = sr.score_changes(sr.read_stream(spark, source, schema, max_files=1))
+        seen.clear()
+
+        def step(batch, batch_id):
+            seen.extend(sorted((r.name, float(r.score), r.scored, r.counted) for r in batch.collect()))
+            sr.keep_report(path)(batch, batch_id)
+
+        changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+
+    take([("a", "x", 1, 4), ("b", "x", 1, 2), ("a", "x", 0, 5)])
+    assert seen == [("x", 2.0, 1, 1), ("x", 4.0, 1, 1)]
+    take([("a", "y", 2, 1), ("b", "x", 1, 2), ("b", "x", 0, 5)])
+    assert seen == [("x", -4.0, -1, -1), ("y", 1.0, 1, 1)]
+    take([("b", "y", 3, None)])
+    assert seen == [("x", -2.0, -1, -1), ("y", 0.0, 0, 1)]
+    assert [tuple(r) for r in sr.read_report(spark, path).collect()] == [("y", 1.0, 1)]
+
+
+def test_a_replayed_batch_changes_nothing_and_old_reports_go(spark, tmp_path):
+    schema = f"name string, score {sr.EXACT}, scored bigint, counted bigint"
+    from decimal import Decimal
+
+    batches = [spark.createDataFrame([("x", Decimal(i), 1, 1), ("y", Decimal(1), 1, 1)], schema) for i in range(4)]
+    write = sr.keep_report(str(tmp_path))
+    for i, batch in enumerate(batches):
+        write(batch, i)
+    before = sorted(map(tuple, sr.read_report(spark, str(tmp_path)).collect()))
+    assert before == [("x", 1.5, 4), ("y", 1.0, 4)]
+    write(batches[3], 3)
+    assert sorted(map(tuple, sr.read_report(spark, str(tmp_path)).collect())) == before
+    assert sr._versions(spark, str(tmp_path)) == [2, 3]
+    (tmp_path / "batch=9").mkdir()  # unfinished
+    assert sorted(map(tuple, sr.read_report(spark, str(tmp_path)).collect())) == before
 
 
 def test_feed_reads_each_file_once(spark, tmp_path):
