@@ -9,11 +9,13 @@ from ..operators import packing as pk
 from ..operators.rank import even_chunks
 from ..operators.segments import sample_lengths
 from ..plans.training import training_records
+from ..session import staged
 from .core import Tables, query
 from .sampling import duck_u, shuffled
 from .segments import resize_sql
 
 ROWS_PER_SHARD = 50
+SHARD_COUNT = f"(SELECT greatest(1, count(*) // {ROWS_PER_SHARD}) FROM documents)"
 EXPECTED, MAX_TOTAL, MAX_SAMPLE = 8000, 10000, 9000
 
 
@@ -59,8 +61,9 @@ def loop_sql(rule: pk.PackRule, heads: bool = False) -> dict[str, str]:
     """The pack loop as a recursive query over ``arrivals`` (shard, rn, sample_id, len, kept).
 
     One step per handled sample; ``buf`` is the buffer, ``car`` the sample carried over,
-    ``reg`` counts the pack's samples that are no heads. ``heads`` (shard, hn, sample_id,
-    len, m) are the m fitting samples of one mandatory group, ``ht`` those used so far.
+    ``reg`` counts the pack's samples that are no heads. ``heads`` (hn, sample_id, len, m)
+    are the m fitting samples of one mandatory group in feed order, dealt to the shards in
+    turn and without end; ``ht`` counts those a shard has used.
     """
     drop = rule.on_overflow == "drop"
     item = "STRUCT(id BIGINT, len BIGINT, kept BIGINT)"
@@ -68,7 +71,7 @@ def loop_sql(rule: pk.PackRule, heads: bool = False) -> dict[str, str]:
     start = f"""SELECT shard, 1::bigint AS rn, count(*) AS n, 0::bigint AS cur, 0::bigint AS mem, 0::bigint AS reg, 0::bigint AS ht, 0::bigint AS pno,
   []::{item}[] AS buf, NULL::{item} AS car, false AS dr, NULL::bigint AS o_id, NULL::bigint AS o_no, NULL::bigint AS o_pos, NULL::varchar AS o_st
 FROM arrivals GROUP BY shard"""
-    head = ("h.sample_id AS h_id, h.len AS h_len", "LEFT JOIN heads h ON h.shard = w.shard AND h.hn = w.ht % h.m") if heads else ("NULL::bigint AS h_id, NULL::bigint AS h_len", "")
+    head = ("h.sample_id AS h_id, h.len AS h_len", f"LEFT JOIN heads h ON h.hn = (w.shard + w.ht * {SHARD_COUNT}) % h.m") if heads else ("NULL::bigint AS h_id, NULL::bigint AS h_len", "")
     flushed = f"""SELECT w.* REPLACE (CASE WHEN flip THEN 0 ELSE cur END AS cur, CASE WHEN flip THEN 0 ELSE mem END AS mem, CASE WHEN flip THEN 0 ELSE reg END AS reg,
     CASE WHEN flip AND mem > 0 THEN pno + 1 ELSE pno END AS pno, dr OR flip AS dr), a.sample_id, a.len, a.kept, {head[0]}
   FROM (SELECT *, rn > n AND car IS NULL AND NOT dr AS flip FROM loop WHERE rn <= n OR len(buf) > 0 OR car IS NOT NULL) w
@@ -124,24 +127,38 @@ def _(t):
 HEADED = pk.PackRule(expected=12000, max_total=14000, max_sample=6000, prefer_buffer=6000, buffer=5)
 
 
-@query(
-    "pack_mandatory_heads",
-    LOOP_RESULT,
-    "segments",
-    {
-        "lengths": LENGTHS,
-        "shards": SHARDS,
-        "arrivals": ARRIVALS.format("length") + " JOIN documents d ON d.doc_id = s.sample_id WHERE d.lang <> 'en'",
-        "heads": f"""SELECT shard, sample_id, length AS len, row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS hn, count(*) OVER (PARTITION BY shard) AS m
-FROM shards s JOIN documents d ON d.doc_id = s.sample_id WHERE d.lang = 'en' AND length < {HEADED.max_sample}""",
-        **loop_sql(HEADED, heads=True),
-    },
-)
+def _headed(group: str):
+    """Query and check: packs opened by a sample of one language, the other languages as arrivals."""
+    heads = f"""SELECT sample_id, len, row_number() OVER (ORDER BY r) - 1 AS hn, count(*) OVER () AS m FROM (
+  SELECT s.sample_id, s.length AS len, s.r FROM shards s JOIN documents d ON d.doc_id = s.sample_id WHERE d.lang = '{group}' AND s.length < {HEADED.max_sample})"""
+    others = ARRIVALS.format("length") + f" JOIN documents d ON d.doc_id = s.sample_id WHERE d.lang <> '{group}'"
+    steps = {"lengths": LENGTHS, "shards": SHARDS, "arrivals": others, "heads": heads, **loop_sql(HEADED, heads=True)}
+
+    def run(t):
+        lengths = sample_lengths(t["segments"]).join(t["documents"].select(F.col("doc_id").alias("sample_id"), "lang"), "sample_id")
+        rows = sharded(t, lengths)
+        # In feed order: the shards are consecutive pieces of the seeded shuffle.
+        heads = rows.filter(F.col("lang") == group).withColumns({"group_no": F.lit(0), "seq": F.struct("shard", "seq")})
+        return pk.pack(rows.filter(F.col("lang") != group), HEADED, heads=heads, n_shards=n_shards(t))
+
+    return steps, run
+
+
+# The second group is rare, so shards without a head of their own take those of others.
+for _name, _group in (("pack_mandatory_heads", "en"), ("pack_cyclic_heads", "es")):
+    _steps, _run = _headed(_group)
+    query(_name, LOOP_RESULT, "segments", _steps)(_run)
+
+
+@query("pack_in_parts", LOOP_RESULT, "segments", {"lengths": LENGTHS, "shards": SHARDS, "arrivals": ARRIVALS.format("length"), **loop_sql(CARRYING)})
 def _(t):
-    lengths = sample_lengths(t["segments"]).join(t["documents"].select(F.col("doc_id").alias("sample_id"), "lang"), "sample_id")
-    rows = sharded(t, lengths)
-    heads = rows.filter("lang = 'en'").withColumn("group_no", F.lit(0))
-    return pk.pack(rows.filter("lang <> 'en'"), HEADED, heads=heads)
+    """Three parts of the feed, each from the state the one before left behind: the packs of one go."""
+    rows = staged(sharded(t, sample_lengths(t["segments"])), "shards")
+    third = ROWS_PER_SHARD // 3
+    packs, states = pk.split_part(staged(pk.pack_part(rows.where(F.col("seq") < third), CARRYING), "part"))
+    more, states = pk.split_part(staged(pk.pack_part(rows.where((F.col("seq") >= third) & (F.col("seq") < 2 * third)), CARRYING, states), "part"))
+    last = pk.pack(rows.where(F.col("seq") >= 2 * third), CARRYING, states)
+    return packs.unionByName(more).unionByName(last)
 
 
 @query(

@@ -1,11 +1,15 @@
 """The pack loop against a plain restatement, and its invariants."""
 
+import random
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from packloom.operators.packing import PACKED, TOO_LONG, PackRule, _pack_shard, pack
+from packloom.operators.packing import PACKED, TOO_LONG, PackRule, _pack_shard, pack, pack_part, split_part
+from packloom.session import staged
 
 
 def restated(lengths, rule):
@@ -94,6 +98,25 @@ def test_heads_open_every_pack_and_wrap():
     assert all(len(p) == 2 for p in got)
 
 
+def test_heads_that_end_too_long_or_missing_are_refused():
+    rule = PackRule(expected=10, max_total=12, max_sample=10)
+    with pytest.raises(ValueError, match="mandatory group 1"):
+        run([5, 5], rule, heads=[[("a", 4, 4)], [("long", 10, 10)]])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 70), max_size=60), rules, st.lists(st.integers(0, 60), max_size=3))
+def test_parts_give_the_packs_of_one_go(lengths, rule, cuts):
+    """State handed from part to part, empty parts and empty states included."""
+    whole = list(_pack_shard(iter([(i, n, n) for i, n in enumerate(lengths)]), [], rule))
+    state, out, at = {}, [], 0
+    for cut in sorted(min(c, len(lengths)) for c in cuts):
+        out += _pack_shard(iter([(i, lengths[i], lengths[i]) for i in range(at, cut)]), [], rule, state, more=True)
+        at = cut
+    out += _pack_shard(iter([(i, lengths[i], lengths[i]) for i in range(at, len(lengths))]), [], rule, state)
+    assert out == whole
+
+
 def test_dropout_fills_by_kept_length():
     rule = PackRule(expected=10, max_total=10, max_sample=10, prefer_buffer=0, buffer=0)
     out = list(_pack_shard(iter([("a", 8, 2), ("b", 8, 8), ("c", 3, 3)]), [], rule))
@@ -101,8 +124,6 @@ def test_dropout_fills_by_kept_length():
 
 
 def test_spark_packs_each_shard_like_the_function(spark):
-    import random
-
     rng = random.Random(5)
     rows = [(shard, seq, f"s{shard}-{seq}", rng.randint(1, 50)) for shard in range(7) for seq in range(rng.randint(0, 90))]
     rng.shuffle(rows)
@@ -115,3 +136,60 @@ def test_spark_packs_each_shard_like_the_function(spark):
         for s, no, pos, status in _pack_shard(iter([(r[2], r[3], r[3]) for r in mine]), [], rule):
             want[(shard, s)] = (no, pos, status)
     assert got == want
+
+
+def feed_rows(rng, shards, most):
+    return [(shard, seq, 10_000 * shard + seq, rng.randint(1, 50)) for shard in range(shards) for seq in range(rng.randint(0, most))]
+
+
+COLUMNS = "shard bigint, seq bigint, sample_id bigint, length bigint"
+
+
+def test_heads_are_dealt_in_turn_and_come_round(spark):
+    """Two groups, one smaller than the shards: every pack of every shard opens with the heads of its turn."""
+    rng = random.Random(8)
+    rows = feed_rows(rng, 6, 60) + [(6, 0, 77, 5)]
+    rule = PackRule(100, 120, 45, 60, 3)
+    heads = [(0, i, 900 + i, 10 if i != 2 else 45) for i in range(4)] + [(1, i, 950 + i, 7) for i in range(40)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    head_df = spark.createDataFrame(heads, "group_no bigint, seq bigint, sample_id bigint, length bigint")
+    got = {}
+    for r in pack(df, rule, heads=head_df, n_shards=7).collect():
+        if r.status == PACKED:
+            got.setdefault((r.shard, r.pack_no), {})[r.pack_pos] = r.sample_id
+    cycles = [[900, 901, 903], [950 + i for i in range(40)]]
+    assert {shard for shard, _ in got} == {r[0] for r in rows}
+    for (shard, no), members in got.items():
+        assert [members[0], members[1]] == [c[(shard + no * 7) % len(c)] for c in cycles]
+
+
+def test_missing_groups_and_shard_counts_raise(spark):
+    df = spark.createDataFrame([(0, 0, 1, 5)], COLUMNS)
+    heads = spark.createDataFrame([(0, 0, 9, 999)], "group_no bigint, seq bigint, sample_id bigint, length bigint")
+    rule = PackRule(100, 120, 45, 60, 3)
+    with pytest.raises(ValueError, match="group 0 has no sample below 45"):
+        pack(df, rule, heads=heads, n_shards=1)
+    with pytest.raises(ValueError, match="group 3 has no sample"):
+        pack(df, rule, heads=heads.withColumn("length", F.lit(4)), n_shards=1, groups=[0, 3])
+    with pytest.raises(ValueError, match="n_shards"):
+        pack(df, rule, heads=heads)
+
+
+@pytest.mark.parametrize("with_heads", [False, True])
+def test_spark_parts_equal_one_go(spark, with_heads):
+    """Halves at another place per shard, NULL ids and ids above 2 ** 53, a shard that ends early and one that starts late."""
+    rng = random.Random(12)
+    rows = [(s, q, None if i % 17 == 0 else (1 << 60) + i, n) for i, (s, q, _, n) in enumerate(feed_rows(rng, 6, 70))] + [(7, 0, 5, 9)]
+    rule = PackRule(100, 120, 45, 60, 3)
+    df = spark.createDataFrame(rows, COLUMNS)
+    extra = {}
+    if with_heads:
+        heads = spark.createDataFrame([(0, i, i, 5 + i) for i in range(9)], "group_no bigint, seq bigint, sample_id bigint, length bigint")
+        extra = {"heads": heads, "n_shards": 8}
+    text = lambda df: sorted(map(repr, df.collect()))
+    whole = text(pack(df, rule, **extra))
+    early = F.col("seq") < F.col("shard") * 9
+    first, states = split_part(staged(pack_part(df.where(early), rule, **extra), "part"))
+    second = pack(df.where(~early), rule, states, **extra)
+    assert text(first.unionByName(second)) == whole
+    assert any("1152921504606846977" in r or "11529215046068469" in r for r in whole)
