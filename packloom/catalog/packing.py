@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 from ..functions.geometry import TRAIN_VAE, resized
 from ..operators import layout as ly
 from ..operators import packing as pk
+from ..operators import segments as sg
 from ..operators.rank import even_chunks
+from ..operators.registry import read_config, register_source
 from ..operators.segments import sample_lengths
+from ..plans.mixture import training_feed
 from ..plans.training import training_records
 from ..session import staged
+from .cleaning import duck_quotes, duck_strip
 from .core import Tables, query
 from .sampling import duck_u, shuffled
 from .segments import resize_sql
@@ -161,6 +165,74 @@ def _(t):
     return packs.unionByName(more).unionByName(last)
 
 
+# A parsed mixture file: two groups, limits, resize rules, one group mandatory.
+MIXTURE = {
+    "reasoning_edit": {
+        "dataset_names": ["en", "fr"], "num_used_data": [None, 300], "weight": 3.0,
+        "image_transform_args": {"image_stride": 16, "max_image_size": 1024, "min_image_size": 512},
+        "vit_image_transform_args": {"image_stride": 14, "max_image_size": 518, "min_image_size": 224},
+    },
+    "plain_edit": {
+        "dataset_names": ["de", "es"], "num_used_data": [None], "weight": 1, "is_mandatory": True, "shuffle_lines": True, "shuffle_seed": 3,
+        "image_transform_args": {"image_stride": 16, "max_image_size": 512, "min_image_size": 256},
+        "vit_image_transform_args": {"image_stride": 14, "max_image_size": 224, "min_image_size": 112},
+    },
+}
+MIXED = pk.PackRule(expected=30000, max_total=35000, max_sample=16000, prefer_buffer=16000, buffer=5)
+PICTURES = """SELECT original_image_path AS path, 64 + (sample_id * 37) % 2400 AS width, 64 + (sample_id * 53) % 1800 AS height FROM samples
+UNION ALL SELECT edited_image_path, 64 + (sample_id * 71) % 2000, 64 + (sample_id * 29) % 2300 FROM samples"""
+TEXT_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _mixture_steps() -> dict[str, str]:
+    words = lambda c: rf"len(regexp_extract_all(coalesce({c}, ''), '{TEXT_WORDS}'))"
+    sizes = lambda k: f"(SELECT path, (w * h)::bigint // {{}} AS n FROM {k})"
+    steps, lengths = {"pictures": PICTURES, "framed": "SELECT path AS image_id, path, width, height FROM pictures"}, []
+    bare = duck_quotes("instruction")
+    texts = {
+        "reasoning_edit": (rf"regexp_replace(CASE WHEN rules <> '' THEN rules || ' ' || {bare} ELSE {bare} END, '\s+$', '')", duck_strip(duck_quotes("reasoning"))),
+        "plain_edit": (r"regexp_replace(instruction, '\s+$', '')", duck_strip("reasoning")),
+    }
+    for group in read_config(MIXTURE):
+        instruction, thought = texts[group.name]
+        steps[f"vae_{group.name}"] = resize_sql("framed", group.image)
+        steps[f"vit_{group.name}"] = resize_sql("framed", group.vit_image)
+        names = ", ".join(f"'{n}'" for n in group.dataset_names)
+        limit = " OR ".join(f"(name = '{n}' AND rn <= {limit})" if limit else f"name = '{n}'" for n, limit in zip(group.dataset_names, [*group.num_used_data, None]))
+        steps[f"rows_{group.name}"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sample_id) AS rn FROM samples WHERE name IN ({names})) WHERE {limit}"
+        vae, vit = sizes(f"vae_{group.name}").format(group.image.stride**2), sizes(f"vit_{group.name}").format(group.vit_image.stride**2)
+        lengths.append(f"""SELECT '{group.name}' AS grp, name AS src, sample_id, (12 + {words(f"'{sg.REASONING_PROMPT}'")} + {words(instruction)} + {words(f"'<think>' || {thought} || '</think>'")} + a.n + b.n + c.n)::bigint AS length
+  FROM rows_{group.name} JOIN {vae} a ON a.path = original_image_path JOIN {vit} b ON b.path = original_image_path JOIN {vae} c ON c.path = edited_image_path""")
+    weights = [g.weight for g in read_config(MIXTURE)]
+    steps["lens2"] = " UNION ALL ".join(lengths)
+    steps["ranked"] = """SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('42|' || unit), unit) - 1 AS place, count(*) OVER (PARTITION BY grp) AS size
+FROM (SELECT *, grp || '|' || src || '|' || cast(sample_id AS VARCHAR) AS unit FROM lens2)"""
+    steps["picked"] = f"""SELECT *, row_number() OVER (PARTITION BY grp ORDER BY draw_id) - 1 AS turn FROM (SELECT draw_id, CASE WHEN {duck_u(42, 'draw_id', 'mix')} < {weights[0]} / {sum(weights)} THEN 'reasoning_edit' ELSE 'plain_edit' END AS grp
+  FROM (SELECT unnest(generate_series(0, (SELECT 2 * count(*) FROM documents) - 1)) AS draw_id))"""
+    steps["drawn"] = "SELECT p.draw_id, r.* FROM picked p JOIN ranked r ON r.grp = p.grp AND p.turn % r.size = r.place"
+    steps["arrivals"] = f"""SELECT draw_id % {SHARD_COUNT} AS shard, draw_id AS sample_id, length AS len, length AS kept, row_number() OVER (PARTITION BY draw_id % {SHARD_COUNT} ORDER BY draw_id) AS rn FROM drawn"""
+    steps["heads"] = f"SELECT -1 - place AS sample_id, length AS len, row_number() OVER (ORDER BY place) - 1 AS hn, count(*) OVER () AS m FROM ranked WHERE grp = 'plain_edit' AND length < {MIXED.max_sample}"
+    return {**steps, **loop_sql(MIXED, heads=True)}
+
+
+@query(
+    "training_feed",
+    """SELECT shard, o_no AS pack_no, o_pos AS pack_pos, o_st AS status, length, CASE WHEN o_id >= 0 THEN o_id END AS draw_id, grp AS "group", src AS source, sample_id FROM (
+  SELECT l.*, d.length, d.grp, d.src, d.sample_id FROM loop l JOIN drawn d ON d.draw_id = l.o_id
+  UNION ALL SELECT l.*, r.length, r.grp, r.src, r.sample_id FROM loop l JOIN ranked r ON r.grp = 'plain_edit' AND -1 - r.place = l.o_id)""",
+    "samples",
+    _mixture_steps(),
+)
+def _(t):
+    """Config to packs over all documents: every language is a data set of one of the groups."""
+    register_source("plain_edit", lambda df, keys: sg.edit_segments(df, keys, style="plain"))
+    rows = t["samples"].withColumnsRenamed({"original_image_path": "before_image_path", "edited_image_path": "after_image_path"})
+    sources = {lang: rows.where(F.col("name") == lang) for group in MIXTURE.values() for lang in group["dataset_names"]}
+    words = lambda c: F.size(F.regexp_extract_all(c, F.lit(TEXT_WORDS), F.lit(0)))
+    count = lambda c: F.when(c.isNotNull(), words(c))
+    return training_feed(read_config(MIXTURE), sources, t.sql(PICTURES, "samples"), 2 * t["documents"].count(), n_shards(t), count, MIXED)
+
+
 @query(
     "pack_next_fit",
     f"""SELECT shard, sample_id, length, pack_no, pack_pos, 'packed' AS status FROM walk

@@ -231,7 +231,7 @@ def pack_part(
     whole = lambda c: F.col(c).cast("bigint")
     narrow = lambda df, at: df.select(F.col(shard).alias("shard"), whole(at).alias("at"), F.col(sample).alias("sample_id"), whole(length).alias("length"), whole(kept or length).alias("kept"))
     rows = narrow(samples, seq)
-    kind = rows.schema["sample_id"].dataType.simpleString()
+    kind = rows.schema["sample_id"].dataType.simpleString()  # any type, a struct of names and numbers too
     item = f"array<struct<sample_id:{kind},length:bigint,kept:bigint>>"
     saved_as = f"struct<pack_no:bigint,filled:bigint,members:bigint,regular:bigint,waiting:{item},carried:{item},turns:map<bigint,bigint>>"
     nothing = F.lit(None).cast(saved_as).alias("state")
@@ -243,7 +243,8 @@ def pack_part(
             raise ValueError("mandatory heads are dealt to n_shards shards, numbered from 0")
         if heads is None:
             raise ValueError(f"mandatory groups {list(known)} have no samples")
-        own = heads.select(whole(head_group).alias("head"), F.col(seq).alias("order"), F.col(sample).alias("sample_id"), whole(length).alias("length"), whole(kept or length).alias("kept"))
+        fill = whole(kept if kept in heads.columns else length)
+        own = heads.select(whole(head_group).alias("head"), F.col(seq).alias("order"), F.col(sample).alias("sample_id"), whole(length).alias("length"), fill.alias("kept"))
         dealt, known = _dealt_heads(rows, own, rule, n_shards, known, state, F.col("order"))
         if known:
             feed = feed.unionByName(dealt.withColumn("state", nothing))
