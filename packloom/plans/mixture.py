@@ -20,7 +20,7 @@ MARKS = 2  # places a segment takes beside its tokens
 
 
 def image_counts(width: Column, height: Column, kind: Column, group: FeedGroup) -> Column:
-    """Tokens of an image segment after the resize of its group and kind."""
+    """Tokens of an image segment after the resize of its group and kind; NULL for an unknown size."""
 
     def count(rule: ResizeRule | None) -> Column:
         if rule is None:
@@ -28,7 +28,8 @@ def image_counts(width: Column, height: Column, kind: Column, group: FeedGroup)
         size = resized(width, height, rule)
         return image_tokens(size["width"], size["height"], rule.stride)
 
-    return F.when(kind == "vit_image", count(group.vit_image)).otherwise(count(group.image))
+    known = width.isNotNull() & height.isNotNull()
+    return F.when(known & (kind == "vit_image"), count(group.vit_image)).when(known, count(group.image))
 
 
 def group_lengths(
