@@ -1,10 +1,12 @@
 """Ranking, sharding, mixing and resume queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rank as rk
 from ..operators import sampling as sa
 from ..plans.feeds import reading_plan
+from ..session import work_folder
 from .core import query
 
 U = "('0x' || substr(md5('{seed}|' || cast({key} AS string) || '|{tag}'), 1, 12))::bigint / 281474976710656.0"
@@ -179,6 +181,26 @@ def _(t):
     return sa.resume_after(t["feed"], t.sql(PLACES, "feed"), ["source"], ["rg_idx", "row_idx"]).select("source", "sample_id")
 
 
+@query(
+    "resume_scan",
+    """SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents)
+WHERE source LIKE '%7' OR rn > 1 + n * 3 // 5""",
+)
+def _(t):
+    """Every source as a folder of files; three fifths of each are read, but for sources ending in 7."""
+    root = work_folder(t.spark, "scan")
+    docs = t["documents"].select("source", "doc_id", "text")
+    sorted_rows = docs.repartition("source").sortWithinPartitions("source", "doc_id")
+    sorted_rows.write.option("maxRecordsPerFile", 40).partitionBy("source").parquet(root)
+    sources = [r.source for r in docs.select("source").distinct().collect()]
+    folders = {s: f"{root}/source={s}" for s in sources}
+    place = Window.partitionBy("source").orderBy("path", "row")
+    whole = sa.resume_scan(t.spark, folders, t.spark.createDataFrame([], "source string, path string, row bigint"))
+    numbered = whole.select("source", "path", "row", F.row_number().over(place).alias("rn"), F.count(F.lit(1)).over(Window.partitionBy("source")).alias("n"))
+    saved = numbered.where(F.expr("rn = 1 + n * 3 div 5")).where(~F.col("source").like("%7")).select("source", "path", "row")
+    return sa.resume_scan(t.spark, folders, saved).select("source", "doc_id")
+
+
 @query(
     "repeat_epochs",
     """SELECT e.epoch, f.source, f.sample_id FROM feed f CROSS JOIN (SELECT unnest([0, 1, 2])::bigint AS epoch) e LEFT JOIN places p ON p.source = f.source
@@ -213,6 +235,27 @@ def _(t):
     return sa.mix(feed, WEIGHTS, n_draws, 13, group="grp").select("draw_id", "sample_id", "grp")
 
 
+SOLO = "CASE WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN 'solo' ELSE 'rest' END"
+
+
+@query(
+    "mix_small_group",
+    f"""SELECT sample_id, cycle, count(*) AS n_draws FROM (SELECT d.*, g.sample_id, d.turn // g.size AS cycle FROM
+  (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY draw_id) - 1 AS turn FROM draws) d
+  JOIN (SELECT *, count(*) OVER (PARTITION BY grp) AS size FROM groups) g ON g.grp = d.grp AND d.turn % g.size = g.place) GROUP BY sample_id, cycle""",
+    steps={
+        "groups": f"SELECT {SOLO} AS grp, doc_id AS sample_id, row_number() OVER (PARTITION BY {SOLO} ORDER BY md5('11|' || cast(doc_id AS string)), doc_id) - 1 AS place FROM documents",
+        "draws": f"SELECT draw_id, CASE WHEN {duck_u(13, 'draw_id', 'mix')} < 0.9 THEN 'solo' ELSE 'rest' END AS grp FROM (SELECT unnest(generate_series(0, {N_DRAWS} - 1)) AS draw_id)",
+    },
+)
+def _(t):
+    """A group of one row that nine draws of ten take: the row is dealt to many tasks before it is repeated."""
+    docs = t.sql(f"SELECT {SOLO} AS grp, doc_id AS sample_id FROM documents", "documents")
+    feed = rk.shuffle_rank(docs, "sample_id", 11, within=["grp"], rank="place")
+    drawn = sa.mix(feed, {"solo": 9.0, "rest": 1.0}, 3 * t["documents"].count(), 13, group="grp")
+    return drawn.groupBy("sample_id", "cycle").agg(F.count(F.lit(1)).alias("n_draws"))
+
+
 @query("length_filter", "SELECT sample_id, length FROM (SELECT sample_id, sum(n_tokens)::bigint + 2 * count(*) AS length FROM segments GROUP BY sample_id) WHERE length <= 1500", "segments")
 def _(t):
     from ..operators.segments import sample_lengths

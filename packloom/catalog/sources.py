@@ -72,6 +72,25 @@ def _(t):
     return fi.read_parquet_dirs(t.spark, [f"{root}/a", f"{root}/b"])
 
 
+@query(
+    "lost_files",
+    """SELECT 'cut_off' AS reason, 1::bigint AS n_files, count(*)::bigint AS n_rows FROM documents WHERE lang = 'de'
+UNION ALL SELECT 'no_rows', 2, NULL""",
+)
+def _(t):
+    """One folder per language; the read loses the German file whole, and two files hold no row at all."""
+    root = work_folder(t.spark, "lost")
+    docs = t["documents"].select("doc_id", "lang", "text")
+    docs.repartition("lang").write.partitionBy("lang").parquet(f"{root}/in")
+    languages = [r.lang for r in docs.select("lang").distinct().collect()]
+    dirs = [f"{root}/in/lang={lang}" for lang in languages] + [f"{root}/none", f"{root}/nothing"]
+    for empty in dirs[-2:]:
+        docs.select("doc_id", "text").where("false").coalesce(1).write.parquet(empty)
+    read = fi.read_counted(t.spark, dirs, "doc_id bigint, text string").where(~F.col("path").contains("lang=de/"))
+    report = fi.lost_report(fi.lost_files(t.spark, dirs, read, "doc_id bigint, text string"))
+    return report.select("reason", "n_files", "n_rows")
+
+
 @query("write_shards", "SELECT ntile(6) OVER (ORDER BY md5('42|' || cast(doc_id AS string)), doc_id) - 1 AS chunk, doc_id, text FROM documents")
 def _(t):
     path = work_folder(t.spark, "shards")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,29 @@ def take_first(df: DataFrame, n: int | str | None, source: str, position: str, s
     return ranked.filter(F.col("_rank") < n).drop("_rank")
 
 
+FEW_POSITIONS = 100_000  # saved places that may be sent to every task: about 10 MB
+
+# Turns of one row that one task writes; a row with more is dealt to several.
+TURNS = 100_000
+
+
+def expand_turns(df: DataFrame, last: Column, out: str) -> DataFrame:
+    """Each row once for every number 0..``last`` in column ``out``; none for a ``last`` below 0 or NULL.
+
+    Rows go out as chunks of ``TURNS`` numbers first, the chunks are exchanged, and numbers
+    are written inside chunks: a row that is repeated very often is no work for one task.
+    """
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    zero = F.lit(0).cast("bigint")
+    chunks = df.withColumn("_last", last.cast("bigint")).where("_last >= 0")
+    chunks = chunks.withColumn("_first", F.explode(F.sequence(zero, F.col("_last"), F.lit(TURNS).cast("bigint"))))
+    # A fixed number: merged back by size, the few chunk rows would meet in one task again.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(parts, F.xxhash64(*hashed, "_first"))
+    inside = F.sequence(F.col("_first"), F.least(F.col("_last"), F.col("_first") + (TURNS - 1)))
+    return dealt.withColumn(out, F.explode(inside)).drop("_last", "_first")
+
+
 def cycle_to(
     files: DataFrame,
     wanted: DataFrame,
@@ -64,10 +88,8 @@ def cycle_to(
         F.col("_len").isNull(), F.raise_error(F.concat(F.lit("no files for source "), F.col(source))).cast("bigint")
     ).otherwise(F.col("_len"))
     last = F.floor((F.col(n) - 1 - F.col("_at")) / length)
-    entries = F.when(last >= 0, F.sequence(F.lit(0).cast("bigint"), last)).otherwise(F.array().cast("array<bigint>"))
-    return joined.select(
-        source, path, "_at", "_len", F.explode(entries).alias("_rep")
-    ).select(source, path, (F.col("_rep") * F.col("_len") + F.col("_at")).alias("entry"))
+    repeated = expand_turns(joined.select(source, path, "_at", "_len", last.alias("_reps")), F.col("_reps"), "_rep")
+    return repeated.select(source, path, (F.col("_rep") * F.col("_len") + F.col("_at")).alias("entry"))
 
 
 def expand_row_groups(files: DataFrame, manifest: DataFrame, path: str = "path") -> DataFrame:
@@ -108,9 +130,35 @@ def resume_after(
     keep = F.col("_saved").isNull() | (here > F.col("_saved"))
     if epoch:
         keep = keep | (F.col(epoch) > 0)
+    # One row per worker and data set: sent to the feed while it is that small, so the feed stays where it is.
+    if positions.limit(FEW_POSITIONS + 1).count() <= FEW_POSITIONS:
+        saved = F.broadcast(saved)
     return df.join(saved, on, "left").filter(keep).select(*df.columns)
 
 
+def resume_scan(
+    spark: SparkSession, folders: Mapping[str, str], positions: DataFrame, source: str = "source", path: str = "path", row: str = "row", schema: str | None = None
+) -> DataFrame:
+    """Rows of Parquet data sets after each one's saved file and row, with ``source``, ``path`` and ``row``.
+
+    ``folders`` maps a data set to its folder; its files count in path order. ``positions``
+    has one row per data set: the file and the 0-based row in it that were read last. Saved
+    files become bounds on the file's path, which Spark applies when it lists the files, so
+    finished files are never opened; only in the file at the bound rows are skipped by their
+    number. A data set without a position is read from its beginning.
+    """
+    saved = {r[source]: (r[path], r[row]) for r in positions.select(source, path, row).limit(len(folders) + 1).collect()}
+    reader = spark.read.schema(schema) if schema else spark.read
+    parts = []
+    for name, folder in folders.items():
+        rows = reader.parquet(folder)
+        file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        if name in saved:
+            rows = rows.where(file >= saved[name][0]).where((file > saved[name][0]) | (at > saved[name][1]))
+        parts.append(rows.select("*", F.lit(name).alias(source), file.alias(path), at.alias(row)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def repeat_epochs(df: DataFrame, k: int, epoch: str = "epoch") -> DataFrame:
     """k passes over the table, numbered from 0."""
     passes = F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))
@@ -165,13 +213,9 @@ def mix(
     gap = F.raise_error(F.concat(F.lit("mix: no rows, or gaps between the places, in group "), "_g")).cast("bigint")
     plan = demand.join(sizes, F.col("_g") == F.col(group), "left").select("_g", F.coalesce("_size", gap).alias("_size"), "_demand")
     last = F.floor((F.col("_demand") - 1 - F.col(place)) / F.col("_size"))
-    served = F.when(last >= 0, F.sequence(F.lit(0).cast("bigint"), last)).otherwise(F.array().cast("array<bigint>"))
-    supply = (
-        feed.join(plan, F.col(group) == F.col("_g"))
-        .select(*[F.col(c) for c in feed.columns], "_size", F.explode(served).alias("_cycle"))
-        .withColumn("_serve", F.col("_cycle") * F.col("_size") + F.col(place))
-        .drop("_size")
-    )
+    supply = feed.join(plan, F.col(group) == F.col("_g")).select(*[F.col(c) for c in feed.columns], "_size", last.alias("_cycles"))
+    supply = expand_turns(supply, F.col("_cycles"), "_cycle").withColumn("_serve", F.col("_cycle") * F.col("_size") + F.col(place))
+    supply = supply.drop("_size", "_cycles")
     turns = turns.select("draw_id", F.col("group").alias("_group"), "_turn")
     return (
         turns.join(supply, (F.col("_group") == F.col(group)) & (F.col("_turn") == F.col("_serve")))

@@ -43,6 +43,37 @@ def read_parquet_dirs(spark: SparkSession, dirs: Sequence[str], schema: StructTy
     return (reader.schema(schema) if schema else reader).parquet(*dirs)
 
 
+def read_counted(spark: SparkSession, dirs: Sequence[str], schema: StructType | str, path: str = "path") -> DataFrame:
+    """``read_parquet_dirs`` with the file each row came from; see ``lost_files``."""
+    return read_parquet_dirs(spark, dirs, schema).select("*", F.col("_metadata.file_path").alias(path))
+
+
+def lost_files(spark: SparkSession, dirs: Sequence[str], rows: DataFrame, schema: StructType | str, path: str = "path") -> DataFrame:
+    """Ledger of what a read that skips corrupt files left out: ``path, reason, length, n_lost``.
+
+    ``rows`` are the rows that were read (``read_counted``), best from a written table, since
+    they are counted by file. They are held against the listing and against the row counts
+    of the files' footers, for which no data is read. ``no_rows``: no footer could be read,
+    so it is not known how many rows are lost, or the footer says there are none.
+    ``cut_off``: some rows could not be decoded.
+    """
+    name = lambda c: F.regexp_replace(c, "^file:/+", "file:/").alias("path")
+    listed = list_files(spark, dirs).select(name("path"), "length")
+    counted = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(*dirs)
+    footers = counted.groupBy(name("_metadata.file_path")).agg(F.count(F.lit(1)).alias("_rows"))
+    seen = rows.groupBy(name(path)).agg(F.count(F.lit(1)).alias("_seen"))
+    held = listed.join(footers, "path", "left").join(seen, "path", "left").withColumn("n_lost", F.col("_rows") - F.coalesce("_seen", F.lit(0)))
+    reason = F.when(F.col("_rows").isNull(), F.lit("no_rows")).when(F.col("n_lost") > 0, F.lit("cut_off"))
+    return held.withColumn("reason", reason).where("reason IS NOT NULL").select("path", "reason", "length", "n_lost")
+
+
+def lost_report(ledger: DataFrame) -> DataFrame:
+    """Files, bytes and rows lost per reason."""
+    return ledger.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"), F.sum("n_lost").alias("n_rows")
+    )
+
+
 def write_shards(df: DataFrame, path: str, n: int, key: str, seed: int = 42, mode: str = "errorifexists") -> None:
     """Exactly n Parquet shards ``chunk=i`` of near-equal size, rows in seeded order.
 
