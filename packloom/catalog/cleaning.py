@@ -6,6 +6,7 @@ from ..functions import text as tx
 from ..operators import clean as cl
 from ..plans.evaluate import generation_work
 from ..plans.export import export_rows, judged_records
+from ..plans.judging import judge_work
 from .core import query
 from .evaluation import DUCK_UNITS
 
@@ -233,6 +234,47 @@ def _(t):
     )
 
 
+# Files a judge may look at: originals hold the document's text, so some are above the size limit.
+JUDGE_BYTES = 9000
+JUDGE_FILES = """SELECT path, max(content) AS content FROM (
+  SELECT CASE WHEN doc_id % 17 = 4 THEN 'lost/' ELSE 'in/' END || cast(doc_id AS string) || '.png' AS path, coalesce(text, '') AS content FROM documents
+  UNION ALL SELECT path, 'image ' || path AS content FROM output_files) f GROUP BY path"""
+JUDGED_ITEMS = "SELECT *, 'out/' || name || '/' || cast(idx AS string) AS output_stem FROM items"
+
+
+@query(
+    "judge_work",
+    f"""SELECT item_key, dim, part, type, md5(text) AS text_md5, md5(url) AS url_md5, error FROM (
+  SELECT r.item_key, r.dim, r.part, CASE WHEN r.type = 'text' THEN 'text' ELSE 'image_url' END AS type, CASE WHEN r.type = 'text' THEN r.value END AS text,
+    CASE WHEN r.type = 'image' THEN 'data:image/jpeg;base64,' || base64(encode(f.content)) END AS url, NULL AS error
+  FROM ({REQUESTS.replace("output_path", "found").replace("FROM items", "FROM tested")}) r JOIN tested t ON t.item_key = r.item_key LEFT JOIN files f ON f.path = r.value AND r.type = 'image' WHERE t.error IS NULL
+  UNION ALL SELECT item_key, NULL, NULL, NULL, NULL, NULL, error FROM tested WHERE error IS NOT NULL)""",
+    "items output_files judgements",
+    {
+        "files": JUDGE_FILES,
+        "stems": JUDGED_ITEMS + " WHERE item_key NOT IN (SELECT item_key FROM judgements WHERE idx % 3 > 0)",
+        "resolved": """SELECT s.* , coalesce(a.path, b.path, c.path) AS found FROM stems s LEFT JOIN files a ON a.path = output_stem || '.png'
+LEFT JOIN files b ON b.path = output_stem || '.jpg' LEFT JOIN files c ON c.path = output_stem || '.jpeg'""",
+        "tested": f"""SELECT r.*, CASE WHEN x.path IS NULL THEN 'Image not found: ' || reference_path WHEN strlen(x.content) > {JUDGE_BYTES} THEN 'Image too large: ' || x.path
+  WHEN y.path IS NULL THEN 'Cannot find edited image at: ' || output_stem || '.png' WHEN strlen(y.content) > {JUDGE_BYTES} THEN 'Image too large: ' || y.path
+  WHEN z.path IS NULL THEN 'Image not found: ' || original_path WHEN strlen(z.content) > {JUDGE_BYTES} THEN 'Image too large: ' || z.path END AS error
+FROM resolved r LEFT JOIN files x ON x.path = reference_path LEFT JOIN files y ON y.path = found LEFT JOIN files z ON z.path = original_path""",
+    },
+)
+def _(t):
+    """Pending items to messages with their images, and to error rows, in one table of parts."""
+    files = t.sql(JUDGE_FILES, "documents", "output_files").select("path", F.octet_length("content").alias("length"), F.col("content").cast("binary").alias("content"))
+    done = t["judgements"].where("idx % 3 > 0").select("item_key")
+    work, failures = judge_work(t.sql(JUDGED_ITEMS, "items"), done, files, TEMPLATES, most_bytes=JUDGE_BYTES)
+    parts = work.select("item_key", "dim", F.inline("messages")).select("item_key", "dim", F.posexplode("content").alias("part", "c"))
+    nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    parts = parts.select(
+        "item_key", "dim", F.col("part").cast("bigint").alias("part"), "c.type", F.md5("c.text").alias("text_md5"), F.md5("c.url").alias("url_md5"), nothing("error", "string")
+    )
+    texts = [nothing(c, "string") for c in ("type", "text_md5", "url_md5")]
+    return parts.unionByName(failures.select("item_key", nothing("dim", "bigint"), nothing("part", "bigint"), *texts, "error"))
+
+
 @query(
     "item_keys",
     "SELECT doc_id, coalesce(n, 'None') || '#' || cast(doc_id AS string) AS item_key, 'out/' || lang || '/' || cast(doc_id AS string) || '.png' AS output_path "

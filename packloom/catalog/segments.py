@@ -7,6 +7,7 @@ from ..operators import frames as fr
 from ..operators import segments as sg
 from ..operators import tokens as tk
 from ..operators.clean import pick_caption
+from ..plans.judging import json_edit_feed
 from .cleaning import duck_quotes, duck_strip
 from .core import query
 from .sampling import duck_u
@@ -87,6 +88,18 @@ def _(t):
     return sg.edit_segments(t.sql(EDITS, "samples"), ["sample_id"], style="json").select(*SHOWN)
 
 
+@query(
+    "json_edit_feed",
+    _edit_sql("instruction", "reasoning", "instruction <> '' AND reasoning <> '' AND 'data/' || before_image_path IN (SELECT path FROM image_files) AND 'data/' || after_image_path IN (SELECT path FROM image_files)"),
+    "samples image_files",
+    {"edits": EDITS},
+)
+def _(t):
+    """The JSON style with its file test: records whose images are not there are left out."""
+    there = t["image_files"].where("path LIKE 'data/%'").select(F.regexp_replace("path", "^data/", "").alias("path"))
+    return json_edit_feed(t.sql(EDITS, "samples"), ["sample_id"], there).select(*SHOWN)
+
+
 CHAIN = f"""SELECT *, CASE WHEN joined AND end0 = n - 1 THEN end0 - 1 ELSE end0 END AS e FROM (
   SELECT *, end0 - s > 1 AND {duck_u(21, 'doc_id', 'join')} < 0.5 AS joined FROM (
     SELECT *, s + 1 + cast(floor({duck_u(21, 'doc_id', 'end')} * (least(s + 3, n) - s - 1)) AS bigint) AS end0 FROM (

@@ -161,6 +161,7 @@ def judge_requests(
     original: str = "original_path",
     reference: str = "reference_path",
     output: str = "output_path",
+    keep: Sequence[str] = ("item_key", "name", "idx"),
 ) -> DataFrame:
     """Three rows per item: ``dim`` and ``parts``, an array of (type, value).
 
@@ -183,8 +184,7 @@ def judge_requests(
         )
         for dim in (1, 2, 3)
     ]
-    keep = [c for c in items.columns if c in ("item_key", "name", "idx")]
-    return items.select(*keep, F.inline(F.array(*rows)))
+    return items.select(*[c for c in items.columns if c in keep], F.inline(F.array(*rows)))
 
 
 def message_content(parts: Column) -> Column:
