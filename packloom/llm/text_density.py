@@ -6,8 +6,8 @@ density is characters per tag, adjusted by links: long text in few tags with few
 characters is dense. The node whose children's densities sum highest is the core of the
 article. The least density on the path from there to the body is the threshold: below the
 body, each subtree at least as dense gives up its own highest-sum subtree, so an article
-split over several containers stays whole. A core inside an article or main element stands
-for that whole element.
+split over several containers stays whole. Elements that call themselves an article and are
+no list of links are given out beside them; all parts come in page order.
 
 Pages are parsed one by one in Arrow batches; nothing is shuffled.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +49,14 @@ MARKERS = frozenset(
     "sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search comment comments "
     "respond disqus replies share sharing social related recommended widget toolbar pagination pager copyright disclaimer skip".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+# What may stand beside a marker in a class name without changing its meaning: "site-header", "related-posts".
+PLAIN = frozenset(
+    "area articles bar block body bottom box btn button buttons card cards col container content count feed global group holder icon icons inner item items "
+    "label left line link links list main more news outer page panel pane post posts primary reader readers right row secondary section site slot small stories "
+    "story strip text thread title top unit user users wide wrap wrapper zone".split()
+)
+# A quote opens a value after "=" only; elsewhere it is a letter of a name.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -61,6 +69,7 @@ class Page:
         self.soft = [False]  # cut by its class or id only
         self.body = 0
         open_nodes, at = [0], 0
+        self.open: Counter[str] = Counter()
         for m in _TAG.finditer(source):
             if m.start() < at:
                 continue
@@ -71,9 +80,11 @@ class Page:
             if not name:
                 continue
             if m[1]:
-                if name in self.tag and any(self.tag[k] == name for k in open_nodes[1:]):
-                    while self.tag[open_nodes.pop()] != name:
-                        pass
+                if self.open[name]:  # each node is passed once, since it is closed
+                    k = len(open_nodes) - 1
+                    while self.tag[open_nodes[k]] != name:
+                        k -= 1
+                    self._close(open_nodes, k)
                 continue
             if name == "html":
                 continue
@@ -95,16 +106,24 @@ class Page:
                 at = end.end() if end else len(source)
             elif name not in VOID and not m[3].rstrip().endswith("/"):
                 open_nodes.append(node)
+                self.open[name] += 1
         if at < len(source):
             self.parts[open_nodes[-1]].append(source[at:])
 
+    def _close(self, open_nodes: list[int], k: int) -> None:
+        for node in open_nodes[k:]:
+            self.open[self.tag[node]] -= 1
+        del open_nodes[k:]
+
     def _imply(self, open_nodes: list[int], name: str) -> None:
         """Close what a start tag ends by itself."""
         ends = CLOSES.get(name, set()) | ({"p"} if name in BLOCK and name != "br" else set())
+        if not any(self.open[tag] for tag in ends):
+            return
         for k in range(len(open_nodes) - 1, 0, -1):
             tag = self.tag[open_nodes[k]]
             if tag in ends:
-                del open_nodes[k:]
+                self._close(open_nodes, k)
                 return
             if tag in WALLS and tag not in ends:
                 return
@@ -120,8 +139,12 @@ class Page:
             return True, False
         if re.search(r"display\s*:\s*none", found.get("style", "")):
             return True, False
-        names = {n.lower() for n in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-        return False, bool(names & MARKERS)
+        for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+            names = {n.lower() for n in _NAME.findall(token)}
+            # "share-buttons" marks furniture, "share-price" does not.
+            if names & MARKERS and all(n in MARKERS or n in PLAIN or len(n) == 1 for n in names):
+                return False, True
+        return False, False
 
 
 def _settle(page: Page) -> list[bool]:
@@ -130,14 +153,18 @@ def _settle(page: Page) -> list[bool]:
     holds = [t in ("article", "main", "h1") for t in page.tag]
     for k in range(n - 1, 0, -1):
         holds[page.parent[k]] |= holds[k]
-    gone = [False] * n
+    gone, inside = [False] * n, [False] * n
     for k in range(1, n):
-        gone[k] = gone[page.parent[k]] or page.cut[k] or (page.soft[k] and not holds[k])
+        up = page.parent[k]
+        inside[k] = inside[up] or page.tag[k] in ("article", "main")
+        # The heading of the article itself is no page header.
+        own = page.tag[k] == "header" and inside[up] and holds[k]
+        gone[k] = gone[up] or (page.cut[k] and not own) or (page.soft[k] and not holds[k])
     return gone
 
 
-def _densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float]]:
-    """Link-adjusted characters per tag of each node, and the sum over its children."""
+def _densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float], list[float]]:
+    """Link-adjusted characters per tag of each node, the sum over its children, and the share of characters in links."""
     n = len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [1] * n, [0] * n, [0] * n
     for k in range(n - 1, -1, -1):
@@ -168,13 +195,13 @@ def _densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float]]:
     for k in range(1, n):
         total[page.parent[k]] += density[k]
         leaf[page.parent[k]] = leaf[page.parent[k]] and gone[k]
-    return density, [density[k] if leaf[k] else total[k] for k in range(n)]
+    return density, [density[k] if leaf[k] else total[k] for k in range(n)], [a / max(1, b) for a, b in zip(link_chars, chars)]
 
 
 def _content(page: Page, gone: list[bool]) -> list[bool]:
     """Roots of the subtrees that are the article."""
     n, body = len(page.tag), page.body
-    density, total = _densities(page, gone)
+    density, total, linked = _densities(page, gone)
     below = [False] * n
     below[body] = True
     for k in range(body + 1, n):
@@ -189,10 +216,6 @@ def _content(page: Page, gone: list[bool]) -> list[bool]:
         path.append(page.parent[path[-1]])
     threshold = min(density[k] for k in path)
     chosen = [False] * n
-    # A core inside an element that says it is the article, or the main part, stands for all of it.
-    if named := [k for k in path if page.tag[k] in ("article", "main")]:
-        chosen[named[-1]] = True
-        return chosen
     inside = [False] * n
     for k in range(body, n):
         inside[k] = inside[k] or chosen[k] or (k > body and inside[page.parent[k]])
@@ -200,6 +223,9 @@ def _content(page: Page, gone: list[bool]) -> list[bool]:
             core = best[k] if best[k] >= 0 else k
             chosen[core] = True
             inside[k] = core == k
+    # Less dense parts of an article in several elements say what they are.
+    for k in range(body + 1, n):
+        chosen[k] = chosen[k] or (below[k] and page.tag[k] == "article" and linked[k] < 0.5)
     return chosen
 
 
@@ -216,7 +242,8 @@ def main_text(source: str | None) -> str:
         part, inside = stack.pop()
         if isinstance(part, str):
             if inside:
-                out.append(part)
+                # Each piece for itself: a reference never reaches over a tag.
+                out.append(html.unescape(part))
             continue
         if gone[part]:
             out.append(" ")
@@ -226,7 +253,7 @@ def main_text(source: str | None) -> str:
         out.append(edge)
         stack.append((edge, True))
         stack.extend((p, inside) for p in reversed(page.parts[part]))
-    return " ".join(html.unescape("".join(out)).split())
+    return " ".join("".join(out).split())
 
 
 def extract(df: DataFrame, source: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
