@@ -40,6 +40,7 @@ from .words import WordBatch, mixed, word_batches
 
 SHINGLE, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 600
 BLOCK = 128  # texts of a core that one task holds of either side
+MEETING = 512  # members of a block of a bucket: rows there are 300 bytes, full sets stay out
 COLUMNS = 4096  # shingles counted at a time
 BITS = 2048  # parities of a set, 256 bytes
 
@@ -203,9 +204,9 @@ def _possible(similarity: float):
     return meet
 
 
-def _in_blocks(rows: DataFrame, counts: DataFrame, by: str) -> DataFrame:
-    """Rows with ``block``, ``p`` and ``q``: each group ``by`` is cut into blocks, and a row goes to each meeting (p, q) of its block."""
-    cut = rows.join(counts.select(by, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), by).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+def _in_blocks(rows: DataFrame, counts: DataFrame, by: str, members: int) -> DataFrame:
+    """Rows with ``block``, ``p`` and ``q``: each group ``by`` is cut into blocks of about ``members`` rows, and a row goes to each meeting (p, q) of its block."""
+    cut = rows.join(counts.select(by, F.ceil(F.col("n") / members).cast("int").alias("blocks")), by).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     cut = cut.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return cut.withColumns({"p": F.least("block", "peer"), "q": F.greatest("block", "peer")}).drop("peer", "blocks")
 
@@ -238,14 +239,14 @@ def near_copies(df: DataFrame, similarity: float = SIMILARITY, recall: float = R
     # Pairs across cores: buckets that hold several cores only.
     inside = met.select("band", "id").join(cores, "id")
     mixed_buckets = inside.groupBy("band").agg(F.min("core").alias("lo"), F.max("core").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
-    across = _in_blocks(inside, mixed_buckets, "band").join(sets.select("id", F.size("grams").alias("grams"), "parities"), "id")
+    across = _in_blocks(inside, mixed_buckets, "band", MEETING).join(sets.select("id", F.size("grams").alias("grams"), "parities"), "id")
     meetings = across.groupBy("band", "p", "q").agg(F.collect_list(F.struct("id", "core", "grams", "block", "parities")).alias("members")).select("members")
     possible = meetings.mapInArrow(_possible(similarity), StructType([StructField("a", LongType()), StructField("b", LongType())])).distinct()
     links = staged(_verified(staged(possible, "possible"), sets, similarity).select("a", "b"), "links")
 
     # Pairs inside cores, block against block.
     per_core = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
-    sides = _in_blocks(cores, per_core, "core").join(sizes, "id").select("id", "core", "size", "block", "p", "q")
+    sides = _in_blocks(cores, per_core, "core", BLOCK).join(sizes, "id").select("id", "core", "size", "block", "p", "q")
     counted = sides.join(sets.select("id", "grams"), "id").groupBy("core", "p", "q").applyInArrow(_inside(similarity), StructType([ident, StructField("beyond", LongType())]))
 
     ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
