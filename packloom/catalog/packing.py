@@ -36,9 +36,12 @@ def next_fit(t: Tables) -> DataFrame:
     return pk.pack_next_fit(sharded(t, sample_lengths(t["segments"])), EXPECTED, MAX_TOTAL, MAX_SAMPLE)
 
 
+def placed(t: Tables, seed: int = 17) -> DataFrame:
+    return ly.packed_segments(ly.drop_conditions(t["segments"], seed), next_fit(t))
+
+
 def laid_out(t: Tables, seed: int = 17) -> DataFrame:
-    rows = ly.drop_conditions(t["segments"], seed)
-    return ly.segment_offsets(ly.packed_segments(rows, next_fit(t)))
+    return ly.segment_offsets(placed(t, seed))
 
 
 LENGTHS = "SELECT sample_id, sum(n_tokens)::bigint + 2 * count(*) AS length FROM segments GROUP BY sample_id"
@@ -395,6 +398,13 @@ def _(t):
 SPECIAL = ly.SpecialTokens(bos=1, eos=2, start_of_image=3, end_of_image=4)
 
 
+def with_ids(rows: DataFrame) -> DataFrame:
+    """Token ids that count up from the sample's id."""
+    first = F.col("sample_id").cast("bigint")
+    ids = F.when((F.col("kind") == "text") & (F.col("n_tokens") > 0), F.sequence(first, first + F.col("n_tokens") - 1))
+    return rows.withColumn("text_ids", ids)
+
+
 @query(
     "pack_records",
     f"""SELECT shard, pack_no, sum(n + 2)::bigint AS sequence_length, count(DISTINCT pack_pos) AS n_samples, count(*) AS n_splits,
@@ -410,10 +420,7 @@ FROM (SELECT *, n_tokens AS n FROM ({ROPE}) WHERE NOT dropped) GROUP BY shard, p
     LAYOUT,
 )
 def _(t):
-    rows = ly.rope_positions(laid_out(t))
-    ids = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1), lambda i: i + F.col("sample_id"))
-    rows = rows.withColumn("text_ids", F.when((F.col("kind") == "text") & (F.col("n_tokens") > 0), ids))
-    packs = ly.pack_records(rows, SPECIAL)
+    packs = ly.pack_records(with_ids(placed(t)), SPECIAL)
     zero = F.lit(0).cast("bigint")
     total = lambda c: F.aggregate(c, zero, lambda a, x: a + x)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")

@@ -70,19 +70,21 @@ def segment_offsets(df: DataFrame) -> DataFrame:
     )
 
 
-def rope_positions(df: DataFrame) -> DataFrame:
-    """Add ``rope``, the segment's first position id; every sample starts at 0.
-
-    Text moves on by its length (not at all when dropped), a vit image by 1, a vae image
-    by its ``frame_delta``, else by 1 as a condition and 0 as a target.
-    """
+def rope_step(df: DataFrame) -> Column:
+    """Positions a segment moves on: text by its length (not at all when dropped), a vit image
+    by 1, a vae image by its ``frame_delta``, else by 1 as a condition and 0 as a target."""
     dropped, delta = _dropped(df), _optional(df, "frame_delta", F.lit(None).cast("bigint"))
-    step = (
+    return (
         F.when(F.col("kind") == "text", F.when(dropped, F.lit(0)).otherwise(F.col("n_tokens") + 2))
         .when((F.col("kind") == "vit_image") | dropped, F.lit(1))
         .otherwise(F.coalesce(delta, F.when(F.col("loss") == 0, F.lit(1)).otherwise(F.lit(0))))
         .cast("bigint")
     )
+
+
+def rope_positions(df: DataFrame) -> DataFrame:
+    """Add ``rope``, the segment's first position id; every sample starts at 0."""
+    step = rope_step(df)
     w = Window.partitionBy(*IN_SAMPLE).orderBy("seg_pos").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_step", step).withColumn("rope", (F.sum("_step").over(w) - F.col("_step")).cast("bigint")).drop("_step")
 
@@ -129,12 +131,16 @@ def with_splits(df: DataFrame) -> DataFrame:
     return df.withColumn("split_no", F.sum(starts).over(w).cast("bigint"))
 
 
+def _timestep(seed: int, sample_id: Column, split_no: Column, loss: Column) -> Column:
+    key = F.concat(sample_id.cast("string"), F.lit(":"), split_no.cast("string"))
+    step = normal(uniform(seed, key, "t1"), uniform(seed, key, "t2"))
+    return F.when(loss == 1, step).otherwise(F.lit(float("-inf")))
+
+
 def with_timesteps(df: DataFrame, seed: int) -> DataFrame:
     """Add ``timestep``: one normal draw per split for target images, minus infinity for
     condition images, NULL for other segments."""
-    key = F.concat(F.col("sample_id").cast("string"), F.lit(":"), F.col("split_no").cast("string"))
-    step = normal(uniform(seed, key, "t1"), uniform(seed, key, "t2"))
-    value = F.when(F.col("loss") == 1, step).otherwise(F.lit(float("-inf")))
+    value = _timestep(seed, F.col("sample_id"), F.col("split_no"), F.col("loss"))
     return with_splits(df).withColumn("timestep", F.when((F.col("kind") == "vae_image") & ~_dropped(df), value))
 
 
@@ -238,90 +244,126 @@ class SpecialTokens:
     end_of_image: int
 
 
-def pack_records(df: DataFrame, special: SpecialTokens, mode: str = "square") -> DataFrame:
+def _laid(segs: Column) -> Column:
+    """One walk over a pack's sorted segments: ``total`` places and, per segment, ``at``.
+
+    Offsets run over the pack; positions and split numbers start anew with each sample.
+    ``opens_sample`` and ``opens_split`` mark the first kept segment of each.
+    """
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    begin = F.struct(
+        zero.alias("total"), zero.alias("rope"), zero.alias("split"), none.alias("sample"), none.alias("kept"),
+        F.array().cast("array<struct<start:bigint,rope:bigint,split:bigint,opens_sample:boolean,opens_split:boolean>>").alias("at"),
+    )
+
+    def step(acc: Column, s: Column) -> Column:
+        same = acc["sample"].eqNullSafe(s["pack_pos"])
+        rope = F.when(same, acc["rope"]).otherwise(zero)
+        split = F.when(same, acc["split"]).otherwise(zero) + s["starts"]
+        head = ~s["dropped"] & ~acc["kept"].eqNullSafe(s["pack_pos"])
+        place = F.struct(
+            acc["total"].alias("start"), rope.alias("rope"), split.alias("split"), head.alias("opens_sample"),
+            (head | (~s["dropped"] & (s["starts"] == 1))).alias("opens_split"),
+        )
+        return F.struct(
+            (acc["total"] + s["seg_len"]).alias("total"), (rope + s["step"]).alias("rope"), split.alias("split"),
+            s["pack_pos"].alias("sample"), F.when(s["dropped"], acc["kept"]).otherwise(s["pack_pos"]).alias("kept"),
+            F.concat(acc["at"], F.array(place)).alias("at"),
+        )
+
+    return F.aggregate(segs, begin, step)
+
+
+def pack_records(df: DataFrame, special: SpecialTokens, mode: str = "square", seed: int | None = None) -> DataFrame:
     """One nested row per pack, the form trainers read.
 
-    Needs ``start``, ``rope`` and ``text_ids`` (array, NULL for images); ``timestep`` from
-    ``with_timesteps`` if targets are to be trained. Fields of a kind the pack lacks are
-    NULL.
+    Needs packed segments with ``text_ids`` (array, NULL for images). Offsets, positions,
+    splits and lengths come from one walk over the pack's segments; places are written out
+    after it, so nothing wider than a segment is sorted. Targets are trained with a draw
+    by ``seed``, else by the column ``timestep``, else not at all. Fields of a kind the
+    pack lacks are NULL; a pack whose segments were all dropped has no row.
     """
-    df = df.filter(~_dropped(df))
-    ids = F.coalesce("text_ids", F.array().cast("array<bigint>"))
-    is_text, start, n = F.col("kind") == "text", F.col("start"), F.col("n_tokens")
-    end = start + n + 1
-    empty = F.array().cast("array<bigint>")
+    big = lambda c: c.cast("bigint")
+    empty, no_weights = F.array().cast("array<bigint>"), F.array().cast("array<double>")
+    optional = [F.col(c).cast("bigint").alias(c) for c in ("width", "height") if c in df.columns]
+    segment = F.struct(
+        big(F.col("pack_pos")).alias("pack_pos"),
+        "seg_pos",
+        "sample_id",
+        "kind",
+        big(F.col("n_tokens")).alias("n"),
+        (F.col("loss") == 1).alias("loss"),
+        _dropped(df).alias("dropped"),
+        segment_length(df).alias("seg_len"),
+        rope_step(df).alias("step"),
+        _optional(df, "split_start", F.lit(True)).cast("bigint").alias("starts"),
+        attention_mode(df).alias("mode"),
+        (_optional(df, "special_token_loss", F.lit(0)) == 1).alias("special_loss"),
+        big(_optional(df, "special_token_label", F.lit(None).cast("bigint"))).alias("special_label"),
+        _optional(df, "timestep", F.lit(float("-inf"))).alias("timestep"),
+        F.coalesce(F.col("text_ids"), empty).alias("ids"),
+        *optional,
+    )
+    # The rows are narrow and the arrays made from them wide. A number given here keeps
+    # adaptive execution from merging the packs into few tasks by their narrow size.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packs = df.select(*PACK, segment.alias("_seg")).repartition(parts, *PACK)
+    packs = packs.groupBy(*PACK).agg(F.array_sort(F.collect_list("_seg")).alias("_segs"))
+    packs = packs.withColumn("_laid", _laid(F.col("_segs"))).where(F.col("_laid.total") > 0)
+    both = F.zip_with("_segs", F.col("_laid.at"), lambda s, at: F.struct(s.alias("s"), at.alias("at")))
+    packs = packs.select(
+        *PACK, F.col("_laid.total").alias("sequence_length"), F.filter(both, lambda x: ~x["s"]["dropped"]).alias("_kept")
+    )
+
     lit = lambda x: F.array(F.lit(x).cast("bigint"))
-    run = lambda a, b: F.when(b >= a, F.sequence(a.cast("bigint"), b.cast("bigint"))).otherwise(empty)
-    of = lambda kind: F.col("kind") == kind
-    has_loss = F.col("loss") == 1
-    special_loss = _optional(df, "special_token_loss", F.lit(0)) == 1
-    special_label = _optional(df, "special_token_label", F.lit(None).cast("bigint")).cast("bigint")
-    step = _optional(df, "timestep", F.lit(float("-inf")))
-    text_loss = is_text & has_loss
-    no_weights = F.array().cast("array<double>")
+    run = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(empty)
+    start, end = lambda x: x["at"]["start"], lambda x: x["at"]["start"] + x["s"]["n"] + 1
+    of = lambda kind, then, otherwise=empty: lambda x: F.when(x["s"]["kind"] == kind, then(x)).otherwise(otherwise)
+    inner = lambda x: run(start(x) + 1, end(x) - 1)
+    text_loss = lambda x: (x["s"]["kind"] == "text") & x["s"]["loss"]
+    with_special = lambda then, special_part, otherwise=empty: lambda x: F.concat(
+        F.when(text_loss(x), then(x)).otherwise(otherwise), F.when(x["s"]["special_loss"], special_part(x)).otherwise(otherwise)
+    )
+    if seed is None:
+        drawn = lambda x: x["s"]["timestep"]
+    else:
+        drawn = lambda x: _timestep(seed, x["s"]["sample_id"], x["at"]["split"], x["s"]["loss"].cast("int"))
     fields = {
-        "packed_text_ids": F.when(is_text, F.concat(lit(special.bos), ids, lit(special.eos))).otherwise(
-            F.concat(lit(special.start_of_image), lit(special.end_of_image))
+        "packed_text_ids": of("text", lambda x: F.concat(lit(special.bos), x["s"]["ids"], lit(special.eos)), F.concat(lit(special.start_of_image), lit(special.end_of_image))),
+        "packed_text_indexes": lambda x: F.when(x["s"]["kind"] == "text", run(start(x), end(x))).otherwise(F.array(start(x), end(x))),
+        "packed_position_ids": lambda x: F.when(
+            x["s"]["kind"] == "text", run(x["at"]["rope"], x["at"]["rope"] + x["s"]["n"] + 1)
+        ).otherwise(F.array_repeat(x["at"]["rope"], (x["s"]["n"] + 2).cast("int"))),
+        "packed_label_ids": with_special(lambda x: F.concat(x["s"]["ids"], lit(special.eos)), lambda x: F.array(x["s"]["special_label"])),
+        "ce_loss_indexes": with_special(lambda x: run(start(x), end(x) - 1), lambda x: F.array(end(x))),
+        "ce_loss_weights": with_special(
+            lambda x: F.array_repeat(loss_weight(x["s"]["n"] + 1, mode), (x["s"]["n"] + 1).cast("int")), lambda x: F.array(F.lit(1.0)), no_weights
         ),
-        "packed_text_indexes": F.when(is_text, run(start, end)).otherwise(
-            F.array(start.cast("bigint"), end.cast("bigint"))
-        ),
-        "packed_position_ids": F.when(is_text, run(F.col("rope"), F.col("rope") + n + 1)).otherwise(
-            F.array_repeat(F.col("rope"), (n + 2).cast("int"))
-        ),
-        "packed_label_ids": F.concat(
-            F.when(text_loss, F.concat(ids, lit(special.eos))).otherwise(empty),
-            F.when(special_loss, F.array(special_label)).otherwise(empty),
-        ),
-        "ce_loss_indexes": F.concat(
-            F.when(text_loss, run(start, end - 1)).otherwise(empty),
-            F.when(special_loss, F.array(end.cast("bigint"))).otherwise(empty),
-        ),
-        "ce_loss_weights": F.concat(
-            F.when(text_loss, F.array_repeat(loss_weight(n + 1, mode), (n + 1).cast("int"))).otherwise(no_weights),
-            F.when(special_loss, F.array(F.lit(1.0))).otherwise(no_weights),
-        ),
-        "packed_vae_token_indexes": F.when(of("vae_image"), run(start + 1, end - 1)).otherwise(empty),
-        "packed_timesteps": F.when(of("vae_image"), F.array_repeat(step, n.cast("int"))).otherwise(no_weights),
-        "mse_loss_indexes": F.when(of("vae_image") & has_loss, run(start + 1, end - 1)).otherwise(empty),
-        "packed_vit_token_indexes": F.when(of("vit_image"), run(start + 1, end - 1)).otherwise(empty),
-        "vit_token_seqlens": F.when(of("vit_image"), F.array(n.cast("bigint"))).otherwise(empty),
+        "packed_vae_token_indexes": of("vae_image", inner),
+        "packed_timesteps": of("vae_image", lambda x: F.array_repeat(drawn(x), x["s"]["n"].cast("int")), no_weights),
+        "mse_loss_indexes": lambda x: F.when((x["s"]["kind"] == "vae_image") & x["s"]["loss"], inner(x)).otherwise(empty),
+        "packed_vit_token_indexes": of("vit_image", inner),
+        "vit_token_seqlens": of("vit_image", lambda x: F.array(x["s"]["n"])),
     }
     for c in ("width", "height"):
         if c in df.columns:
-            fields[f"vae_{c}s"] = F.when(of("vae_image"), F.array(F.col(c).cast("bigint"))).otherwise(empty)
+            fields[f"vae_{c}s"] = of("vae_image", lambda x, c=c: F.array(x["s"][c]))
     always = {"packed_text_ids", "packed_text_indexes", "packed_position_ids"}
-    # Lengths of samples and splits ride on their first segment, so the arrays are read
-    # off in one pass. These windows need no exchange beyond the one on the pack.
-    split = Window.partitionBy(*IN_SAMPLE, "split_no")
-    sample = Window.partitionBy(*IN_SAMPLE)
-    ranked = with_splits(df.withColumn("_len", (n + 2).cast("bigint")))
-    first_in = lambda w: F.row_number().over(w.orderBy("seg_pos")) == 1
-    total = lambda w: F.sum("_len").over(w).cast("bigint")
-    flat = ranked.select(
-        *PACK,
-        F.struct(
-            "pack_pos",
-            "seg_pos",
-            F.col("_len").alias("seg_len"),
-            F.when(first_in(sample), total(sample)).alias("sample_len"),
-            F.when(first_in(split), total(split)).alias("split_len"),
-            attention_mode(df).alias("mode"),
-            *[c.alias(k) for k, c in fields.items()],
-        ).alias("_seg"),
-    )
-    packed = flat.groupBy(*PACK).agg(F.array_sort(F.collect_list("_seg")).alias("_segs"))
 
     def gathered(name: str) -> Column:
-        whole = F.flatten(F.transform("_segs", lambda s: s[name]))
-        return whole if name in always else F.when(F.size(whole) > 0, whole)
+        whole = F.flatten(F.transform("_kept", fields[name]))
+        return whole if name in always else F.get(F.filter(F.array(whole), lambda a: F.size(a) > 0), 0)
+
+    def lengths(opens: str) -> Column:
+        """Distances between the offsets where samples or splits open."""
+        heads = F.transform(F.filter("_kept", lambda x: x["at"][opens]), start)
+        return F.zip_with(F.concat(F.slice(heads, 2, F.size(heads)), F.array("sequence_length")), heads, lambda b, a: b - a)
 
-    heads = lambda name: F.filter("_segs", lambda s: s[name].isNotNull())
-    return packed.select(
+    return packs.select(
         *PACK,
-        F.aggregate("_segs", F.lit(0).cast("bigint"), lambda acc, s: acc + s["seg_len"]).alias("sequence_length"),
-        F.transform(heads("sample_len"), lambda s: s["sample_len"]).alias("sample_lens"),
-        F.transform(heads("split_len"), lambda s: s["split_len"]).alias("split_lens"),
-        F.transform(heads("split_len"), lambda s: s["mode"]).alias("attn_modes"),
+        "sequence_length",
+        lengths("opens_sample").alias("sample_lens"),
+        lengths("opens_split").alias("split_lens"),
+        F.transform(F.filter("_kept", lambda x: x["at"]["opens_split"]), lambda x: x["s"]["mode"]).alias("attn_modes"),
         *[gathered(k).alias(k) for k in fields],
     )

@@ -11,14 +11,14 @@ from ..operators.segments import sample_lengths
 from ..session import staged
 
 
-def pack_segments(
+def placed_segments(
     segments: DataFrame,
     rule: PackRule,
     n_shards: int,
     seed: int = 42,
     dropout: bool = False,
 ) -> DataFrame:
-    """Shuffle samples into even shards, pack each shard, lay the segments out.
+    """Shuffle samples into even shards, pack each shard, give each segment its pack.
 
     Choose ``n_shards`` to grow with the sample count; a shard is one sequential task
     over its ids and lengths. Lengths and packs, three narrow columns each, are written
@@ -32,10 +32,14 @@ def pack_segments(
         lengths = sample_lengths(segments)
     shards = even_chunks(staged(lengths, "lengths"), "sample_id", n_shards, seed, chunk="shard", position="seq")
     packs = staged(pack(shards, rule, kept="kept" if dropout else None), "packs")
-    return ly.rope_positions(ly.segment_offsets(ly.packed_segments(segments, packs)))
+    return ly.packed_segments(segments, packs)
+
+
+def pack_segments(segments: DataFrame, rule: PackRule, n_shards: int, seed: int = 42, dropout: bool = False) -> DataFrame:
+    """Packed segments with their offsets and positions, one row each."""
+    return ly.rope_positions(ly.segment_offsets(placed_segments(segments, rule, n_shards, seed, dropout)))
 
 
 def training_records(segments: DataFrame, rule: PackRule, n_shards: int, special: ly.SpecialTokens, seed: int = 42, dropout: bool = False) -> DataFrame:
     """Nested pack rows ready to be written as Parquet."""
-    laid = pack_segments(segments, rule, n_shards, seed, dropout)
-    return ly.pack_records(ly.with_timesteps(laid, seed), special)
+    return ly.pack_records(placed_segments(segments, rule, n_shards, seed, dropout), special, seed=seed)
