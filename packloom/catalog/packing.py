@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import TRAIN_VAE, resized
+from ..operators import frames as fr
 from ..operators import layout as ly
 from ..operators import packing as pk
 from ..operators import segments as sg
@@ -16,7 +17,7 @@ from ..session import staged
 from .cleaning import duck_quotes, duck_strip
 from .core import Tables, query
 from .sampling import duck_u, shuffled
-from .segments import resize_sql
+from .segments import _mid, _plan_sql, resize_sql
 
 ROWS_PER_SHARD = 50
 SHARD_COUNT = f"(SELECT greatest(1, count(*) // {ROWS_PER_SHARD}) FROM documents)"
@@ -441,7 +442,119 @@ def _(t):
     )
 
 
-@query("training_records")
+ARRAYS = {
+    "text_ids": "packed_text_ids", "text_indexes": "packed_text_indexes", "positions": "packed_position_ids", "labels": "packed_label_ids",
+    "ce": "ce_loss_indexes", "vae": "packed_vae_token_indexes", "mse": "mse_loss_indexes", "vit": "packed_vit_token_indexes",
+    "sample_lens": "sample_lens", "split_lens": "split_lens", "modes": "attn_modes",
+}
+
+
+def digests(packs: DataFrame) -> list:
+    """md5 of every array's elements in their order."""
+    return [F.md5(F.concat_ws(",", F.col(c).cast("array<string>"))).alias(k) for k, c in ARRAYS.items()]
+
+
+# Every array of a pack from its laid segments (``rows``: positions, split marks, modes), in order.
+KEPT_ROWS = "SELECT *, n_tokens AS n, sum(starts::int) OVER (PARTITION BY sample_id ORDER BY seg_pos) AS split_no FROM placed_rows WHERE NOT dropped"
+SAMPLE_LENS = "SELECT shard, pack_no, pack_pos, sum(n + 2)::bigint AS len FROM kept_rows GROUP BY ALL"
+SPLIT_LENS = "SELECT shard, pack_no, pack_pos, split_no, sum(n + 2)::bigint AS len, arg_min(mode, seg_pos) AS mode FROM kept_rows GROUP BY shard, pack_no, pack_pos, split_no"
+
+
+def _digest_sql(extra: str = "") -> str:
+    per_segment = {
+        "text_ids": "CASE WHEN kind = 'text' THEN list_concat([1], range(sample_id, sample_id + n), [2]) ELSE [3, 4] END",
+        "text_indexes": "CASE WHEN kind = 'text' THEN range(start, start + n + 2) ELSE [start, start + n + 1] END",
+        "positions": "CASE WHEN kind = 'text' THEN range(rope, rope + n + 2) ELSE list_transform(range(n + 2), lambda i: rope) END",
+        "labels": "CASE WHEN kind = 'text' AND loss = 1 THEN list_append(range(sample_id, sample_id + n), 2) ELSE [] END",
+        "ce": "CASE WHEN kind = 'text' AND loss = 1 THEN range(start, start + n + 1) ELSE [] END",
+        "vae": "CASE WHEN kind = 'vae_image' THEN range(start + 1, start + n + 1) ELSE [] END",
+        "mse": "CASE WHEN kind = 'vae_image' AND loss = 1 THEN range(start + 1, start + n + 1) ELSE [] END",
+        "vit": "CASE WHEN kind = 'vit_image' THEN range(start + 1, start + n + 1) ELSE [] END",
+    }
+    joined = lambda values: f"md5(array_to_string({values}, ','))"
+    segment_level = ", ".join(f"{joined(f'flatten(list({v} ORDER BY pack_pos, seg_pos))')} AS {k}" for k, v in per_segment.items())
+    return f"""SELECT * FROM (SELECT shard, pack_no, sum(n + 2)::bigint AS sequence_length, {segment_level}{extra} FROM kept_rows GROUP BY shard, pack_no)
+JOIN (SELECT shard, pack_no, {joined('list(len ORDER BY pack_pos)')} AS sample_lens FROM sample_lengths GROUP BY shard, pack_no) USING (shard, pack_no)
+JOIN (SELECT shard, pack_no, {joined('list(len ORDER BY pack_pos, split_no)')} AS split_lens, {joined('list(mode ORDER BY pack_pos, split_no)')} AS modes
+  FROM split_lengths GROUP BY shard, pack_no) USING (shard, pack_no)"""
+
+
+IN_ORDER = {"kept_rows": KEPT_ROWS, "sample_lengths": SAMPLE_LENS, "split_lengths": SPLIT_LENS}
+MODE = "CASE WHEN kind = 'text' THEN 'causal' WHEN kind = 'vae_image' AND loss = 1 {} THEN 'noise' ELSE 'full' END AS mode"
+
+
+@query(
+    "pack_order",
+    _digest_sql(),
+    "segments",
+    {**LAYOUT, "placed_rows": f"SELECT *, true AS starts, {MODE.format('')} FROM ({ROPE})", **IN_ORDER},
+)
+def _(t):
+    packs = ly.pack_records(with_ids(placed(t)), SPECIAL)
+    return packs.select("shard", "pack_no", "sequence_length", *digests(packs))
+
+
+# Captioned videos: the frames of a video share one split and one draw.
+VIDEO_FEED = """SELECT video_id AS sample_id, 0 AS seg_pos, 'text' AS kind, 1 AS enable_cfg, 0 AS loss, (5 + video_id % 30)::bigint AS n_tokens, true AS starts, NULL::bigint AS frame_delta FROM videos
+UNION ALL SELECT video_id, 1 + slot, 'vae_image', 0, 1, 64::bigint, slot = 0, lead(frame) OVER (PARTITION BY video_id ORDER BY slot) - frame FROM plan"""
+VIDEO_FIT = {k: v.replace("FROM documents", "FROM supplier") for k, v in FIT.items()}
+VIDEO_ROPE = """SELECT *, sum(step) OVER (PARTITION BY sample_id ORDER BY seg_pos)::bigint - step AS rope, sum(starts::int) OVER (PARTITION BY sample_id ORDER BY seg_pos) AS split_all
+FROM (SELECT *, CASE WHEN kind = 'text' THEN seg_len ELSE coalesce(frame_delta, 0) END AS step FROM laid)"""
+VIDEO_KEY = "cast(sample_id AS string) || ':' || cast(split_all AS string)"
+
+
+@query(
+    "video_records",
+    _digest_sql(
+        f""", round(coalesce(sum(CASE WHEN kind = 'vae_image' THEN (n * start + n * (n + 1) // 2) * sqrt(-2 * ln(1 - {duck_u(29, VIDEO_KEY, 't1')})) * cos(2 * pi() * {duck_u(29, VIDEO_KEY, 't2')}) END), 0), 3) AS timestep_sum"""
+    ),
+    "videos",
+    {
+        "plan": _plan_sql(_mid(8)),
+        "segments": VIDEO_FEED,
+        **VIDEO_FIT,
+        "laid": LAID,
+        "placed_rows": f"SELECT *, {MODE.format('AND frame_delta IS NULL')} FROM ({VIDEO_ROPE})",
+        **IN_ORDER,
+    },
+)
+def _(t):
+    videos = t["videos"]
+    clips = sg.video_segments(videos.select("video_id", fr.interval_frames(F.col("vlen"), F.lit(8), "middle").alias("frames")), ["video_id"])
+    clips = clips.withColumns({"seg_pos": F.col("seg_pos") + 1, "n_tokens": F.lit(64).cast("bigint")}).drop("frame", "split_end")
+    captions = videos.select(
+        "video_id", F.lit(0).alias("seg_pos"), F.lit("text").alias("kind"), F.lit(1).alias("enable_cfg"), F.lit(0).alias("loss"),
+        F.lit(True).alias("split_start"), F.lit(None).cast("bigint").alias("frame_delta"), (F.col("video_id") % 30 + 5).cast("bigint").alias("n_tokens"),
+    )
+    segments = captions.unionByName(clips).withColumnRenamed("video_id", "sample_id")
+    shards = even_chunks(sample_lengths(segments), "sample_id", max(1, t["supplier"].count() // ROWS_PER_SHARD), 42, chunk="shard", position="seq")
+    packs = pk.pack_next_fit(shards, EXPECTED, MAX_TOTAL, MAX_SAMPLE)
+    records = ly.pack_records(with_ids(ly.packed_segments(ly.drop_conditions(segments, 17), packs)), SPECIAL, seed=29)
+    weighed = F.aggregate(
+        F.zip_with("packed_timesteps", "packed_vae_token_indexes", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x
+    )
+    return records.select("shard", "pack_no", "sequence_length", *digests(records), F.round(F.coalesce(weighed, F.lit(0.0)), 3).alias("timestep_sum"))
+
+
+DROPPED_LENS = KEPT.replace("17|", "42|")
+RECORD_LOOP = {
+    "lengths": LENGTHS,
+    "shards": SHARDS,
+    "kept_lens": DROPPED_LENS,
+    "arrivals": ARRIVALS.format("kept_len") + " JOIN kept_lens k USING (sample_id)",
+    **loop_sql(CARRYING),
+}
+
+
+@query(
+    "training_records",
+    f"""SELECT shard, pack_no, sum(n_tokens + 2)::bigint AS sequence_length, count(*)::integer AS n_splits,
+  nullif(sum(CASE WHEN kind = 'vae_image' AND loss = 1 THEN n_tokens ELSE 0 END), 0)::integer AS n_mse
+FROM (SELECT s.*, l.shard, l.o_no AS pack_no, s.enable_cfg = 1 AND {U_DROP.replace("17|", "42|")} < CASE s.kind WHEN 'text' THEN 0.1 WHEN 'vit_image' THEN 0.4 ELSE 0.1 END AS dropped
+  FROM loop l JOIN segments s ON s.sample_id = l.o_id WHERE l.o_st = 'packed') WHERE NOT dropped GROUP BY shard, pack_no""",
+    "segments",
+    RECORD_LOOP,
+)
 def _(t):
     segments = t["segments"].withColumn(
         "text_ids", F.when((F.col("kind") == "text") & (F.col("n_tokens") > 0), F.sequence(F.lit(1).cast("bigint"), "n_tokens"))

@@ -95,6 +95,37 @@ def test_pack_records_like_a_walk(spark, seed):
         assert len(got.packed_timesteps or []) == len(want["vae"])
 
 
+def test_records_draw_by_seed_and_merge_splits(spark):
+    rows = [
+        (0, 0, 1, 2, 0, "text", 2, 1, 0, True, True, None, True, [5, 6]),
+        (0, 0, 1, 2, 1, "vae_image", 3, 0, 1, True, True, None, False, None),
+        (0, 0, 0, 1, 0, "text", 3, 1, 0, True, True, None, False, [7, 8, 9]),
+        (0, 0, 0, 1, 1, "vae_image", 4, 0, 1, True, False, 5, False, None),
+        (0, 0, 0, 1, 2, "vae_image", 4, 0, 1, False, False, 7, False, None),
+        (0, 0, 0, 1, 3, "vae_image", 4, 0, 1, False, True, None, False, None),
+        (0, 1, 0, 3, 0, "text", 2, 1, 0, True, True, None, True, [1, 1]),
+    ]
+    df = spark.createDataFrame(rows, COLUMNS)
+    special = ly.SpecialTokens(1, 2, 3, 4)
+    (got,) = ly.pack_records(df, special, seed=9).collect()
+    assert got.sample_lens == [23, 5] and got.split_lens == [5, 18, 5] and got.attn_modes == ["causal", "full", "noise"]
+    assert got.packed_position_ids == [*range(5), *[5] * 6, *[10] * 6, *[17] * 6, *[0] * 5]
+    assert len(set(got.packed_timesteps)) == 2 and got.packed_timesteps[0] == got.packed_timesteps[11]
+    (column,) = ly.pack_records(ly.with_timesteps(df, 9), special).collect()
+    assert column.packed_timesteps == got.packed_timesteps
+    assert got.packed_vit_token_indexes is None and got.packed_label_ids is None
+
+
+def test_records_of_no_rows(spark):
+    assert ly.pack_records(spark.createDataFrame([], COLUMNS), ly.SpecialTokens(1, 2, 3, 4), seed=1).collect() == []
+
+
+def test_record_plan_has_no_window(spark):
+    df = spark.createDataFrame(random_rows(1), COLUMNS)
+    plan = ly.pack_records(df, ly.SpecialTokens(1, 2, 3, 4), seed=1)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+
+
 def test_visible_pairs_count_a_brute_mask(spark):
     rng = random.Random(4)
     rows, want = [], {}
