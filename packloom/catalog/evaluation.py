@@ -220,6 +220,22 @@ def _(t):
     return lb.sort_by(t["events"].withColumn("cell", cell), "cell", "date", "event_id").select("event_id", "sort_key")
 
 
+DATE_CELLS = ["yyyy/MM/dd", "M/d/yyyy HH:mm:ss", "MMMM d, yyyy", "d MMM yyyy HH:mm", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "yyyy-MM-dd'T'HH:mm:ss"]
+
+
+@query(
+    "sort_date_forms",
+    """SELECT event_id, epoch_ms(CASE WHEN event_id % 6 IN (0, 2) THEN date_trunc('day', ts)::timestamp WHEN event_id % 6 = 3 THEN date_trunc('minute', ts)::timestamp
+  ELSE date_trunc('second', ts)::timestamp END) AS sort_key FROM events""",
+)
+def _(t):
+    cell = F.lit(None)
+    for i, form in enumerate(DATE_CELLS):
+        cell = F.when(F.col("event_id") % len(DATE_CELLS) == i, F.date_format("ts", form)).otherwise(cell)
+    # In a tag, so that the M of a month is no unit.
+    return lb.sort_by(t["events"].withColumn("cell", F.concat(F.lit("<i>"), cell, F.lit("</i>"))), "cell", "date", "event_id").select("event_id", "sort_key")
+
+
 @query(
     "leaderboard",
     """SELECT model, round(s, 6) AS score, rank() OVER (ORDER BY s DESC) AS rank,

@@ -10,6 +10,9 @@ from ..functions import scores as sc
 ANSWERS = ("judge1", "judge2", "judge3")
 DIMENSIONS = ("appr_consistency", "reasoning", "visual_plausibility")  # scored from judge1..3
 
+# Types that a hash aggregate updates in place.
+FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+
 
 def parse_answers(judgements: DataFrame) -> DataFrame:
     """Replace the three answer texts by their scores.
@@ -24,8 +27,14 @@ def latest_judgements(df: DataFrame, key: str = "item_key", seq: str = "seq") ->
     """One row per key, the one with the highest ``seq``.
 
     ``max_by`` combines before the shuffle, so a key with very many attempts is no hot spot.
+    Columns of fixed width are each picked by hash, all from the same row since every
+    aggregate meets the rows in the same order; with a text among them one struct is picked
+    after a sort. Equal ``seq``: one of the rows, whole.
     """
     rest = [c for c in df.columns if c not in (key, seq)]
+    if all(kind in FIXED_WIDTH for name, kind in df.dtypes if name in (*rest, seq)):
+        picked = [F.max_by(c, seq).alias(c) for c in rest]
+        return df.groupBy(key).agg(F.max(seq).alias(seq), *picked)
     best = F.max_by(F.struct(*rest, seq), F.col(seq)).alias("_best")
     return df.groupBy(key).agg(best).select(key, *[F.col(f"_best.{c}").alias(c) for c in [seq, *rest]])
 

