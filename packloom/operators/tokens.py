@@ -1,8 +1,8 @@
 """Byte-pair token ids.
 
 Texts are split into words in the JVM. Encoding is one map-side pass: word arrays cross to
-Python in Arrow batches, and each worker remembers the words it has met, so nearly every
-word is a look-up. Joining single words back to a dictionary instead would shuffle every
+Python in Arrow batches, where each distinct word of a batch is looked up once and each
+worker remembers the words it has met. Joining single words back to a dictionary instead would shuffle every
 (document, word) pair twice and put the commonest words on a few hot keys.
 ``word_dictionary`` is the distinct-word job for vocabulary statistics.
 """
@@ -10,12 +10,13 @@ word is a look-up. Joining single words back to a dictionary instead would shuff
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
@@ -106,6 +107,22 @@ def _encoder(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[st
     return make
 
 
+def _encode_batch(texts: pa.ListArray, encode: Callable[[str], tuple[int, ...]]) -> pa.ListArray:
+    """Ids of texts given as word lists: each distinct word of the batch is encoded once, its
+    ids are gathered for every use by array arithmetic. The lists hold no NULLs."""
+    used = texts.flatten().dictionary_encode()
+    coded = [encode(word) for word in used.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+    values = np.fromiter(chain.from_iterable(coded), dtype=np.int64, count=int(sizes.sum()))
+    word = used.indices.to_numpy(zero_copy_only=False)
+    n_ids = sizes[word]
+    ends = np.concatenate([[0], np.cumsum(n_ids)])
+    first = (np.cumsum(sizes) - sizes)[word]
+    taken = values[np.repeat(first - ends[:-1], n_ids) + np.arange(ends[-1])]
+    bounds = texts.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]], pa.int32()), pa.array(taken))
+
+
 def bpe_encode(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[str, int], text: str, unk: int = -1, out: str = "ids") -> DataFrame:
     """Add the token ids of a text column and their number ``n_tokens``; NULL text has no ids.
 
@@ -113,11 +130,11 @@ def bpe_encode(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[
     """
     make = _encoder(df, merges, vocab, unk)
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(LongType()))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = make()
         for batch in batches:
-            yield batch.map(lambda words: np.fromiter(chain.from_iterable(map(encode, words)), dtype="int64"))
+            yield _encode_batch(batch, encode)
 
     words = F.coalesce(pretokens(nfc(F.col(text))), F.array().cast("array<string>"))
     return spread(df).withColumn(out, ids(words)).withColumn("n_tokens", F.size(out).cast("bigint"))

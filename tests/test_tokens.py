@@ -96,3 +96,18 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session())
+
+
+def test_batches_of_words_like_single_words():
+    import pyarrow as pa
+
+    from packloom.operators.tokens import _encode_batch
+
+    encode = lambda word: tuple(word.encode())
+    texts = [["ab", "c"], [], ["c", "c", "ab", ""], ["é"]]
+    want = [[b for word in words for b in word.encode()] for words in texts]
+    whole = pa.array(texts, pa.list_(pa.string()))
+    assert _encode_batch(whole, encode).to_pylist() == want
+    assert _encode_batch(whole.slice(2), encode).to_pylist() == want[2:]
+    assert _encode_batch(whole.slice(1, 1), encode).to_pylist() == [[]]
+    assert _encode_batch(whole.slice(0, 0), encode).to_pylist() == []
