@@ -5,7 +5,7 @@ One row per segment. ``order`` columns, never row order, carry the sequence.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -103,9 +103,13 @@ def drop_empty_text(segments: DataFrame, tokens: str = "n_tokens") -> DataFrame:
 
 
 def require_loss(segments: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """Drop samples without any loss segment."""
-    with_loss = segments.filter(F.col("loss") == 1).select(sample).distinct()
-    return segments.join(with_loss, sample, "left_semi")
+    """Drop samples without any loss segment, and rows without a sample.
+
+    A window over the sample reads the input once; its exchange serves later sums per sample.
+    """
+    trained = F.max(F.coalesce(F.col("loss") == 1, F.lit(False))).over(Window.partitionBy(sample))
+    flagged = segments.filter(F.col(sample).isNotNull()).withColumn("_trained", trained)
+    return flagged.filter("_trained").drop("_trained")
 
 
 def edit_segments(rows: DataFrame, keys: list[str], style: str = "rules", before: str = "before_image_path", after: str = "after_image_path", prompt: str = REASONING_PROMPT) -> DataFrame:
