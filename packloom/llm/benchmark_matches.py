@@ -6,16 +6,17 @@ for pieces finds every match. Around each piece hit, Myers' bit-parallel distanc
 per item word, one step per document word) gives the least edit distance of the item to
 any passage there.
 
-The benchmark is the small side by nature, but its size is checked: items are taken in
-blocks of at most BLOCK_BYTES, and the documents are read once per block. Documents are
-only mapped, never shuffled.
+Items go out in blocks of at most BLOCK_BYTES, one after the other: a block is broadcast,
+the documents are searched for it, the hits are added to one table in the shared folder, and
+the block is released before the next one is fetched. So neither the driver nor an executor
+holds more than one block, and the plan does not grow with the benchmark; the documents are
+read once per block. Documents are only mapped, never shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..session import work_folder
+
 EDIT_RATE = 0.2
 BLOCK_BYTES = 8 << 20
 _WORD = re.compile(r"\w+")
@@ -122,7 +125,7 @@ def blocks(items: DataFrame, item_key: str, text: str) -> Iterator[list[tuple[in
         words = words_of(row[1])
         if words:
             block.append((row[0], words))
-            size += len(row[1])
+            size += len(row[1].encode("utf-8", "surrogatepass"))
         if size >= BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -135,13 +138,15 @@ def contaminated(df: DataFrame, items: DataFrame, rate: float = EDIT_RATE, key:
     Distances are counted in words, compared in lower case and without punctuation; the
     smallest one in the document and the end of its first passage are given. NULL and
     empty texts and items without a word match nothing; rows with a NULL id are left out.
-    Repeated rows give one row. Further columns are not read.
+    Repeated rows give one row. Further columns are not read. The search runs when this is
+    called; what is returned reads the hits.
     """
+    spark, hits = df.sparkSession, work_folder(df.sparkSession, "hits")
     schema = StructType([StructField(n, LongType()) for n in (key, item_key, "n_edits", "end_word")])
     narrow = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), F.col(text))
 
-    def search(block: list[tuple[int, list[str]]]) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(block)
+    def search(block: list[tuple[int, list[str]]]) -> None:
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate)
@@ -150,9 +155,12 @@ def contaminated(df: DataFrame, items: DataFrame, rate: float = EDIT_RATE, key:
                 columns = list(zip(*rows)) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=schema.names)
 
-        return narrow.mapInArrow(run, schema)
+        narrow.mapInArrow(run, schema).write.mode("append").parquet(hits)
+        shared.destroy()
 
-    found = reduce(DataFrame.unionAll, map(search, blocks(items, item_key, item_text)))
+    for block in blocks(items, item_key, item_text):
+        search(block)
+    found = spark.read.schema(schema).parquet(hits)
     return found.groupBy(key, item_key).agg(F.min(F.struct("n_edits", "end_word")).alias("best")).select(key, item_key, "best.n_edits", "best.end_word")
 
 

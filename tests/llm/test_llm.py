@@ -172,6 +172,22 @@ def test_benchmark_edits_and_blocks(spark, monkeypatch):
     assert [r.doc_id for r in benchmark_matches.decontaminate(df, items).collect()] == [1]
 
 
+def test_blocks_are_released_and_share_one_plan(spark, monkeypatch):
+    """Many blocks: one scan of the hits, every broadcast destroyed, the same rows as one block."""
+    words = [f"w{i}" for i in range(60)]
+    df = docs(spark, [" ".join(words[k : k + 30]) for k in range(0, 30, 5)])
+    items = spark.createDataFrame([(k, " ".join(words[k : k + 8])) for k in range(0, 50, 4)], "item_id bigint, text string")
+    whole = sorted(map(tuple, benchmark_matches.contaminated(df, items).collect()))
+    released = []
+    kind = type(spark.sparkContext.broadcast(0))
+    monkeypatch.setattr(kind, "destroy", lambda self, blocking=False, destroy=kind.destroy: released.append(self) or destroy(self, blocking))
+    monkeypatch.setattr(benchmark_matches, "BLOCK_BYTES", 60)
+    found = benchmark_matches.contaminated(df, items)
+    assert len(released) > 5
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    assert whole and sorted(map(tuple, found.collect())) == whole
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_repeats_against_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(repeated_spans, "HOT", hot)
@@ -354,3 +370,27 @@ def test_pipeline_stages(spark):
     assert jaccard_join.near_copies(seen).where("n_links > 0").count() == 0
     kept = {r.doc_id for r in seen.collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == kept
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_on_odd_rows(spark, empty):
+    """NULLs, empty and long texts, repeated rows and clashing columns pass each stage; only copies and repeated lines go."""
+    import corpus_pipeline
+
+    folder = f"{ROOT}/sf0.001"
+    df = odd_rows(spark).withColumn("n_chars", F.length("text").cast("bigint"))
+    df = df.where("false") if empty else df
+    every = sorted(str(r.doc_id) for r in df.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, folder)
+        left = sorted(str(r.doc_id) for r in got.collect())
+        if name == "token_ids":
+            assert got.columns == ["doc_id", "n_tokens", "ids"] and left == every
+            assert all(r.n_tokens == 0 and r.ids == [] for r in got.where("doc_id <= 2").collect())
+            continue
+        assert got.columns == df.columns, name
+        assert left == [i for i in every if not (name == "near_copies" and i == "6")], name
+        if name == "line_dedup" and not empty:
+            one = got.where("doc_id = 7").first()
+            assert one.text.split() == ["a", "b"] and one.n_chars == len(one.text)
+            assert got.where("doc_id = 1 AND text IS NULL AND n_chars IS NULL").count() == 1
