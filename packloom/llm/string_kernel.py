@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from ..session import staged
 
 ORDER, DECAY = 3, 0.6
 LETTERS = 24  # longer words are read in overlapping pieces of this length
-LANDMARKS = 128
+LANDMARKS = 256
 SAMPLE_ROWS = 4000
 WORDS = 60_000  # clean words fetched for training: a bound on the training sample, as SAMPLE_ROWS is
 SUSPECTS = 2000  # toxic words and beginnings fetched, likewise
@@ -60,18 +62,6 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.array(words, dtype=f"U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS) if words else np.zeros((0, LETTERS), np.uint32)
 
 
-def _pair_bits(codes: np.ndarray) -> np.ndarray:
-    """Bit set (256 bits) of a word's letter pairs at distance one and two."""
-    bits = np.zeros((len(codes), 4), dtype=np.uint64)
-    for gap in (1, 2):
-        a, b = codes[:, :-gap].astype(np.uint64), codes[:, gap:].astype(np.uint64)
-        slot = ((a * np.uint64(2654435761) + b * np.uint64(40503)) >> np.uint64(5)) & np.uint64(255)
-        one = np.where((a > 0) & (b > 0), np.uint64(1) << (slot & np.uint64(63)), np.uint64(0))
-        for part in range(4):
-            bits[:, part] |= np.bitwise_or.reduce(np.where(slot >> np.uint64(6) == part, one, np.uint64(0)), axis=1)
-    return bits
-
-
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Subsequence kernel of each row of a with the same row of b."""
     n, width = a.shape
@@ -94,42 +84,82 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 EVEN = (0.0, 3.0, 0.0, 0.0)
 
 
+@cache
+def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the subsequences of ORDER letters in a word of that length, and the factor each costs."""
+    at = np.array(list(combinations(range(length), ORDER)))
+    return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
+
+
 @dataclass
 class Model:
-    """Landmarks, their letter pairs and self-kernels, the machine's weights, and the scale of scores.
+    """Landmarks, the machine's weights, and the scale of scores.
+
+    The kernel is the inner product of words' subsequences, so the kernel values of a word to
+    all landmarks, and their weighted sum, follow from the word's own subsequences alone:
+    each is looked up among those of the landmarks. No value is left out or approximated.
 
     ``scale`` has the weights of 1, of a text's largest margin, and of the logarithms of the
     sum of its clear margins and of the number of its different words.
     """
 
     codes: np.ndarray
-    bits: np.ndarray
-    own: np.ndarray
     weights: np.ndarray
     bias: float
     scale: tuple[float, ...]
 
-    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, landmark, normalised kernel) of the pairs that share half of the landmark's letter pairs."""
-        codes = _codes(words)
-        bits = _pair_bits(codes)
-        need = np.maximum(1, (np.bitwise_count(self.bits).sum(axis=1) + 1) // 2)
-        shared = sum(np.bitwise_count(bits[:, None, k] & self.bits[None, :, k]) for k in range(4))
-        row, mark = np.nonzero(shared >= need[None, :])
-        values = np.zeros(len(row))
-        if len(row):
-            some = np.unique(row)
-            own = np.ones(len(words))
-            own[some] = kernel(codes[some], codes[some])
-            values = kernel(codes[row], self.codes[mark]) / np.sqrt(np.maximum(own[row] * self.own[mark], 1e-30))
-        return row, mark, values
+    def __post_init__(self) -> None:
+        self.letters = np.unique(self.codes[self.codes > 0])
+        parts = list(self._subsequences(self.codes))
+        empty = np.zeros((0, 1), np.int64)
+        self.keys, self.place = np.unique(np.vstack([empty, *[keys.reshape(-1, 1) for _, keys, _ in parts]]), return_inverse=True)
+        self.place = self.place.ravel()
+        self.mark = np.concatenate([empty.ravel(), *[np.repeat(rows, keys.shape[1]) for rows, keys, _ in parts]])
+        self.cost = np.concatenate([np.zeros(0), *[cost.ravel() for _, _, cost in parts]])
+
+    def _subsequences(self, codes: np.ndarray, slices: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, keys, costs) of the subsequences of words of equal length, about ``slices`` at a time.
+
+        Costs are divided by the root of the word's self-kernel. Letters that no landmark has
+        are one letter, 0.
+        """
+        place = np.minimum(np.searchsorted(self.letters, codes), max(0, len(self.letters) - 1))
+        known = (self.letters[place] == codes) if len(self.letters) else np.zeros(codes.shape, bool)
+        index, base = np.where(known, place + 1, 0).astype(np.int64), len(self.letters) + 1
+        lengths = (codes > 0).sum(axis=1)
+        for length in range(ORDER, LETTERS + 1):
+            at, factor = _places(length)
+            rows = np.flatnonzero(lengths == length)
+            for lo in range(0, len(rows), max(1, slices // len(at))):
+                some = rows[lo : lo + max(1, slices // len(at))]
+                keys = np.zeros((len(some), len(at)), dtype=np.int64)
+                for letter in range(ORDER):
+                    keys = keys * base + index[some][:, at[:, letter]]
+                own = kernel(codes[some, :length], codes[some, :length])
+                yield some, keys, factor / np.sqrt(own)[:, None]
+
+    def _rows(self, keys: np.ndarray) -> np.ndarray:
+        """Places of subsequences among those of the landmarks; the one after the last for all others."""
+        if not len(self.keys):
+            return np.zeros(keys.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, len(self.keys))
+
+    def features(self, words: list[str]) -> np.ndarray:
+        """Normalised kernel of each word with each landmark."""
+        out = np.zeros((len(words), len(self.codes)))
+        shares = np.zeros((len(self.keys) + 1, len(self.codes)))
+        np.add.at(shares, (self.place, self.mark), self.cost)
+        for some, keys, cost in self._subsequences(_codes(words), 1 << 14):
+            out[some] = np.einsum("nt,ntm->nm", cost, shares[self._rows(keys)])
+        return out
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word of letters."""
         out = np.full(len(words), self.bias)
-        for lo in range(0, len(words), 4096):
-            row, mark, value = self.features(words[lo : lo + 4096])
-            np.add.at(out, lo + row, value * self.weights[mark])
+        heights = np.bincount(self.place, self.cost * self.weights[self.mark], len(self.keys) + 1)
+        for some, keys, cost in self._subsequences(_codes(words)):
+            out[some] += (heights[self._rows(keys)] * cost).sum(axis=1)
         return out
 
 
@@ -143,9 +173,11 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     for _ in range(40):
-        active = y * (x @ w) < 1
-        xa, wa = x[active], weight[active]
-        step = np.linalg.solve((xa * wa[:, None]).T @ xa + penalty, (xa * wa[:, None]).T @ y[active])
+        pull = np.where(y * (x @ w) < 1, weight, 0.0)
+        curve = penalty.copy()
+        for lo in range(0, len(x), 4096):
+            curve += (x[lo : lo + 4096] * pull[lo : lo + 4096, None]).T @ x[lo : lo + 4096]
+        step = np.linalg.solve(curve, x.T @ (pull * y))
         if np.abs(step - w).max() < 1e-9:
             break
         w = step
@@ -153,21 +185,12 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def _first_model(strings: list[str]) -> Model:
-    codes = _codes(strings)
-    return Model(codes, _pair_bits(codes), kernel(codes, codes), np.zeros(len(strings)), -1.0, EVEN)
-
-
-def _dense(model: Model, words: list[str]) -> np.ndarray:
-    out = np.zeros((len(words), len(model.codes)))
-    for lo in range(0, len(words), 4096):
-        row, mark, value = model.features(words[lo : lo + 4096])
-        out[lo + row, mark] = value
-    return out
+    return Model(_codes(strings), np.zeros(len(strings)), -1.0, EVEN)
 
 
 def fit_words(suspects: list[tuple[str, int, int]], toxic: list[str], clean: list[tuple[str, int]]) -> Model:
     """Model from suspect strings (with their counts), words of toxic sentences, and words of clean sentences."""
-    nothing = Model(np.zeros((0, LETTERS), np.uint32), np.zeros((0, 4), np.uint64), np.zeros(0), np.zeros(0), -1.0, EVEN)
+    nothing = _first_model([])
     names = [s for s, _, _ in suspects]
     known = set(names)
     positive = sorted({w for w in toxic if any(w[:n] in known for n in range(4, len(w) + 1))})
@@ -183,7 +206,7 @@ def fit_words(suspects: list[tuple[str, int, int]], toxic: list[str], clean: lis
     top = [w for w in positive if len(w) > 4][:: max(1, len(positive) // 300)]
     hidden = sorted({w[:k] + "x" + w[k:] for w in top for k in range(1, len(w), 2)} | {w[:k] + w[k + 1 :] for w in top for k in range(2, len(w) - 1, 3) if len(w) > 5})
     if negative:  # clean words nearest to them keep the machine from reaching too far
-        near = _dense(_first_model(marks), negative).max(axis=1)
+        near = _first_model(marks).features(negative).max(axis=1)
         marks += [negative[i] for i in np.argsort(-near, kind="stable")[: LANDMARKS - len(marks)] if near[i] > 0]
     marks = list(dict.fromkeys(marks))
     model = _first_model(marks)
@@ -191,12 +214,11 @@ def fit_words(suspects: list[tuple[str, int, int]], toxic: list[str], clean: lis
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-6
     root = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
-    good, bad = np.vstack([_dense(model, positive), _dense(model, hidden)]), _dense(model, negative)
-    # Words that share nothing with any landmark are all alike: one row of zeros stands for them.
-    bad = np.vstack([bad[bad.any(axis=1)], np.zeros((1, len(marks)))])
-    x = np.vstack([good, bad]) @ root
-    y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
-    shares = np.concatenate([np.full(len(positive), 1 / len(positive)), np.full(len(hidden), 0.5 / max(1, len(hidden))), np.full(len(bad) - 1, 3 / max(1, len(bad) - 1)), [1.0]])
+    # The last row, of zeros, is a word that shares nothing with any landmark.
+    x = np.vstack([model.features(positive + hidden + negative) @ root, np.zeros((1, len(marks)))])
+    n_good, n_bad = len(positive) + len(hidden), len(negative)
+    y = np.concatenate([np.ones(n_good), -np.ones(n_bad + 1)])
+    shares = np.concatenate([np.full(len(positive), 1 / len(positive)), np.full(len(hidden), 0.5 / max(1, len(hidden))), np.full(n_bad, 3 / max(1, n_bad)), [1.0]])
     weights, bias = _machine(x, y, shares * 100)
     model.weights, model.bias = root @ weights, min(bias, -0.2)
     return model

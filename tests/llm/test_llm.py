@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 pytest.importorskip("packloom.llm")
@@ -115,6 +116,20 @@ def test_kernel_is_the_subsequence_kernel():
     assert got == pytest.approx([slow(a, b) for a, b in pairs])
 
 
+def test_features_are_all_kernel_values():
+    """Every value, small ones included; words under three letters and letters no landmark has count as they do in the kernel."""
+    marks = ["idiot", "abcabcabc", "worthless", "ß", "é日本語"]
+    words = ["idiot", "i", "", "zzz", "tabcot", "aabbcc", "日本x語", "worth" * 4, "x" * 24, *marks]
+    model = string_kernel._first_model(marks)
+    model.weights, model.bias = np.array([3.0, -1.0, 0.5, 7.0, 2.0]), -0.25
+    one = lambda a, b: float(string_kernel.kernel(string_kernel._codes([a]), string_kernel._codes([b]))[0])
+    want = [[one(w, m) / max((one(w, w) * one(m, m)) ** 0.5, 1e-30) for m in marks] for w in words]
+    assert model.features(words) == pytest.approx(np.array(want))
+    assert model.margins(words).tolist() == pytest.approx([sum(v * h for v, h in zip(row, model.weights)) + model.bias for row in want])
+    empty = string_kernel._first_model([])
+    assert empty.features(["idiot"]).shape == (1, 0) and empty.margins(["idiot", ""]).tolist() == [-1.0, -1.0]
+
+
 def test_toxicity_held_out(spark):
     folder = f"{ROOT}/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
