@@ -158,8 +158,9 @@ class Model:
         """Margin of each word of letters."""
         out = np.full(len(words), self.bias)
         heights = np.bincount(self.place, self.cost * self.weights[self.mark], len(self.keys) + 1)
-        for some, keys, cost in self._subsequences(_codes(words)):
-            out[some] += (heights[self._rows(keys)] * cost).sum(axis=1)
+        for lo in range(0, len(words), 4096):
+            for some, keys, cost in self._subsequences(_codes(words[lo : lo + 4096])):
+                out[lo + some] += (heights[self._rows(keys)] * cost).sum(axis=1)
         return out
 
 
