@@ -91,3 +91,24 @@ def test_toxicity_reaches_what_the_readme_says(spark):
     toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
     assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic)
     assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+
+
+def test_training_holds_a_block_of_word_features_at_a_time():
+    """The features of 12,000 words, 25 MB, are never in memory whole, and the machine is the same."""
+    import random
+    import tracemalloc
+
+    from packloom.llm import string_kernel
+
+    draw = random.Random(5)
+    clean = sorted({"".join(draw.choices("etaoinsrhld", k=draw.randint(4, 9))) for _ in range(12_500)} - {"kaput", "kaputt"})[:12_000]
+    suspects = [(w, 9, 0) for w in ("kaputt", "wirdkub", "fobkaw")]
+    tracemalloc.start()
+    try:
+        model = string_kernel.fit_words(suspects, [w for w, _, _ in suspects], [(w, 1) for w in clean])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.codes) > 200
+    assert peak < 40e6
+    assert min(model.margins([w for w, _, _ in suspects])) > max(model.margins(clean[:500]))
