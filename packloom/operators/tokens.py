@@ -28,8 +28,11 @@ WORD_PATTERN = (
     r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*"
     r"|\s*[\r\n]+|\s+(?!\S)|\s+"
 )
-# Words a worker remembers; older ones are forgotten first.
-WORD_MEMORY = 1 << 20
+# Words a worker remembers, some 400 bytes each; older ones are forgotten first. Longer words
+# than REMEMBERED characters are encoded each time, so that the memory has a size.
+WORD_MEMORY, REMEMBERED = 1 << 18, 64
+# Words (of an encoding) or ids (of a decoding) that a worker handles at a time, whole texts at least.
+SLICE = 1 << 18
 
 
 @F.pandas_udf(StringType())
@@ -97,28 +100,41 @@ def _encoder(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[st
     def make():
         ranks, codes, alphabet = tables.value
 
-        @lru_cache(WORD_MEMORY)
-        def encode(word: str) -> tuple[int, ...]:
+        def fresh(word: str) -> tuple[int, ...]:
             symbols = _merge_word([alphabet[b] for b in word.encode("utf-8")], ranks)
             return tuple([codes.get(s, unk) for s in symbols])
 
-        return encode
+        known = lru_cache(WORD_MEMORY)(fresh)
+        return lambda word: known(word) if len(word) <= REMEMBERED else fresh(word)
 
     return make
 
 
+def _slices(lists: pa.ListArray, most: int = SLICE) -> Iterator[pa.ListArray]:
+    """Consecutive rows that hold about ``most`` elements together; one row at least."""
+    offsets, lo = lists.offsets.to_numpy(), 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        yield lists.slice(lo, hi - lo)
+        lo = hi
+
+
 def _encode_batch(texts: pa.ListArray, encode: Callable[[str], tuple[int, ...]]) -> pa.ListArray:
-    """Ids of texts given as word lists: each distinct word of the batch is encoded once, its
+    """Ids of texts given as word lists: each distinct word of the slice is encoded once, its
     ids are gathered for every use by array arithmetic. The lists hold no NULLs."""
     used = texts.flatten().dictionary_encode()
     coded = [encode(word) for word in used.dictionary.to_pylist()]
     sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
     values = np.fromiter(chain.from_iterable(coded), dtype=np.int64, count=int(sizes.sum()))
     word = used.indices.to_numpy(zero_copy_only=False)
-    n_ids = sizes[word]
-    ends = np.concatenate([[0], np.cumsum(n_ids)])
-    first = (np.cumsum(sizes) - sizes)[word]
-    taken = values[np.repeat(first - ends[:-1], n_ids) + np.arange(ends[-1])]
+    ends = np.concatenate([[0], np.cumsum(sizes[word])])
+    first = np.cumsum(sizes) - sizes
+    taken = np.empty(ends[-1], dtype=np.int64)
+    # The places of the ids are made for some words at a time: a single text may be long.
+    for lo in range(0, len(word), SLICE):
+        some, n_ids = word[lo : lo + SLICE], sizes[word[lo : lo + SLICE]]
+        a, b = ends[lo], ends[min(lo + SLICE, len(word))]
+        taken[a:b] = values[np.repeat(first[some] - ends[lo : lo + len(some)], n_ids) + np.arange(a, b)]
     bounds = texts.offsets.to_numpy()
     return pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]], pa.int32()), pa.array(taken))
 
@@ -134,7 +150,8 @@ def bpe_encode(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Mapping[
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = make()
         for batch in batches:
-            yield _encode_batch(batch, encode)
+            for texts in _slices(batch):
+                yield _encode_batch(texts, encode)
 
     words = F.coalesce(pretokens(nfc(F.col(text))), F.array().cast("array<string>"))
     return spread(df).withColumn(out, ids(words)).withColumn("n_tokens", F.size(out).cast("bigint"))
@@ -157,6 +174,13 @@ def word_dictionary(df: DataFrame, merges: Sequence[tuple[str, str]], vocab: Map
     return counted.withColumn("ids", ids(F.col("word")))
 
 
+def _arrays(rows: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """Each row's numbers, None for a NULL row; a NULL inside a row becomes NaN."""
+    values, bounds = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+    for known, a, b in zip(rows.is_valid().to_pylist(), bounds, bounds[1:]):
+        yield values[a:b] if known else None
+
+
 def bpe_decode(df: DataFrame, vocab: Mapping[str, int], ids: str = "ids", out: str = "text") -> DataFrame:
     """Text of token ids; broken byte runs show the replacement character.
 
@@ -166,10 +190,12 @@ def bpe_decode(df: DataFrame, vocab: Mapping[str, int], ids: str = "ids", out: s
     known = {i: bytes(back[c] for c in s if c in back) for s, i in vocab.items()}
     table = df.sparkSession.sparkContext.broadcast(known)
 
-    @F.pandas_udf(StringType())
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(StringType())
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = table.value
         for batch in batches:
-            yield batch.map(lambda xs: b"".join([pieces[i] for i in xs]).decode("utf-8", "replace"), na_action="ignore")
+            for rows in _slices(batch):
+                texts = (None if xs is None else b"".join([pieces[i] for i in xs.tolist()]).decode("utf-8", "replace") for xs in _arrays(rows))
+                yield pa.array(texts, pa.string())
 
     return df.withColumn(out, decode(F.col(ids)))

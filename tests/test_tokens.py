@@ -111,3 +111,18 @@ def test_batches_of_words_like_single_words():
     assert _encode_batch(whole.slice(2), encode).to_pylist() == want[2:]
     assert _encode_batch(whole.slice(1, 1), encode).to_pylist() == [[]]
     assert _encode_batch(whole.slice(0, 0), encode).to_pylist() == []
+
+
+def test_batches_are_cut_by_elements_and_long_words_are_not_kept(spark, monkeypatch):
+    """A batch of many words is handled in slices of whole texts, a long text in slices of words."""
+    import pyarrow as pa
+
+    lists = pa.array([["a"] * n for n in (3, 0, 2, 9, 1, 0)], pa.list_(pa.string()))
+    cuts = [[len(x) for x in part.to_pylist()] for part in tk._slices(lists.slice(1), 4)]
+    assert sum(cuts, []) == [0, 2, 9, 1, 0] and all(sum(c) <= 4 or len(c) == 1 for c in cuts)
+    monkeypatch.setattr(tk, "SLICE", 5)
+    words = [["ab", "c", "", "é"] * 4, ["c"], []]
+    assert tk._encode_batch(pa.array(words, pa.list_(pa.string())), lambda w: tuple(w.encode())).to_pylist() == [list("".join(w).encode()) for w in words]
+    df = spark.createDataFrame([("x" * 5000 + " then",)], "text string")
+    make = tk._encoder(df, MERGES, VOCAB, -1)
+    assert list(make()("x" * 5000)) == slow_ids("x" * 5000)
