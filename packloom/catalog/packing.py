@@ -13,7 +13,7 @@ from ..operators.registry import read_config, register_source
 from ..operators.segments import sample_lengths
 from ..plans.mixture import training_feed
 from ..plans.training import training_records
-from ..session import staged
+from ..session import spread, staged
 from .cleaning import duck_quotes, duck_strip
 from .core import Tables, query
 from .sampling import duck_u, shuffled
@@ -353,17 +353,22 @@ FROM (SELECT *, unnest(generate_series(0, cols - 1)) AS c FROM (SELECT *, h::big
 
 
 def _position_sums(t: Tables, interpolate: bool) -> DataFrame:
+    # The rows are few bytes and the positions made from them many: every core gets images,
+    # and the positions of an image are summed where they are made, never rows of their own.
     size = resized(F.col("width"), F.col("height"), TRAIN_VAE)
-    sized = t["images"].select("image_id", size.alias("s"))
-    ids = ly.patch_positions(F.col("s.height"), F.col("s.width"), 16, 64, interpolate)
+    sized = spread(t["images"].select("image_id", "width", "height")).select("image_id", size.alias("s"))
+    ids = sized.select("image_id", ly.patch_positions(F.col("s.height"), F.col("s.width"), 16, 64, interpolate).alias("ids"))
+    summed = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return (
-        sized.select("image_id", F.posexplode(ids).alias("slot", "position"))
-        .groupBy("image_id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("position").alias("total"),
-            F.sum((F.col("slot") + 1) * F.col("position")).alias("ordered"),
+        ids.select(
+            "image_id",
+            F.when(F.col("ids").isNotNull(), F.size("ids")).cast("bigint").alias("n"),
+            summed(F.col("ids")).alias("total"),
+            summed(F.transform("ids", lambda x, i: (i + 1) * x)).alias("ordered"),
         )
+        .groupBy("image_id")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "total", "ordered")])
+        .where("n > 0")
     )
 
 

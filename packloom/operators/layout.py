@@ -207,6 +207,9 @@ def patch_positions(height: Column, width: Column, patch: int, side: int, interp
         line = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
         return F.transform(line, lambda i: F.call_function("div", i * side, n)) if interpolate else line
 
+    if not interpolate:  # the places of a row are consecutive
+        ends = lambda r: F.sequence(r * side, r * side + cols - 1)
+        return F.flatten(F.transform(places(rows), lambda r: F.when(cols > 0, ends(r)).otherwise(F.array().cast("array<bigint>"))))
     # Row and column places are bound once per image, then only added.
     grid = F.array(F.struct(F.transform(places(rows), lambda r: r * side).alias("r"), places(cols).alias("c")))
     return F.get(F.transform(grid, lambda g: F.flatten(F.transform(g["r"], lambda r: F.transform(g["c"], lambda c: r + c)))), 0)

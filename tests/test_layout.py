@@ -168,3 +168,27 @@ def test_stretched_patches_like_float_buckets(spark):
         rows = np.searchsorted(bounds, np.arange(h) / h + 1e-12, side="right")
         cols = np.searchsorted(bounds, np.arange(w) / w + 1e-12, side="right")
         assert got[(h, w)] == (rows[:, None] * side + cols).flatten().tolist()
+
+
+@pytest.mark.parametrize("name", ["patch_positions", "patch_positions_stretched"])
+def test_position_sums_move_no_patch_rows(spark, name):
+    """Positions are summed where they are made; images of one id count together."""
+    from packloom.catalog import QUERIES
+
+    class T(dict):
+        spark = None
+
+    sizes = [(1, 640, 480), (1, 640, 480), (2, 300, 900)]
+    images = spark.createDataFrame(sizes, "image_id bigint, width int, height int")
+    df = QUERIES[name](T(images=images))
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.image_id: r for r in df.collect()}
+    assert set(got) == {1, 2} and got[1].n % 2 == 0
+    once = {r.image_id: r for r in QUERIES[name](T(images=images.distinct())).collect()}
+    assert [2 * x for x in once[1][1:]] == list(got[1][1:])
+
+
+def test_positions_of_missing_sides_are_none(spark):
+    df = spark.createDataFrame([(32, 48), (None, 48), (32, None), (8, 48), (48, 8)], "h int, w int")
+    rows = [r.p for r in df.select(ly.patch_positions(F.col("h"), F.col("w"), 16, 64).alias("p")).collect()]
+    assert rows == [[0, 1, 2, 64, 65, 66], [], [], [], []]
