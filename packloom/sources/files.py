@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.draws import digest
 from ..operators.rank import even_chunks
 from ..session import child_folders
 
+COMPARED = 256  # chunks at most whose rows are told apart by comparison
+
 
 def list_files(spark: SparkSession, dirs: Sequence[str], suffix: str = ".parquet") -> DataFrame:
     """Files of the folders (local, HDFS, any Hadoop path): ``path, length``.
@@ -74,15 +77,33 @@ def lost_report(ledger: DataFrame) -> DataFrame:
     )
 
 
+def _chunked(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """Rows with their ``chunk`` (see ``even_chunks``) and ``_place``, which sorts them in it, ties by key.
+
+    Keys alone are ranked. Every chunk is a range of digests, so rows find theirs by
+    comparison with the n - 1 digests where chunks begin, and do not move for it. Where a
+    chunk begins between equal digests (repeated keys), or for very many chunks, whole rows
+    are ranked.
+    """
+    ends = []
+    if n <= COMPARED:
+        placed = even_chunks(df.select(key), key, n, seed).withColumn("_digest", digest(seed, F.col(key)))
+        ends = placed.groupBy("chunk").agg(F.min("_digest").alias("low"), F.max("_digest").alias("high")).orderBy("chunk").collect()
+    if n > COMPARED or any(a.high == b.low for a, b in zip(ends, ends[1:])):
+        return even_chunks(df, key, n, seed, chunk="chunk", position="_place")
+    begun = F.array(*[F.lit(row.low) for row in ends[1:]]).cast("array<string>")
+    chunk = F.size(F.filter(begun, lambda low: low <= F.col("_place"))).cast("bigint")
+    return df.withColumn("_place", digest(seed, F.col(key))).withColumn("chunk", chunk)
+
+
 def write_shards(df: DataFrame, path: str, n: int, key: str, seed: int = 42, mode: str = "errorifexists") -> None:
     """Exactly n Parquet shards ``chunk=i`` of near-equal size, rows in seeded order.
 
-    One exchange brings each chunk to one task, which sorts and writes it. More hash
-    partitions than chunks keep two chunks from often meeting in one task.
+    One exchange brings each chunk to a task of its own, which sorts and writes it.
     """
-    chunks = even_chunks(df, key, n, seed, chunk="chunk", position="_position")
-    ordered = chunks.repartition(4 * n, "chunk").sortWithinPartitions("chunk", "_position")
-    hidden = [c for c in ("_position", key) if c.startswith("_")]
+    chunks = _chunked(df, key, n, seed)
+    ordered = chunks.repartitionById(n, F.col("chunk").cast("int")).sortWithinPartitions("chunk", "_place", key)
+    hidden = [c for c in ("_place", key) if c.startswith("_")]
     ordered.drop(*hidden).write.mode(mode).partitionBy("chunk").parquet(path)
     spark = df.sparkSession
     written = set(child_folders(spark, path))

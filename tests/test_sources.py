@@ -169,3 +169,41 @@ def test_workers_find_the_package_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "rows 3" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("keys", ["id", "cast(id % 5 as string)", "cast('x' as string)"])
+def test_every_shard_is_one_task_and_rows_move_once(spark, tmp_path, monkeypatch, keys):
+    """Shards are those of ranking whole rows; only keys are ranked unless a shard begins between equal keys."""
+    ranked = []
+    monkeypatch.setattr(fi, "even_chunks", lambda df, *a, _of=fi.even_chunks, **k: ranked.append(df.columns) or _of(df, *a, **k))
+    df = spark.range(1000).select(F.expr(keys).alias("k"), F.repeat(F.lit("x"), 50).alias("text"))
+    fi.write_shards(df, str(tmp_path / "s"), 6, "k", seed=3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    sizes = {r.chunk: r["count"] for r in back.groupBy("chunk").count().collect()}
+    assert [sizes[i] for i in range(6)] == [167] * 4 + [166] * 2
+    assert ranked == [["k"]] if keys == "id" else ranked == [["k"], ["k", "text"]]
+    want = fi.even_chunks(df, "k", 6, 3)
+    assert sorted((r.chunk, r.k) for r in back.collect()) == sorted((r.chunk, r.k) for r in want.collect())
+    for i in range(6):
+        assert len(list((tmp_path / "s" / f"chunk={i}").glob("*.parquet"))) == 1
+    rows = fi._chunked(spark.range(1000), "id", 6, 3)
+    tasks = rows.repartitionById(6, F.col("chunk").cast("int")).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("chunk").alias("n")).collect()
+    assert [r.n for r in tasks] == [1] * 6
+
+
+def test_staged_files_are_written_by_the_tasks_that_read(spark, tmp_path, monkeypatch):
+    """read_records deals its rows to no fixed number of files; lost_files brings only the German rows to one task."""
+    from packloom.catalog import QUERIES, Tables
+
+    d = tmp_path / "in"
+    rows = [(i, "text " * 20, ["en", "de", "fr"][i % 3], "s", 100) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(12).write.parquet(str(d / "documents.parquet"))
+    dealt = []
+    real = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda df, *a: dealt.append((a, df.count())) or real(df, *a))
+    assert QUERIES["read_records"](Tables(spark, str(d))).count() == 300
+    assert dealt == []
+    got = {r.reason: (r.n_files, r.n_rows) for r in QUERIES["lost_files"](Tables(spark, str(d))).collect()}
+    assert got == {"cut_off": (1, 100), "no_rows": (2, None)}
+    assert dealt == [((1,), 100)]
