@@ -14,7 +14,6 @@ from .core import query
 from .evaluation import REPORT, STEPS, scored
 
 FIELDS = ["instruction", "reasoning", "rules", "original_image_path", "edited_image_path"]
-STAGED_FILES = 4
 
 
 def _texts(columns) -> StructType:
@@ -24,7 +23,7 @@ def _texts(columns) -> StructType:
 @query("read_records", f"SELECT {', '.join(FIELDS)} FROM samples", "samples")
 def _(t):
     path = work_folder(t.spark, "records")
-    t["samples"].select(*FIELDS).repartition(STAGED_FILES).write.json(path)
+    t["samples"].select(*FIELDS).write.json(path)
     return rc.read_records(t.spark, path)
 
 
