@@ -25,6 +25,8 @@ from ..session import child_folders, drop_folder
 
 # Scores are summed as decimals, so that taking one back leaves nothing behind.
 EXACT = "decimal(28,10)"
+# Buckets of keys of the running report, fixed for a checkpoint; 10 million keys are 600 a bucket.
+BUCKETS = 1 << 14
 
 
 def read_stream(spark: SparkSession, source: str, schema: StructType, fmt: str = "parquet", max_files: int = 10) -> DataFrame:
@@ -77,32 +79,45 @@ def read_results(spark: SparkSession, checkpoint: str, schema: StructType, key:
     return state.select(F.col("key")[key].alias(key), *[F.col("value")[latest][c].alias(c) for c in names]).select(*schema.fieldNames())
 
 
-def score_changes(rows: DataFrame, key: str = "item_key", seq: str = "seq", name: str = "name", score: str = "score") -> DataFrame:
+def score_changes(
+    rows: DataFrame, key: str = "item_key", seq: str = "seq", name: str = "name", score: str = "score", buckets: int = BUCKETS
+) -> DataFrame:
     """(name, score, scored, counted): what each key's batch takes from one name and adds to another.
 
     Per key the state holds ``seq``, name and score of the row that counts. A key whose row
     does not change sends nothing; one that changes its score only sends the difference in
     two rows, minus the old one and plus the new one.
+
+    Python is called once per bucket of keys and batch, not once per key: a bucket's state is
+    one row with an array per column, written when a key of the bucket changes. Keys are held
+    as text.
     """
-    one = rows.select(F.col(key).alias("key"), F.col(seq).cast("bigint").alias("seq"), F.col(name).alias("name"), F.col(score).cast(EXACT).alias("score"))
+    text = F.col(key).cast("string")
+    one = rows.select(F.pmod(F.xxhash64(text), F.lit(buckets)).alias("bucket"), text.alias("key"), F.col(seq).cast("bigint").alias("seq"), F.col(name).alias("name"), F.col(score).cast(EXACT).alias("score"))
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = tuple(state.get) if state.exists else None
+        held = {k: row for k, *row in zip(*state.get)} if state.exists else {}
         rank = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "", r[2] is not None, r[2] or Decimal(0))
-        found = [(None if pd.isna(s) else int(s), n, None if pd.isna(x) else x) for part in parts for s, n, x in zip(part["seq"], part["name"], part["score"])]
-        new = max(([old] if old else []) + found, key=rank)
+        new: dict[str | None, list] = {}
+        for part in parts:
+            for k, s, n, x in zip(part["key"], part["seq"], part["name"], part["score"]):
+                row = [None if pd.isna(s) else int(s), n, None if pd.isna(x) else x]
+                last = new[k] if k in new else held.get(k)
+                if last is None or rank(row) > rank(last):
+                    new[k] = row
         out = []
-        if new != old:
-            state.update(new)
-            for row, sign in ((old, -1), (new, 1)):
-                if row is not None:
-                    out.append((row[1], sign * (row[2] if row[2] is not None else Decimal(0)), sign * int(row[2] is not None), sign))
+        for k, row in new.items():
+            for (_, n, x), sign in (([(held[k], -1)] if k in held else []) + [(row, 1)]):
+                out.append((n, sign * (x if x is not None else Decimal(0)), sign * int(x is not None), sign))
+        if new:
+            held.update(new)
+            state.update((list(held), *map(list, zip(*held.values()))))
         yield pd.DataFrame(out, columns=["name", "score", "scored", "counted"])
 
-    state = f"seq bigint, name string, score {EXACT}"
+    state = f"keys array<string>, seqs array<bigint>, names array<string>, scores array<{EXACT}>"
     # Sequence numbers travel as text: pandas would turn a bigint with NULLs into doubles.
     one = one.withColumn("seq", F.col("seq").cast("string"))
-    return one.groupBy("key").applyInPandasWithState(
+    return one.groupBy("bucket").applyInPandasWithState(
         step, f"name string, score {EXACT}, scored bigint, counted bigint", state, "update", GroupStateTimeout.NoTimeout
     )
 
