@@ -27,15 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from .words import kept, text_slices
+
 # Bytes of words, with their ids, that one worker remembers between batches.
-MEMORY_BYTES = 192 << 20
+MEMORY_BYTES = 96 << 20
 # A longer word is replayed whenever it comes, not remembered.
 REMEMBERED_WORD = 256
 # Blanks with the word after them. No match of the split pattern of the public byte-level
 # vocabularies goes on from a non-blank to a blank, so it never reaches across these.
 SEGMENTS = r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+"
-# New words of a batch are replayed in groups of about so many bytes.
-GROUP_BYTES = 1 << 20
+# New words are replayed in groups of about so many bytes; the lists of a replay take some 200 bytes per byte.
+GROUP_BYTES = 1 << 18
+# Texts are cut into pieces in slices of about so many characters; the pieces take some 20 bytes per character.
+SLICE_CHARS = 1 << 18
 
 
 def parse_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -184,6 +188,9 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [ids for some in text_slices(texts, SLICE_CHARS) for ids in self._encode(some)]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.cut(text) if text else [] for text in texts]
         met = set().union(*cut)
         ids = self.learn(met.difference(self.known))
@@ -200,16 +207,9 @@ class Encoder:
         return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder_of(ranks: Mapping[bytes, int], pattern: str, segments: str | None, name: str) -> Encoder:
     """This worker's encoder of a vocabulary, named by its digest."""
-    key = (name, pattern, segments)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks, pattern, segments)
-    return _ENCODERS[key]
+    return kept((name, pattern, segments), lambda: Encoder(ranks, pattern, segments))
 
 
 def digest_of(ranks: Mapping[bytes, int]) -> str:

@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from ..session import staged
 from .stages import components
-from .words import WordBatch, mixed, word_batches
+from .words import WordBatch, forget, mixed, word_batches
 
 SHINGLE, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 600
 BLOCK = 128  # texts of a core that one task holds of either side
@@ -80,6 +80,7 @@ def _signer(bands: int, rows: int):
     salts = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids, digests, signatures = batch.column(0).to_pylist(), [], []
             for lo, hi, words in word_batches(batch.column(1)):
