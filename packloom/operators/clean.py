@@ -47,17 +47,19 @@ def skip_reasons(
 
     ``reason`` is NULL, ``parse_failures``, ``missing_fields`` or ``missing_images``, the
     earlier test winning; ``missing_path`` is the missing file reported, the *before*
-    image first. Without a manifest no file is looked for.
+    image first. Without a manifest no file is looked for. The texts are tested before the
+    files are joined, so they move with the paths only where the caller selects them.
     """
+    lacking = ~tx.present(F.col(required[0]))
+    for c in required[1:]:
+        lacking = lacking | ~tx.present(F.col(c))
+    df = df.withColumn("_lacking", lacking)
     if manifest is None:
         flagged = df.withColumns({f"{c}_exists": F.lit(True) for c in (before, after)})
     else:
         flagged = file_flags(df, manifest, [before, after])
-    lacking = ~tx.present(F.col(required[0]))
-    for c in required[1:]:
-        lacking = lacking | ~tx.present(F.col(c))
     no_before, no_after = ~F.col(f"{before}_exists"), ~F.col(f"{after}_exists")
-    reason = F.when(lacking, "missing_fields").when(no_before | no_after, "missing_images")
+    reason = F.when(F.col("_lacking"), "missing_fields").when(no_before | no_after, "missing_images")
     if parsed_ok:
         reason = F.when(~F.col(parsed_ok), "parse_failures").otherwise(reason)
     return (
@@ -66,7 +68,7 @@ def skip_reasons(
             "missing_path",
             F.when(F.col("reason") == "missing_images", F.when(no_before, F.col(before)).otherwise(F.col(after))),
         )
-        .drop(f"{before}_exists", f"{after}_exists")
+        .drop("_lacking", f"{before}_exists", f"{after}_exists")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -77,32 +77,52 @@ def lost_report(ledger: DataFrame) -> DataFrame:
     )
 
 
-def _chunked(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+def marked(df: DataFrame, skipped: DataFrame, key: str, skip: str = "_skip") -> DataFrame:
+    """Rows and a mark (``skip``, the other columns NULL) for each key of ``skipped``, to be brought together by the caller's exchange."""
+    marks = skipped.select(key).where(F.col(key).isNotNull()).withColumn(skip, F.lit(True))
+    return df.withColumn(skip, F.lit(False)).unionByName(marks, allowMissingColumns=True)
+
+
+def unmarked(df: DataFrame, *keys: str, skip: str = "_skip") -> DataFrame:
+    """Rows of ``marked`` whose keys have no mark; for tables that lie together by some of the keys already."""
+    found = df.withColumn(skip, F.max(skip).over(Window.partitionBy(*keys)))
+    return found.where(~F.col(skip)).drop(skip)
+
+
+def _chunked(df: DataFrame, key: str, n: int, seed: int, skipped: DataFrame | None = None) -> DataFrame:
     """Rows with their ``chunk`` (see ``even_chunks``) and ``_place``, which sorts them in it, ties by key.
 
-    Keys alone are ranked. Every chunk is a range of digests, so rows find theirs by
-    comparison with the n - 1 digests where chunks begin, and do not move for it. Where a
-    chunk begins between equal digests (repeated keys), or for very many chunks, whole rows
-    are ranked.
+    Keys alone are ranked, without those of ``skipped``. Every chunk is a range of digests,
+    so rows find theirs by comparison with the n - 1 digests where chunks begin, and do not
+    move for it; ``skipped`` comes as marks (see ``marked``). Where a chunk begins between
+    equal digests (repeated keys), or for very many chunks, whole rows are ranked.
     """
+    kept = lambda rows: rows if skipped is None else rows.join(skipped.select(key), key, "left_anti")
     ends = []
     if n <= COMPARED:
-        placed = even_chunks(df.select(key), key, n, seed).withColumn("_digest", digest(seed, F.col(key)))
+        placed = even_chunks(kept(df.select(key)), key, n, seed).withColumn("_digest", digest(seed, F.col(key)))
         ends = placed.groupBy("chunk").agg(F.min("_digest").alias("low"), F.max("_digest").alias("high")).orderBy("chunk").collect()
     if n > COMPARED or any(a.high == b.low for a, b in zip(ends, ends[1:])):
-        return even_chunks(df, key, n, seed, chunk="chunk", position="_place")
+        return even_chunks(kept(df), key, n, seed, chunk="chunk", position="_place")
     begun = F.array(*[F.lit(row.low) for row in ends[1:]]).cast("array<string>")
     chunk = F.size(F.filter(begun, lambda low: low <= F.col("_place"))).cast("bigint")
-    return df.withColumn("_place", digest(seed, F.col(key))).withColumn("chunk", chunk)
+    rows = df if skipped is None else marked(df, skipped, key)
+    return rows.withColumn("_place", digest(seed, F.col(key))).withColumn("chunk", chunk)
 
 
-def write_shards(df: DataFrame, path: str, n: int, key: str, seed: int = 42, mode: str = "errorifexists") -> None:
+def write_shards(
+    df: DataFrame, path: str, n: int, key: str, seed: int = 42, mode: str = "errorifexists", skipped: DataFrame | None = None
+) -> None:
     """Exactly n Parquet shards ``chunk=i`` of near-equal size, rows in seeded order.
 
-    One exchange brings each chunk to a task of its own, which sorts and writes it.
+    One exchange brings each chunk to a task of its own, which sorts and writes it. Rows
+    whose key is in ``skipped`` are left out; they are found in that task, not by a join.
     """
-    chunks = _chunked(df, key, n, seed)
-    ordered = chunks.repartitionById(n, F.col("chunk").cast("int")).sortWithinPartitions("chunk", "_place", key)
+    # By the very column, so that what stands together by chunk need not move again.
+    chunks = _chunked(df, key, n, seed, skipped).withColumn("chunk", F.col("chunk").cast("int")).repartitionById(n, F.col("chunk"))
+    if skipped is not None and "_skip" in chunks.columns:
+        chunks = unmarked(chunks, "chunk", "_place", key)
+    ordered = chunks.sortWithinPartitions("chunk", "_place", key)
     hidden = [c for c in ("_place", key) if c.startswith("_")]
     ordered.drop(*hidden).write.mode(mode).partitionBy("chunk").parquet(path)
     spark = df.sparkSession
