@@ -2,11 +2,12 @@
 
 A tokenizer's ranks say which byte strings are tokens and in which order neighbours are
 joined. Instead of running a merge loop per word, each task gathers the distinct words of
-its texts that its worker has not met before, lays their bytes out in one array, and keeps an
-inverted index from rank to the positions whose pair would make that token. Ranks are
-taken lowest first; one pass joins every place that holds the pair, and only the two
-neighbours of a joined place are looked up again. The words a worker remembers are bounded
-in bytes; forgetting one only means replaying it again.
+its texts that its worker has not met before and lays their bytes out in one array. Each
+pass over it joins the lowest-ranked pair of every word, and only the two neighbours of a
+joined place are looked up again. Words of many bytes, which would need many passes, go by
+an inverted index from rank to the positions whose pair would make that token; there ranks
+are taken lowest first. The words a worker remembers are bounded in bytes; forgetting one
+only means replaying it again.
 
 Encoding is map-only: texts are read once, nothing is shuffled, a lost task is run again.
 """
@@ -18,7 +19,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from heapq import heappop, heappush
-from struct import pack
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,18 @@ from .words import kept, text_slices
 MEMORY_BYTES = 96 << 20
 # A longer word is replayed whenever it comes, not remembered.
 REMEMBERED_WORD = 256
-# Blanks with the word after them. No match of the split pattern of the public byte-level
-# vocabularies goes on from a non-blank to a blank, so it never reaches across these.
-SEGMENTS = r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+"
+# Blanks with the word after them; Latin letters and digits end before ASCII punctuation, so a
+# word is not met anew with every mark behind it. No match of the split pattern of the public
+# byte-level vocabularies goes on from a non-blank to a blank, or from a letter or digit to
+# punctuation (an apostrophe is left with its word), so it never reaches across these.
+SEGMENTS = (
+    r"[^\S\x1c-\x1f]*+(?:[0-9A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\s!-&(-/:-@\[-`{-~])|[\S\x1c-\x1f]++)"
+    r"|[^\S\x1c-\x1f]+"
+)
 # New words are replayed in groups of about so many bytes; the lists of a replay take some 200 bytes per byte.
 GROUP_BYTES = 1 << 18
+# Words of more bytes are replayed by the index: a pass makes one join in a word and reads all of it.
+PASSED_WORD = 64
 # Texts are cut into pieces in slices of about so many characters; the pieces take some 20 bytes per character.
 SLICE_CHARS = 1 << 18
 
@@ -73,33 +81,103 @@ class Ranks:
         self.bytes_pairs = np.array(
             [[self.pairs.get(int(a) << self.shift | int(b), -1) for b in self.single] for a in self.single], dtype=np.int64
         )
-
-
-def replay(words: list[bytes], vocabulary: Ranks) -> list[list[int]]:
-    """Token ids of each word.
+        # The pairs once more as sorted arrays; the last entry is no pair.
+        keys = np.fromiter(self.pairs, dtype=np.int64, count=len(self.pairs))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.joined = np.append(np.fromiter(self.pairs.values(), dtype=np.int64, count=len(keys))[order], -1)
+
+    def joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of what each left and right token join to, -1 where they do not."""
+        wanted = left << self.shift | right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.joined[at], -1)
+
+    def opened(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The single bytes' tokens of all words, the rank of each with the next in its word (or -1), the words' ends."""
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ends = np.cumsum([len(word) for word in words])
+        ranks = np.full(len(data), -1, dtype=np.int64)
+        ranks[:-1] = self.bytes_pairs[data[:-1], data[1:]]
+        ranks[ends - 1] = -1
+        return self.single[data], ranks, ends
+
+
+def replay(words: list[bytes], vocabulary: Ranks) -> list[bytes]:
+    """Token ids of each word as little-endian 32-bit integers.
 
     The word is one token if it is in the vocabulary. Otherwise the lowest-ranked pair of
-    neighbours is joined, leftmost first, until no pair of neighbours is a token. Words do
-    not touch each other, so all words that hold a pair are served when its rank comes up.
-    A join can make a pair of a lower rank than its own; the index then goes back to it
-    before it continues, so the order inside every word is the loop's order.
+    neighbours is joined, leftmost first, until no pair of neighbours is a token.
     """
-    ranks, pairs, shift = vocabulary.ranks, vocabulary.pairs.get, vocabulary.shift
-    found: list[list[int]] = [[ranks[w]] if w in ranks else [] for w in words]
+    ranks = vocabulary.ranks
+    found = [ranks[w].to_bytes(4, "little") if w in ranks else b"" for w in words]
     cut = [k for k, word in enumerate(words) if word and not found[k]]
-    if not cut:
-        return found
-    data = np.frombuffer(b"".join([words[k] for k in cut]), dtype=np.uint8)
-    ends = np.cumsum([len(words[k]) for k in cut])
-    n = len(data)
-    parts = vocabulary.single[data].tolist()
+    for some, way in (([k for k in cut if len(words[k]) <= PASSED_WORD], by_passes), ([k for k in cut if len(words[k]) > PASSED_WORD], by_index)):
+        if some:
+            for k, ids in zip(some, way([words[k] for k in some], vocabulary)):
+                found[k] = ids
+    return found
+
+
+def by_passes(words: list[bytes], vocabulary: Ranks) -> list[bytes]:
+    """Token ids of words that are not empty; each pass makes the next join of every word."""
+    parts, rank_at, ends = vocabulary.opened(words)
+    lengths = np.diff(ends, prepend=0)
+    starts = ends - lengths
+    none = (1 << 31) - 1
+    rank_at[rank_at < 0] = none
+    open_words = np.arange(len(words))
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(open_words):
+        # The lowest rank of each word and, below it, the leftmost place that has it.
+        lowest = np.minimum.reduceat(rank_at << 32 | np.arange(len(parts)), starts)
+        rank, at = lowest >> 32, lowest & 0xFFFFFFFF
+        going = rank < none
+        if not going.all():
+            stay = np.repeat(going, lengths)
+            done.append((open_words[~going], lengths[~going], parts[~stay]))
+            at = (at - np.cumsum(np.where(going, 0, lengths)))[going]
+            parts, rank_at, rank, open_words, lengths = parts[stay], rank_at[stay], rank[going], open_words[going], lengths[going]
+            starts = np.cumsum(lengths) - lengths
+        parts[at] = rank
+        rank_at[at] = none
+        has_right, has_left = at + 2 < starts + lengths, at > starts
+        for here, left, right in (
+            (at[has_right], rank[has_right], parts[at[has_right] + 2]),
+            (at[has_left] - 1, parts[at[has_left] - 1], rank[has_left]),
+        ):
+            new = vocabulary.joins(left, right)
+            new[new < 0] = none
+            rank_at[here] = new
+        stay = np.ones(len(parts), dtype=bool)
+        stay[at + 1] = False
+        parts, rank_at = parts[stay], rank_at[stay]
+        lengths = lengths - 1
+        starts = starts - np.arange(len(starts))
+    raw = np.concatenate([x[2] for x in done]).astype("<u4").tobytes()
+    found = [b""] * len(words)
+    lo = 0
+    for k, hi in zip(chain.from_iterable(x[0].tolist() for x in done), (4 * np.cumsum(np.concatenate([x[1] for x in done]))).tolist()):
+        found[k] = raw[lo:hi]
+        lo = hi
+    return found
+
+
+def by_index(words: list[bytes], vocabulary: Ranks) -> list[bytes]:
+    """Token ids of words that are not empty, rank by rank over an inverted index.
+
+    Words do not touch each other, so all words that hold a pair are served when its rank
+    comes up. A join can make a pair of a lower rank than its own; the index then goes back
+    to it before it continues, so the order inside every word is the loop's order.
+    """
+    pairs, shift = vocabulary.pairs.get, vocabulary.shift
+    tokens, first_ranks, ends = vocabulary.opened(words)
+    n = len(tokens)
+    parts = tokens.tolist()
     # The next and the last part of the same word, -1 where there is none.
     following, previous = np.arange(1, n + 1), np.arange(-1, n - 1)
     following[ends - 1] = -1
     previous[[0, *ends[:-1]]] = -1
-    first_ranks = np.full(n, -1, dtype=np.int64)
-    first_ranks[:-1] = vocabulary.bytes_pairs[data[:-1], data[1:]]
-    first_ranks[ends - 1] = -1
     after, before, rank_at = following.tolist(), previous.tolist(), first_ranks.tolist()
     # Inverted index: rank -> places whose pair makes that token.
     order = np.argsort(first_ranks, kind="stable")
@@ -147,11 +225,13 @@ def replay(words: list[bytes], vocabulary: Ranks) -> list[list[int]]:
                     index[rank] = places[k + 1 :]
                     heappush(waiting, rank)
                 break
-    for k, i in zip(cut, [0, *ends[:-1].tolist()]):
-        ids = found[k]
+    found = []
+    for i in [0, *ends[:-1].tolist()]:
+        ids = []
         while i >= 0:
             ids.append(parts[i])
             i = after[i]
+        found.append(np.array(ids, dtype="<u4").tobytes())
     return found
 
 
@@ -169,41 +249,29 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.size = 0
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not remembered, in groups of bounded size."""
-        out: dict[str, bytes] = {}
-        group: dict[str, list[str]] = {}
-        size, left = 0, len(pieces)
-        for piece in pieces:
-            group[piece] = self.split(piece)
-            size += len(piece)
-            left -= 1
-            if size >= GROUP_BYTES or not left:
-                words = list(set().union(*group.values()))
-                ids = replay([w.encode() for w in words], self.vocabulary)
-                codes = {w: pack(f"<{len(x)}I", *x) for w, x in zip(words, ids)}
-                for seen, parts in group.items():
-                    out[seen] = codes[parts[0]] if len(parts) == 1 else b"".join([codes[w] for w in parts])
-                group, size = {}, 0
-        return out
+    def learn(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces that are not remembered with their ids, in groups of bounded size."""
+        for group in text_slices(pieces, GROUP_BYTES):
+            parts = list(map(self.split, group))
+            words = list(set().union(*parts))
+            codes = dict(zip(words, replay([w.encode() for w in words], self.vocabulary)))
+            yield from zip(group, [codes[x[0]] if len(x) == 1 else b"".join([codes[w] for w in x]) for x in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [ids for some in text_slices(texts, SLICE_CHARS) for ids in self._encode(some)]
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.cut(text) if text else [] for text in texts]
-        met = set().union(*cut)
-        ids = self.learn(met.difference(self.known))
-        short = {w: x for w, x in ids.items() if len(w) <= REMEMBERED_WORD}
+        met = list(set().union(*cut))
+        ids = dict(zip(met, map(self.known.get, met)))
+        new = dict(self.learn([w for w, x in ids.items() if x is None]))
+        ids.update(new)
         if self.size > MEMORY_BYTES:
-            self.known = {w: x for w, x in self.known.items() if w in met}
+            self.known = {w: x for w, x in ids.items() if w not in new and len(w) <= REMEMBERED_WORD}
             self.size = sum(len(w) + len(x) + 150 for w, x in self.known.items())
+        short = {w: x for w, x in new.items() if len(w) <= REMEMBERED_WORD}
         self.known.update(short)
         self.size += sum(len(w) + len(x) + 150 for w, x in short.items())
-        if len(short) < len(ids):
-            ids.update((w, self.known[w]) for w in met if w not in ids)
-        else:
-            ids = self.known
         return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 
 
@@ -305,11 +373,13 @@ def round_trip(df: DataFrame, ranks: Mapping[bytes, int], pattern: str, segments
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         encoder = encoder_of(ranks, pattern, segments, name)
-        tokens = dict(zip(ranks.values(), ranks.keys()))
+        tokens = np.empty(max(ranks.values()) + 1, dtype=object)
+        for token, rank in ranks.items():
+            tokens[rank] = token
         for batch in batches:
             rows = []
             for ids in encoder.encode(batch.column(1).to_pylist()):
-                back = b"".join(map(tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+                back = b"".join(tokens[np.frombuffer(ids, dtype="<u4")].tolist())
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
             n, a, b = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
