@@ -1,8 +1,9 @@
 """Exact top-k by integer inner product: every query against every candidate, by histograms.
 
 Vectors are rounded to integers and packed into blocks of one dimension and number type.
-Query blocks and candidate blocks meet in *cells* of a fixed number of blocks (a hash join
-on the cell; neither side is broadcast), and all scores of a pair of blocks are one matrix
+Query blocks and candidate blocks meet in *cells* of a fixed number of blocks (a merge join
+on the cell, asked for: each side is copied for its cells, which Spark's estimate of its size
+leaves out, so it would be broadcast), and all scores of a pair of blocks are one matrix
 product. No score is ever written. Each round counts, per query, the scores that fall into
 the bins of the range where its k-th value must lie; the counts are summed over the whole
 corpus and the range shrinks to the bin that holds the k-th value. When every query's bin
@@ -172,7 +173,7 @@ def _meet(q_blocks: DataFrame, c_blocks: DataFrame, state: DataFrame, cells: tup
         "dim", F.pmod("part", F.lit(down)).alias("down"), number(across).alias("across"),
         F.col("kind").alias("c_kind"), F.col("top").alias("c_top"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"),
     )
-    return q.join(c, ["dim", "down", "across"])
+    return q.join(c.hint("merge"), ["dim", "down", "across"])
 
 
 def top_k(

@@ -208,3 +208,18 @@ def test_top_k_of_empty_tables(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [0.5])], "vec_id bigint, embedding array<float>")
     assert tk.top_k(df.limit(0), df).collect() == [] == tk.top_k(df, df.limit(0)).collect()
     assert [tuple(r) for r in tk.top_k(df.where("vec_id = 1"), df).collect()] == [(1, 1, 2, 256 * 128)]
+
+
+def test_blocks_meet_once_and_their_copies_are_not_broadcast(spark, monkeypatch):
+    """Each side is copied for its cells, which Spark's estimate leaves out: at 600,000 vectors a broadcast of them ended the query."""
+    monkeypatch.setattr(tk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(tk, "CANDIDATE_ROWS", 10)
+    df = spark.createDataFrame([(i, [i / 100, 0.5, -0.25]) for i in range(100)], "vec_id bigint, embedding array<float>")
+    queries = tk.blocks(df.where("vec_id % 10 = 0"), "vec_id", "embedding", tk.SCALE, 3, "queries")
+    candidates = tk.blocks(df, "vec_id", "embedding", tk.SCALE, 10, "candidates")
+    state = queries.selectExpr("block as q_block", "0 as row", "0L as edge", "1L as span", "1L as want")
+    met = tk._meet(queries, candidates, state, (4, 3))
+    pairs = [(r.q_block, bytes(r.c_ids)) for r in met.collect()]
+    assert len(pairs) == len(set(pairs)) == queries.count() * candidates.count()
+    joins = [line for line in met._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "down" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
