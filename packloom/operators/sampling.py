@@ -84,10 +84,9 @@ def cycle_to(
         F.col(source).alias("_source"), path, "_at", "_len"
     )
     joined = wanted.join(ranked, F.col(source) == F.col("_source"), "left")
-    length = F.when(
-        F.col("_len").isNull(), F.raise_error(F.concat(F.lit("no files for source "), F.col(source))).cast("bigint")
-    ).otherwise(F.col("_len"))
-    last = F.floor((F.col(n) - 1 - F.col("_at")) / length)
+    # The check stands outside the division: an expression that is NULL whenever ``_at`` is would let the left join become an inner one.
+    missing = F.raise_error(F.concat(F.lit("no files for source "), F.col(source))).cast("bigint")
+    last = F.when(F.col("_len").isNull() & (F.col(n) > 0), missing).otherwise(F.floor((F.col(n) - 1 - F.col("_at")) / F.col("_len")))
     repeated = expand_turns(joined.select(source, path, "_at", "_len", last.alias("_reps")), F.col("_reps"), "_rep")
     return repeated.select(source, path, (F.col("_rep") * F.col("_len") + F.col("_at")).alias("entry"))
 

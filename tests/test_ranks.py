@@ -156,6 +156,12 @@ def test_cycle_cuts_repeats_and_refuses_empty_sources(spark):
         sa.cycle_to(files, missing).collect()
 
 
+def test_cycle_asks_no_files_of_a_source_that_wants_none(spark):
+    files = spark.createDataFrame([("a", "a0"), (None, "x0")], "source string, path string")
+    wanted = spark.createDataFrame([("a", 2), ("c", 0), ("d", None), (None, None)], "source string, n_wanted bigint")
+    assert sorted(map(tuple, sa.cycle_to(files, wanted).collect())) == [("a", "a0", 0), ("a", "a0", 1)]
+
+
 def test_mix_needs_weight_and_never_draws_a_zero_group(spark):
     with pytest.raises(ValueError):
         sa.cumulative_weights({"a": 0.0})
